@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from statloom.llm.dac import op9_dac
+from statloom.llm.langid import op2_ppm
+from statloom.llm.packing import op6_packing
+from statloom.llm.toxicity import op5_toxicity
 from statloom.llm.warc import OP1_SQL, op1_warc
 from statloom.llm.winnow import OP8_SQL, op8_winnowing
 
@@ -9,7 +13,11 @@ from statloom.llm.winnow import OP8_SQL, op8_winnowing
 def queries() -> dict:
     return {
         "op1_warc": op1_warc,
+        "op2_ppm": op2_ppm,
+        "op5_toxicity": op5_toxicity,
+        "op6_packing": op6_packing,
         "op8_winnowing": op8_winnowing,
+        "op9_dac": op9_dac,
     }
 
 
