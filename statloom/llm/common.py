@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -46,6 +47,9 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._scratch_path = path
+    # shuffle files go only when the driver's JVM sees that no frame needs them; there are none before a cut that do
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
     return out
 
 
