@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from statloom.llm.bagminhash import op4_bagminhash
 from statloom.llm.dac import op9_dac
 from statloom.llm.langid import op2_ppm
+from statloom.llm.lines import op3_simhash_lines
 from statloom.llm.packing import op6_packing
+from statloom.llm.suffix import op10_suffix
 from statloom.llm.toxicity import op5_toxicity
 from statloom.llm.warc import OP1_SQL, op1_warc
 from statloom.llm.winnow import OP8_SQL, op8_winnowing
@@ -14,10 +17,13 @@ def queries() -> dict:
     return {
         "op1_warc": op1_warc,
         "op2_ppm": op2_ppm,
+        "op3_simhash_lines": op3_simhash_lines,
+        "op4_bagminhash": op4_bagminhash,
         "op5_toxicity": op5_toxicity,
         "op6_packing": op6_packing,
         "op8_winnowing": op8_winnowing,
         "op9_dac": op9_dac,
+        "op10_suffix": op10_suffix,
     }
 
 
