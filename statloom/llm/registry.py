@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from statloom.llm.bagminhash import op4_bagminhash
+from statloom.llm.chroma import op7_chroma
 from statloom.llm.dac import op9_dac
 from statloom.llm.langid import op2_ppm
 from statloom.llm.lines import op3_simhash_lines
@@ -21,9 +23,11 @@ def queries() -> dict:
         "op4_bagminhash": op4_bagminhash,
         "op5_toxicity": op5_toxicity,
         "op6_packing": op6_packing,
+        "op7_chroma": op7_chroma,
         "op8_winnowing": op8_winnowing,
         "op9_dac": op9_dac,
         "op10_suffix": op10_suffix,
+        "pipeline": corpus_pipeline.run,
     }
 
 
