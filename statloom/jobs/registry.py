@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from statloom.functions.columns import rounded
 from statloom.functions.scratch import scratch_path
 from statloom.operators import checks, describe, encode, nonparametric, parametric, regression, resample, selection, split, timeseries, transform
+from statloom.streaming.windows import windowed_moments
 from statloom.sources.io import preview, profile_dataset, read_dataset, write_dataset
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -509,3 +510,9 @@ def _arima(spark, d):
 @query("forecast_time_series")
 def _forecast(spark, d):
     return timeseries.forecast_time_series(timeseries.fit_arima_model(_daily(spark, d), "o_orderpriority", "month", "price"), 10)
+
+
+@query("windowed_moments", "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, round(avg(value), 4) + 0.0 AS mean, round(stddev_samp(value), 4) + 0.0 AS sd FROM events GROUP BY ALL")
+def _windowed(spark, d):
+    out = windowed_moments(_t(spark, d, "events"), "ts", "value", ["event_type"])
+    return _round(out, ["window_start", "event_type", "n", "mean", "sd"])

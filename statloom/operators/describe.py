@@ -54,9 +54,9 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str], method: str = "pea
         return one.select(F.inline(F.array(*cells)))
     filled = df.agg(F.count("*").alias("rows"), *[F.count(number(c)).alias(f"n_{i}") for i, c in enumerate(columns)]).first()
     if all(filled[f"n_{i}"] == filled["rows"] for i in range(len(columns))):  # nothing is missing: each column has one ranking
-        ranked = df.select(*[number(c).alias(f"_{i}") for i, c in enumerate(columns)])
+        ranked = base = df.select(*[number(c).alias(f"_{i}") for i, c in enumerate(columns)])
         for i in range(len(columns)):
-            counts = ranked.groupBy(f"_{i}").agg(F.count("*").alias("_m"))
+            counts = base.groupBy(f"_{i}").agg(F.count("*").alias("_m"))
             ranked = ranked.join(midranks(counts, f"_{i}", "_m").select(f"_{i}", F.col("midrank").alias(f"_r{i}")), f"_{i}")
         return correlation_matrix(ranked.select(*[F.col(f"_r{i}").alias(c) for i, c in enumerate(columns)]), columns)
     out = None
