@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -210,129 +208,197 @@ def _member(s: Slice, lists: list) -> np.ndarray:
     return keep
 
 
-def _names(ctx: np.ndarray) -> np.ndarray:
-    """128-bit names of contexts, as two longs in one row."""
-    digests = b"".join(hashlib.blake2b(row.tobytes(), digest_size=16).digest() for row in ctx)
-    return np.frombuffer(digests, np.int64).reshape(-1, 2)
+_COEFFICIENTS = np.random.default_rng(5).integers(0, 2**64, (2, 256), np.uint64) | np.uint64(1)
 
 
-def dedup_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50) -> DataFrame:
-    """Bytes of each document covered by a ``length``-byte string that also starts in a document with a smaller id.
+def _names(ctx: np.ndarray) -> np.ndarray:
+    """128-bit names of contexts, as two longs in one row: multilinear hashes of their bytes."""
+    wide, width = ctx.astype(np.uint64) + np.uint64(1), ctx.shape[1]
+    return np.column_stack([_mixed(wide @ c[:width] + c[-1]) for c in _COEFFICIENTS]).view(np.int64).reshape(-1, 2)
 
-    1. Every string holds at least one sampled suffix (about one in 18 bytes).
-       Spark counts the documents of each suffix's gram, combined before the
-       shuffle, a document once; only grams of two documents or more go on.
-    2. Documents with such grams give the contexts of those suffixes; equal
-       contexts meet in an aggregate that keeps the least id.
-    3. Distinct contexts of a gram lie in one task, sorted there deep-shallow;
-       the common prefixes in both orders tell which strings stand in earlier
-       documents.
-    4. Marks go back to the documents, which drop the covered bytes.
 
-    Returns ``doc_id, text, n_bytes, n_removed, n_spans, kept`` (binary). Strings
-    are judged on the input. A null text is empty. Rows with equal ids do not
-    remove each other's bytes; rows with a null id come after all ids. Texts
-    shorter than ``length`` keep all. An empty table gives no row. Other
-    columns are not read.
-    """
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_ID_NONE)).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    names = ["h", "doc_id"]
+def _sampled(rows: DataFrame, length: int) -> DataFrame:
+    """``(h, doc_id)``: the grams of each document's sampled suffixes, each once a document."""
 
-    def grams(batches):
+    def run(batches):
         for batch in batches:
             ids = batch.column(0).to_numpy()
             for a, _, s in _each(batch, length):
                 order = np.lexsort((s.h, s.doc))
                 h, d = s.h[order], s.doc[order]
                 new = np.concatenate([[True], (h[1:] != h[:-1]) | (d[1:] != d[:-1])]) if len(h) else np.empty(0, bool)
-                yield pa.RecordBatch.from_arrays([pa.array(h[new]), pa.array(ids[a + d[new]])], names)
+                yield pa.RecordBatch.from_arrays([pa.array(h[new]), pa.array(ids[a + d[new]])], ["h", "doc_id"])
+
+    return rows.mapInArrow(run, "h long, doc_id long")
 
-    sampled = rows.mapInArrow(grams, "h long, doc_id long")
-    shared = cut(sampled.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "grams")
-    lists = sampled.join(shared, "h").groupBy("doc_id").agg(F.sort_array(F.collect_set("h")).alias("hs"))
+
+def _shared_grams(sampled: DataFrame) -> DataFrame:
+    return cut(sampled.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "grams")
+
+
+def _suspects(rows: DataFrame, sampled: DataFrame, shared: DataFrame) -> DataFrame:
+    """Documents that share a gram with another, with the sorted list ``hs`` of such grams.
+
+    The lists are a table of their own, so that the shuffle of all grams is over before texts move.
+    """
+    lists = cut(sampled.join(shared, "h").groupBy("doc_id").agg(F.sort_array(F.collect_set("h")).alias("hs")), "lists")
     part = cut(rows.join(lists, "doc_id"), "suspects")
-    discard(shared)
+    discard(lists)
+    return part
+
+
+def _occurrences(s: Slice, lists: list, length: int):
+    """Suffixes in the lists: place among the slice's suffixes, context and name."""
+    keep = np.flatnonzero(_member(s, lists))
+    ctx = contexts(s.x, s.at[keep], s.begins, s.ends, length)
+    return keep, ctx, _names(ctx)
 
-    def occurrences(with_bytes: bool):
-        def run(batches):
-            for batch in batches:
-                ids, hs = batch.column(0).to_numpy(), [np.array(x) for x in batch.column(2).to_pylist()]
-                for a, b, s in _each(batch, length):
-                    keep = np.flatnonzero(_member(s, hs[a:b]))
-                    ctx = contexts(s.x, s.at[keep], s.begins, s.ends, length)
-                    name = _names(ctx)
-                    order = np.lexsort((name[:, 1], name[:, 0], s.doc[keep]))
-                    row = np.column_stack([s.doc[keep], name])[order]
-                    order = order[np.concatenate([[True], (row[1:] != row[:-1]).any(1)])] if len(order) else order
-                    columns = [pa.array(s.h[keep][order]), pa.array(name[order, 0]), pa.array(name[order, 1]), pa.array(ids[a + s.doc[keep][order]])]
-                    if with_bytes:
-                        columns.append(pa.array([c.tobytes() for c in ctx[order]], pa.binary()))
-                    yield pa.RecordBatch.from_arrays(columns, ["h", "c1", "c2", "doc_id", "ctx"][: len(columns)])
-
-        return run
-
-    found = part.mapInArrow(occurrences(True), "h long, c1 long, c2 long, doc_id long, ctx binary")
-    distinct = found.groupBy("h", "ctx").agg(F.min("doc_id").alias("doc_id"), F.min("c1").alias("c1"), F.min("c2").alias("c2"), F.count("*").alias("n"))
+
+def _contexts(part: DataFrame, length: int, held: int = 100_000) -> DataFrame:
+    """``(gram, ctx, doc_id, n)``: contexts with their least document; equal ones of a task are combined, ``held`` at a time."""
+    left = length - GRAM
+
+    def flush(seen: dict):
+        ctx = list(seen)
+        doc, n = zip(*seen.values())
+        columns = [pa.array([c[left : left + GRAM] for c in ctx], pa.binary()), pa.array(ctx, pa.binary()), pa.array(doc, pa.int64()), pa.array(n, pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, ["gram", "ctx", "doc_id", "n"])
+
+    def run(batches):
+        seen: dict[bytes, tuple[int, int]] = {}
+        for batch in batches:
+            ids, hs = batch.column(0).to_numpy(), [np.array(x) for x in batch.column(2).to_pylist()]
+            for a, b, s in _each(batch, length):
+                keep, ctx, _ = _occurrences(s, hs[a:b], length)
+                size, raw = ctx.shape[1], ctx.tobytes()
+                for i, doc in enumerate(ids[a + s.doc[keep]].tolist()):
+                    c = raw[i * size : (i + 1) * size]
+                    old = seen.get(c)
+                    if old is None:
+                        seen[c] = (doc, 1)
+                    elif old[0] != doc:
+                        seen[c] = (min(old[0], doc), 2)
+                if len(seen) >= held:
+                    yield flush(seen)
+                    seen = {}
+        if seen:
+            yield flush(seen)
+
+    return part.mapInArrow(run, "gram binary, ctx binary, doc_id long, n long")
+
+
+def _marks(part: DataFrame, length: int) -> DataFrame:
+    """``(c1, c2, least, mask)`` by context: its least document, and which of its strings stand in an even earlier one.
+
+    The contexts of a gram meet in one task, each once from each task before;
+    contexts without any earlier string or second document are left out.
+    """
+    size = 2 * length - GRAM + 2
 
     def judge(batches):
         held = [b for b in batches if b.num_rows]
         if not held:
             return
-        t = pa.Table.from_batches(held)
-        h, doc, n = (t[c].to_numpy() for c in ("h", "doc_id", "n"))
-        size = length - GRAM + length + 2
+        t = pa.Table.from_batches(held).combine_chunks()
         ctx = np.frombuffer(b"".join(t["ctx"].to_pylist()), np.uint8).reshape(-1, size)
-        _, group, times = np.unique(h, return_inverse=True, return_counts=True)
+        doc, n, name = t["doc_id"].to_numpy(), t["n"].to_numpy(), _names(ctx)
+        by = np.lexsort((doc, name[:, 1], name[:, 0]))
+        first = np.flatnonzero(np.concatenate([[True], (name[by][1:] != name[by][:-1]).any(1)]))
+        last = np.append(first[1:], len(by)) - 1
+        several = (doc[by][first] != doc[by][last]) | (np.maximum.reduceat(n[by], first) > 1)
+        ctx, doc, name = ctx[by[first]], doc[by[first]], name[by[first]]
+        grams = np.ascontiguousarray(ctx[:, length - GRAM : length]).view(f"V{GRAM}").ravel()
+        _, group, times = np.unique(grams, return_inverse=True, return_counts=True)
         mixed = np.flatnonzero(times[group] > 1)
-        mask = np.zeros(len(h), np.int64)
+        mask = np.zeros(len(doc), np.int64)
         mask[mixed] = earlier(ctx[mixed], doc[mixed], length)
-        say = (mask != 0) | (n > 1)
-        yield pa.RecordBatch.from_arrays([pa.array(v[say]) for v in (t["c1"].to_numpy(), t["c2"].to_numpy(), doc, mask)], ["c1", "c2", "least", "mask"])
+        say = (mask != 0) | several
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(v[say])) for v in (name[:, 0], name[:, 1], doc, mask)], ["c1", "c2", "least", "mask"])
+
+    return cut(_contexts(part, length).repartition("gram").mapInArrow(judge, "c1 long, c2 long, least long, mask long"), "marks")
 
-    marks = cut(distinct.repartition("h").mapInArrow(judge, "c1 long, c2 long, least long, mask long"), "marks")
-    told = part.mapInArrow(occurrences(False), "h long, c1 long, c2 long, doc_id long").join(marks, ["c1", "c2"])
-    told = told.select("doc_id", "c1", "c2", F.when(F.col("doc_id") > F.col("least"), F.lit(-1).cast("long")).otherwise(F.col("mask")).alias("mask")).where("mask != 0")
-    replies = told.groupBy("doc_id").agg(F.collect_set(F.struct("c1", "c2", "mask")).alias("marks"))
+
+def _replies(part: DataFrame, marks: DataFrame, length: int) -> DataFrame:
+    """The marks of each document's own contexts; mask -1: the whole context stands in an earlier document."""
+
+    def run(batches):
+        for batch in batches:
+            ids, hs = batch.column(0).to_numpy(), [np.array(x) for x in batch.column(2).to_pylist()]
+            for a, b, s in _each(batch, length):
+                keep, _, name = _occurrences(s, hs[a:b], length)
+                row = np.unique(np.column_stack([s.doc[keep], name]), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(v)) for v in (ids[a + row[:, 0]], row[:, 1], row[:, 2])], ["doc_id", "c1", "c2"])
+
+    told = part.mapInArrow(run, "doc_id long, c1 long, c2 long").join(marks, ["c1", "c2"])
+    told = told.select("doc_id", "c1", "c2", F.when(F.col("doc_id") > F.col("least"), F.lit(-1).cast("long")).otherwise(F.col("mask")).alias("mask"))
+    return told.where("mask != 0").groupBy("doc_id").agg(F.collect_set(F.struct("c1", "c2", "mask")).alias("marks"))
+
+
+def _cleaned(part: DataFrame, replies: DataFrame, length: int) -> DataFrame:
     left = length - GRAM
 
-    def remove(batches):
+    def run(batches):
         for batch in batches:
             outs = [[], [], [], []]
-            marked = batch.column(3).to_pylist()
-            hs = [np.array(x) for x in batch.column(2).to_pylist()]
+            marked, hs = batch.column(3).to_pylist(), [np.array(x) for x in batch.column(2).to_pylist()]
+            own = [{(m["c1"], m["c2"]): m["mask"] for m in x} if x else None for x in marked]
             for a, b, s in _each(batch, length):
                 edge = np.zeros(len(s.x) + 1, np.int64)
-                keep = np.flatnonzero(_member(s, [g if m else None for g, m in zip(hs[a:b], marked[a:b])]))
-                ctx = contexts(s.x, s.at[keep], s.begins, s.ends, length)
-                for k, doc, name in zip(keep.tolist(), s.doc[keep].tolist(), map(tuple, _names(ctx).tolist())):
-                    own = marked[a + doc]
-                    if isinstance(own, list):
-                        own = marked[a + doc] = {(m["c1"], m["c2"]): m["mask"] for m in own}
-                    mask = own.get(name)
+                keep, _, name = _occurrences(s, [g if m else None for g, m in zip(hs[a:b], own[a:b])], length)
+                found = ((k, own[a + d].get((x, y))) for k, d, (x, y) in zip(keep.tolist(), s.doc[keep].tolist(), name.tolist()))
+                for k, mask in found:
                     if mask is None:
                         continue
                     at = int(s.at[k])
-                    for j in range(left + 1) if mask != -1 else ():
-                        if mask >> j & 1:
-                            edge[at - j] += 1
-                            edge[at - j + length] -= 1
                     if mask == -1:
                         lo, hi = max(int(s.begins[at]), at - left), min(int(s.ends[at]), at + length)
                         if hi - lo >= length:
                             edge[lo] += 1
                             edge[hi] -= 1
+                        continue
+                    for j in range(left + 1):
+                        if mask >> j & 1:
+                            edge[at - j] += 1
+                            edge[at - j + length] -= 1
                 gone = np.cumsum(edge)[:-1] > 0
                 for lo, hi in zip([0, *s.ends_of[:-1].tolist()], s.ends_of.tolist()):
-                    own = gone[lo:hi]
+                    mine = gone[lo:hi]
                     outs[0].append(hi - lo)
-                    outs[1].append(int(own.sum()))
-                    outs[2].append(int((np.diff(np.concatenate([[0], own.astype(np.int8)])) == 1).sum()))
-                    outs[3].append(s.x[lo:hi][~own].tobytes())
+                    outs[1].append(int(mine.sum()))
+                    outs[2].append(int((np.diff(np.concatenate([[0], mine.astype(np.int8)])) == 1).sum()))
+                    outs[3].append(s.x[lo:hi][~mine].tobytes())
             kinds = [pa.int64()] * 3 + [pa.binary()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(o, k) for o, k in zip(outs, kinds))], ["doc_id", "text", "n_bytes", "n_removed", "n_spans", "kept"])
 
     schema = "doc_id long, text string, n_bytes long, n_removed long, n_spans long, kept binary"
-    cleaned = part.join(replies, "doc_id", "left").select("doc_id", "text", "hs", "marks").mapInArrow(remove, schema)
+    return part.join(replies, "doc_id", "left").select("doc_id", "text", "hs", "marks").mapInArrow(run, schema)
+
+
+def dedup_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50) -> DataFrame:
+    """Bytes of each document covered by a ``length``-byte string that also starts in a document with a smaller id.
+
+    1. Every string holds at least one sampled suffix (about one in 18 bytes).
+       Spark counts the documents of each suffix's gram, combined before the
+       shuffle, a document once; only grams of two documents or more go on.
+    2. Documents with such grams give the contexts of those suffixes, equal
+       ones of a task once, with the least id.
+    3. The contexts of a gram meet in one task and are sorted there
+       deep-shallow; the common prefixes in both orders tell which strings
+       stand in earlier documents.
+    4. Marks go back to the documents, which drop the covered bytes.
+
+    Returns ``doc_id, text, n_bytes, n_removed, n_spans, kept`` (binary). Strings
+    are judged on the input. A null text is empty. Rows with equal ids do not
+    remove each other's bytes; rows with a null id come after all ids. Texts
+    shorter than ``length`` keep all. An empty table gives no row. Other
+    columns are not read. Each step ends in a table in the shared folder.
+    """
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_ID_NONE)).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    shared = _shared_grams(_sampled(rows, length))
+    part = _suspects(rows, _sampled(rows, length), shared)
+    discard(shared)
+    marks = _marks(part, length)
+    cleaned = _cleaned(part, _replies(part, marks, length), length)
     none = F.lit(0).cast("long")
     whole = rows.join(part.select("doc_id").distinct(), "doc_id", "left_anti").select(
         "doc_id", "text", F.octet_length("text").cast("long").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"), F.encode("text", "UTF-8").alias("kept")
