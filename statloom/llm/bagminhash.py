@@ -82,6 +82,32 @@ def band_keys(h: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key.view(np.int64)
 
 
+def sketches(h: np.ndarray) -> np.ndarray:
+    """Four bits of each register, sixteen registers a long."""
+    bits = np.where(np.isfinite(h), h, 0).view(np.uint64)
+    four = np.zeros((len(h), -(-h.shape[1] // 16) * 16), np.uint64)
+    four[:, : h.shape[1]] = _mixed(bits) & np.uint64(15)
+    shifts = np.arange(16, dtype=np.uint64) * np.uint64(4)
+    return (four.reshape(len(h), -1, 16) << shifts).sum(2, dtype=np.uint64).view(np.int64)
+
+
+def agreeing(a: Column, b: Column, m: int) -> Column:
+    """Registers whose four bits agree in two sketches of ``m`` registers."""
+    unlike = F.lit(0)
+    for i in range(-(-m // 16)):
+        x = a[i].bitwiseXOR(b[i])
+        for shift in (1, 2):
+            x = x.bitwiseOR(F.shiftrightunsigned(x, shift))
+        unlike = unlike + F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
+    return F.lit(m) - unlike
+
+
+def least_agreeing(threshold: float, m: int) -> int:
+    """Fewer agreeing registers have a pair at ``threshold`` once in 30,000 (four standard deviations)."""
+    p = threshold + (1 - threshold) / 16
+    return int(np.floor(m * p - 4 * np.sqrt(m * p * (1 - p))))
+
+
 def node_of(text: Column) -> Column:
     """Documents of equal text are one node, named by 128 bits of the text's SHA-256; null is empty."""
     return F.substring(F.unhex(F.sha2(F.coalesce(text.cast("string"), F.lit("")), 256)), 1, 16)
@@ -123,6 +149,54 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, threshold: float) -> Dat
     return links
 
 
+def _buckets(signed: DataFrame) -> DataFrame:
+    """``(node, band, sketch)`` of the bands that two nodes share at least."""
+    nodes = signed.groupBy("node").agg(F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    member = nodes.select("node", F.explode("bands").alias("band"))
+    shared = member.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
+    return cut(member.join(shared, "band").join(nodes.select("node", "sketch"), "node"), "buckets")
+
+
+def _open_buckets(bucket: DataFrame, links: DataFrame | None) -> DataFrame:
+    """Members of the buckets that hold more than one group, with their ``root``."""
+    if links is None:
+        return bucket.withColumn("root", F.col("node"))
+    grouped = bucket.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = grouped.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("band")
+    return cut(grouped.join(mixed, "band"), "open")
+
+
+def _hub_pairs(open_: DataFrame, round_: int, hubs: int, m: int, least: int) -> DataFrame:
+    order = F.struct(F.xxhash64("node", F.pmod("band", F.lit(hubs)), F.lit(round_)), "node", "root", "sketch")
+    hub = open_.groupBy("band").agg(F.min(order).alias("hub")).select("band", F.col("hub.node").alias("hub"), F.col("hub.root").alias("hub_root"), F.col("hub.sketch").alias("hub_sketch"))
+    same = agreeing(F.col("sketch"), F.col("hub_sketch"), m)
+    held = open_.join(hub, "band").where((F.col("root") != F.col("hub_root")) & (same >= least)).select("node", F.struct(same.alias("same"), "hub").alias("h"))
+    best = held.groupBy("node").agg(F.max("h").alias("h"))
+    return best.select(F.least("node", "h.hub").alias("a"), F.greatest("node", "h.hub").alias("b")).distinct()
+
+
+def _rest_pairs(open_: DataFrame, m: int, least: int) -> DataFrame:
+    other = open_.select("band", F.col("node").alias("b"), F.col("root").alias("b_root"), F.col("sketch").alias("b_sketch"))
+    close = agreeing(F.col("sketch"), F.col("b_sketch"), m) >= least
+    return open_.join(other, "band").where((F.col("node") < F.col("b")) & (F.col("root") != F.col("b_root")) & close).select(F.col("node").alias("a"), "b").distinct()
+
+
+def _linked(bucket: DataFrame, named: DataFrame, k: int, threshold: float, m: int, star_rounds: int, hubs: int) -> DataFrame:
+    """Verified links that connect every group."""
+    links, least = None, least_agreeing(threshold, m)
+    for round_ in range(star_rounds + 1):
+        open_ = _open_buckets(bucket, links)
+        if links is not None and not open_.limit(1).count():
+            break
+        pairs = cut(_hub_pairs(open_, round_, hubs, m, least) if round_ < star_rounds else _rest_pairs(open_, m, least), "pairs")
+        found = verified(pairs, named, k, threshold)
+        discard(pairs)
+        if round_:
+            discard(open_)
+        links = found if links is None else cut(links.unionByName(found), "links")
+    return links
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -131,7 +205,8 @@ def near_duplicates(
     threshold: float = 0.8,
     bands: int = 25,
     rows: int = 5,
-    star_rounds: int = 2,
+    star_rounds: int = 3,
+    hubs: int = 5,
 ) -> DataFrame:
     """``(doc_id, node, class_id, class_size)`` for every document; equal class ids are near-duplicates.
 
@@ -141,11 +216,14 @@ def near_duplicates(
     registers once in 20,000.
 
     Equal texts are one node from the start. Within a bucket (equal band) every
-    node is first compared with one hub only, the least by a hash that changes
-    each round; what joins the hub's group needs no further pair in it. After
-    ``star_rounds`` rounds the pairs of a bucket whose ends still lie in
-    different groups are compared, all of them: no link between groups is lost,
-    while a group of n like texts costs about n pairs and not n squared.
+    node is first held against a hub only, the least by a hash that changes
+    with the round and takes ``hubs`` turns over the bands; of its hubs the one
+    with the most agreeing registers is verified. What joins a hub's group needs
+    no further pair in it. After ``star_rounds`` rounds all pairs of a bucket
+    whose ends still lie in different groups are compared, so no link between
+    groups is lost, while a group of n like texts costs about n pairs. A pair is
+    verified unless its registers agree so rarely that a similarity of
+    ``threshold`` is out of question (one in 30,000).
 
     A null text is empty; texts without words are near-duplicates of equal
     texts only. Texts of fewer words than ``k`` are one shingle. The class id is
@@ -155,44 +233,20 @@ def near_duplicates(
     """
     named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("node", node_of(F.col("text")))
 
+    m = bands * rows
+
     def make():
         def step(texts):
-            h = signatures([shingles(t, k) for t in texts], bands * rows)
-            keys, some = band_keys(h, bands, rows), np.isfinite(h[:, 0])
-            return [[x.tolist() if ok else [] for x, ok in zip(keys, some)]]
+            h = signatures([shingles(t, k) for t in texts], m)
+            keys, some, packed = band_keys(h, bands, rows), np.isfinite(h[:, 0]), sketches(h)
+            return [[x.tolist() if ok else [] for x, ok in zip(keys, some)], packed.tolist()]
 
         return step
 
-    signed, at = append_columns(named, "text", make, [T.StructField("bands", T.ArrayType(T.LongType()))])
-    signed = cut(signed.select(F.col(at[0]).alias("doc_id"), F.col(at[2]).alias("node"), "bands"), "signed")
-    nodes = signed.groupBy("node").agg(F.first("bands").alias("bands"))
-    member = nodes.select("node", F.explode("bands").alias("band"))
-    shared = member.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
-    bucket = cut(member.join(shared, "band"), "buckets")
-    links = None
-    for round_ in range(star_rounds + 1):
-        if links is None:
-            open_ = bucket.withColumn("root", F.col("node"))
-        else:
-            roots = components(links)
-            grouped = bucket.join(roots, "node", "left").select("node", "band", F.coalesce("root", "node").alias("root"))
-            mixed = grouped.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("band")
-            open_ = cut(grouped.join(mixed, "band"), "open")
-            if not open_.limit(1).count():
-                break
-        if round_ < star_rounds:
-            order = F.struct(F.xxhash64("node", F.lit(round_)), "node", "root")
-            hub = open_.groupBy("band").agg(F.min(order).alias("hub")).select("band", F.col("hub.node").alias("hub"), F.col("hub.root").alias("hub_root"))
-            pairs = open_.join(hub, "band").where("root != hub_root").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
-        else:
-            other = open_.select("band", F.col("node").alias("b"), F.col("root").alias("b_root"))
-            pairs = open_.join(other, "band").where("node < b AND root != b_root").select(F.col("node").alias("a"), "b")
-        pairs = cut(pairs.distinct(), "pairs")
-        found = verified(pairs, named, k, threshold)
-        links = found if links is None else cut(links.unionByName(found), "links")
-        if round_:
-            discard(open_)
-        discard(pairs)
+    longs = T.ArrayType(T.LongType())
+    signed, at = append_columns(named, "text", make, [T.StructField("bands", longs), T.StructField("sketch", longs)])
+    signed = cut(signed.select(F.col(at[0]).alias("doc_id"), F.col(at[2]).alias("node"), "bands", "sketch"), "signed")
+    links = _linked(_buckets(signed), named, k, threshold, m, star_rounds, hubs)
     roots = components(links)
     rooted = signed.select("doc_id", "node").join(roots, "node", "left").select("doc_id", "node", F.coalesce("root", "node").alias("root"))
     classes = rooted.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
