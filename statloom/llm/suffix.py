@@ -398,7 +398,9 @@ def dedup_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     part = _suspects(rows, _sampled(rows, length), shared)
     discard(shared)
     marks = _marks(part, length)
-    cleaned = _cleaned(part, _replies(part, marks, length), length)
+    replies = cut(_replies(part, marks, length), "replies")
+    discard(marks)
+    cleaned = _cleaned(part, replies, length)
     none = F.lit(0).cast("long")
     whole = rows.join(part.select("doc_id").distinct(), "doc_id", "left_anti").select(
         "doc_id", "text", F.octet_length("text").cast("long").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"), F.encode("text", "UTF-8").alias("kept")
