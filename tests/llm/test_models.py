@@ -227,6 +227,46 @@ def test_crowded_buckets_lose_no_link(spark):
     assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, thinned.collect()))
 
 
+def test_lines_are_linked_by_edit_similarity_alone(spark):
+    """Brute force without a SimHash gate, at every length, with words changed and with single characters changed."""
+    rnd = random.Random(11)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnop") for _ in range(rnd.randint(2, 9)))
+    norms, pairs = [], []
+    for n in (5, 8, 20, 40, 80):
+        for _ in range(16):
+            line = [word() for _ in range(n)]
+            other = list(line)
+            for at in rnd.sample(range(n), max(1, n // 25)):
+                other[at] = word()
+            typed = list(" ".join(line))
+            for at in rnd.sample(range(len(typed)), len(typed) // 20):
+                typed[at] = "z"
+            norms += [" ".join(line), " ".join(other), "".join(typed)]
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a):
+            new = [i + 1]
+            for j, y in enumerate(b):
+                new.append(min(row[j] + (x != y), row[j + 1] + 1, new[-1] + 1))
+            row = new
+        return row[-1]
+
+    for i in range(0, len(norms), 3):
+        for a, b in ((i, i + 1), (i, i + 2)):
+            if distance(norms[a], norms[b]) <= int(0.1 * max(len(norms[a]), len(norms[b])) + 1e-9):
+                pairs.append((a, b))
+    assert len(pairs) > 100
+    distinct = spark.createDataFrame(list(enumerate(norms)), "node long, norm string")
+    roots = {r["node"]: r["root"] for r in lines.grouped_lines(distinct, None, 0.9).collect()}
+    lost = [(a, b) for a, b in pairs if roots.get(a) is None or roots.get(a) != roots.get(b)]
+    assert len(lost) <= len(pairs) // 100
+    thinned = {r["node"]: r["root"] for r in lines.grouped_lines(distinct, None, 0.9, crowd=2).collect()}
+    assert thinned == roots
+    gated = {r["node"]: r["root"] for r in lines.grouped_lines(distinct, 4, 0.9).collect()}
+    assert sum(gated.get(a) is None or gated.get(a) != gated.get(b) for a, b in pairs) > len(pairs) // 2
+
+
 def test_lines_of_awkward_rows(spark, make_docs, awkward):
     rows = lines.dedup_lines(make_docs(awkward)).collect()
     assert len(rows) == len(awkward)
