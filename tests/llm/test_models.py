@@ -9,6 +9,7 @@ import regex
 import xxhash
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from statloom.llm import bagminhash, chroma, langid, lines, toxicity
 from statloom.llm.common import held_out
 from statloom.llm.components import components
@@ -267,6 +268,15 @@ def test_lines_are_linked_by_edit_similarity_alone(spark):
     assert sum(gated.get(a) is None or gated.get(a) != gated.get(b) for a, b in pairs) > len(pairs) // 2
 
 
+def test_short_lines_take_part(spark, make_docs, tmp_path):
+    """The query and the pipeline's stage remove copies of lines of any length, and fuzzy ones from ten characters."""
+    docs = [(1, "Home\n日本語の行です\nread more here"), (2, "home!\n日本語の行です\n\n###"), (3, "kept\nread more hera\n###\n")]
+    want = {1: docs[0][1], 2: "\n###", 3: "kept\n###\n"}
+    make_docs(docs).write.parquet(str(tmp_path / "documents.parquet"))
+    assert {r["doc_id"]: r["text"] for r in corpus_pipeline.line_dedup(spark, make_docs(docs), str(tmp_path)).collect()} == want
+    assert {r["doc_id"]: r["n_removed"] for r in lines.op3_simhash_lines(spark, str(tmp_path)).collect()} == {1: 0, 2: 2, 3: 1}
+
+
 def test_lines_of_awkward_rows(spark, make_docs, awkward):
     rows = lines.dedup_lines(make_docs(awkward)).collect()
     assert len(rows) == len(awkward)
