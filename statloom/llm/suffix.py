@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -233,15 +234,15 @@ def _sampled(rows: DataFrame, length: int) -> DataFrame:
 
 
 def _shared_grams(sampled: DataFrame) -> DataFrame:
-    return cut(sampled.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "grams")
+    return cut(sampled.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "grams")
 
 
-def _suspects(rows: DataFrame, sampled: DataFrame, shared: DataFrame) -> DataFrame:
-    """Documents that share a gram with another, with the sorted list ``hs`` of such grams.
+def _suspects(rows: DataFrame, sampled: DataFrame, shared: DataFrame, hot: int) -> DataFrame:
+    """Documents that share a gram with another, with the sorted lists ``hs`` of such grams and ``hot`` of those in more than ``hot`` documents.
 
     The lists are a table of their own, so that the shuffle of all grams is over before texts move.
     """
-    lists = cut(sampled.join(shared, "h").groupBy("doc_id").agg(F.sort_array(F.collect_set("h")).alias("hs")), "lists")
+    lists = cut(sampled.join(shared, "h").groupBy("doc_id").agg(F.sort_array(F.collect_set("h")).alias("hs"), F.sort_array(F.collect_set(F.when(F.col("n") > hot, F.col("h")))).alias("hot")), "lists")
     part = cut(rows.join(lists, "doc_id"), "suspects")
     discard(lists)
     return part
@@ -254,8 +255,8 @@ def _occurrences(s: Slice, lists: list, length: int):
     return keep, ctx, _names(ctx)
 
 
-def _contexts(part: DataFrame, length: int, held: int = 100_000) -> DataFrame:
-    """``(gram, ctx, doc_id, n)``: contexts with their least document; equal ones of a task are combined, ``held`` at a time."""
+def _contexts(part: DataFrame, length: int, hot: bool, held: int = 100_000) -> DataFrame:
+    """``(gram, ctx, doc_id, n)``: contexts of the hot grams, or of the others, with their least document; equal ones of a task are combined, ``held`` at a time."""
     left = length - GRAM
 
     def flush(seen: dict):
@@ -267,7 +268,9 @@ def _contexts(part: DataFrame, length: int, held: int = 100_000) -> DataFrame:
     def run(batches):
         seen: dict[bytes, tuple[int, int]] = {}
         for batch in batches:
-            ids, hs = batch.column(0).to_numpy(), [np.array(x) for x in batch.column(2).to_pylist()]
+            ids, hs = batch.column(0).to_numpy(), [np.array(x, np.int64) for x in batch.column(3 if hot else 2).to_pylist()]
+            if not hot:
+                hs = [np.setdiff1d(x, np.array(y, np.int64)) for x, y in zip(hs, batch.column(3).to_pylist())]
             for a, b, s in _each(batch, length):
                 keep, ctx, _ = _occurrences(s, hs[a:b], length)
                 size, raw = ctx.shape[1], ctx.tobytes()
@@ -287,19 +290,62 @@ def _contexts(part: DataFrame, length: int, held: int = 100_000) -> DataFrame:
     return part.mapInArrow(run, "gram binary, ctx binary, doc_id long, n long")
 
 
-def _marks(part: DataFrame, length: int) -> DataFrame:
+def _hot_marks(part: DataFrame, length: int) -> DataFrame:
+    """:func:`_marks` of the hot grams: no task sees all contexts of a gram, the least document is combined by string."""
+    left, size = length - GRAM, 2 * length - GRAM + 2
+    found = _contexts(part.where(F.size("hot") > 0), length, True)
+    found = cut(found.groupBy("ctx").agg(F.min("doc_id").alias("doc_id"), ((F.max("n") > 1) | (F.min("doc_id") != F.max("doc_id"))).alias("several")), "hot")
+
+    def named(batches):
+        for batch in batches:
+            if batch.num_rows:
+                ctx = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).reshape(-1, size)
+                name = _names(ctx)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(name[:, 0])), pa.array(np.ascontiguousarray(name[:, 1])), batch.column(1), batch.column(2)], ["c1", "c2", "least", "several"])
+
+    def strings(batches):
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                batch = whole.slice(at, 1000)
+                ctx = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).reshape(-1, size)
+                doc, name = batch.column(1).to_numpy(), _names(ctx)
+                for j in range(left + 1):
+                    ok = np.flatnonzero((ctx[:, -2] >= j) & (ctx[:, -1] >= length - j))
+                    own = _names(ctx[ok, left - j : left - j + length])
+                    columns = (own[:, 0], own[:, 1], name[ok, 0], name[ok, 1], doc[ok], np.full(len(ok), 1 << j, np.int64))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(v)) for v in columns], ["s1", "s2", "c1", "c2", "doc_id", "bit"])
+
+    each = found.mapInArrow(strings, "s1 long, s2 long, c1 long, c2 long, doc_id long, bit long")
+    firsts = each.groupBy("s1", "s2").agg(F.min("doc_id").alias("first"))
+    masks = each.join(firsts, ["s1", "s2"]).where("first < doc_id").groupBy("c1", "c2").agg(F.bit_or("bit").alias("mask"))
+    told = found.mapInArrow(named, "c1 long, c2 long, least long, several boolean").join(masks, ["c1", "c2"], "left")
+    return told.where("several OR mask IS NOT NULL").select("c1", "c2", "least", F.coalesce("mask", F.lit(0).cast("long")).alias("mask"))
+
+
+def _marks(part: DataFrame, length: int, most: int = 100_000) -> DataFrame:
     """``(c1, c2, least, mask)`` by context: its least document, and which of its strings stand in an even earlier one.
 
-    The contexts of a gram meet in one task, each once from each task before;
+    The contexts of a gram that is not hot meet in one task, each once from each
+    task before, and are judged with those of other grams, about ``most`` at a time;
     contexts without any earlier string or second document are left out.
     """
     size = 2 * length - GRAM + 2
 
     def judge(batches):
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        t = pa.Table.from_batches(held).combine_chunks()
+        held, rows = [], 0
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= most:
+                t = pa.Table.from_batches(held).combine_chunks()
+                whole = pc.index(t["gram"], t["gram"][-1]).as_py()
+                if whole:
+                    yield decide(t.slice(0, whole))
+                held, rows = t.slice(whole).to_batches(), t.num_rows - whole
+        if rows:
+            yield decide(pa.Table.from_batches(held))
+
+    def decide(t):
         ctx = np.frombuffer(b"".join(t["ctx"].to_pylist()), np.uint8).reshape(-1, size)
         doc, n, name = t["doc_id"].to_numpy(), t["n"].to_numpy(), _names(ctx)
         by = np.lexsort((doc, name[:, 1], name[:, 0]))
@@ -313,9 +359,10 @@ def _marks(part: DataFrame, length: int) -> DataFrame:
         mask = np.zeros(len(doc), np.int64)
         mask[mixed] = earlier(ctx[mixed], doc[mixed], length)
         say = (mask != 0) | several
-        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(v[say])) for v in (name[:, 0], name[:, 1], doc, mask)], ["c1", "c2", "least", "mask"])
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(v[say])) for v in (name[:, 0], name[:, 1], doc, mask)], ["c1", "c2", "least", "mask"])
 
-    return cut(_contexts(part, length).repartition("gram").mapInArrow(judge, "c1 long, c2 long, least long, mask long"), "marks")
+    cold = _contexts(part, length, False).repartition("gram").sortWithinPartitions("gram").mapInArrow(judge, "c1 long, c2 long, least long, mask long")
+    return cut(cold.unionByName(_hot_marks(part, length)), "marks")
 
 
 def _replies(part: DataFrame, marks: DataFrame, length: int) -> DataFrame:
@@ -374,7 +421,7 @@ def _cleaned(part: DataFrame, replies: DataFrame, length: int) -> DataFrame:
     return part.join(replies, "doc_id", "left").select("doc_id", "text", "hs", "marks").mapInArrow(run, schema)
 
 
-def dedup_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50) -> DataFrame:
+def dedup_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, hot: int = 10_000) -> DataFrame:
     """Bytes of each document covered by a ``length``-byte string that also starts in a document with a smaller id.
 
     1. Every string holds at least one sampled suffix (about one in 18 bytes).
@@ -384,7 +431,8 @@ def dedup_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
        ones of a task once, with the least id.
     3. The contexts of a gram meet in one task and are sorted there
        deep-shallow; the common prefixes in both orders tell which strings
-       stand in earlier documents.
+       stand in earlier documents. Of a gram in more than ``hot`` documents,
+       the strings get their least document by a combined aggregate instead.
     4. Marks go back to the documents, which drop the covered bytes.
 
     Returns ``doc_id, text, n_bytes, n_removed, n_spans, kept`` (binary). Strings
@@ -395,7 +443,7 @@ def dedup_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_ID_NONE)).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     shared = _shared_grams(_sampled(rows, length))
-    part = _suspects(rows, _sampled(rows, length), shared)
+    part = _suspects(rows, _sampled(rows, length), shared, hot)
     discard(shared)
     marks = _marks(part, length)
     replies = cut(_replies(part, marks, length), "replies")

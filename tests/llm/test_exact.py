@@ -197,6 +197,21 @@ def test_strings_equal_brute_force(spark, make_docs, awkward):
     assert suffix.dedup_strings(make_docs([])).count() == 0
 
 
+def test_hot_grams_are_split(spark, make_docs, monkeypatch):
+    """A passage in nearly all documents, each time in another context, meets in no task whole; results stay right."""
+    rnd = random.Random(8)
+    letters = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    passage = letters(80)
+    docs = [(i, letters(rnd.randint(0, 90)) + passage[rnd.randint(0, 20) :] + letters(rnd.randint(0, 90))) for i in range(60)] + [(60, None), (None, passage)]
+    want = {r["doc_id"]: bytes(r["kept"]) for r in suffix.dedup_strings(make_docs(docs)).collect()}
+    whole = suffix._marks
+    seen = []
+    monkeypatch.setattr(suffix, "_marks", lambda part, length: seen.append(suffix._contexts(part, length, False).groupBy("gram").count().agg(F.max("count")).first()[0] or 0) or whole(part, length, 7))
+    got = {r["doc_id"]: bytes(r["kept"]) for r in suffix.dedup_strings(make_docs(docs), hot=5).collect()}
+    assert got == want
+    assert seen[0] <= 10 and any(len(got[i]) < len(docs[i][1]) for i in range(60))
+
+
 def test_deep_shallow_sorts():
     rng = np.random.default_rng(0)
     for n, width in ((0, 10), (1, 10), (300, 50), (9000, 34)):
