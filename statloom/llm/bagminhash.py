@@ -14,6 +14,8 @@ from statloom.llm.components import components
 from statloom.llm.tokens import _Cache
 from statloom.llm.winnow import _mixed, gram_hashes, words
 
+#: Bits that hold the parities of a bag's elements, for an exact bound on what two bags do not share.
+PARITY = 1024
 _WORD_HASH = _Cache(lambda w: xxhash.xxh3_64_intdigest(w))
 
 
@@ -103,9 +105,37 @@ def agreeing(a: Column, b: Column, m: int) -> Column:
 
 
 def least_agreeing(threshold: float, m: int) -> int:
-    """Fewer agreeing registers have a pair at ``threshold`` once in 30,000 (four standard deviations)."""
+    """Fewer agreeing registers has a pair at ``threshold`` less than once in a million (five standard deviations)."""
     p = threshold + (1 - threshold) / 16
-    return int(np.floor(m * p - 4 * np.sqrt(m * p * (1 - p))))
+    return int(np.floor(m * p - 5 * np.sqrt(m * p * (1 - p))))
+
+
+def elements(bag: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """A multiset as a set: sorted hashes of each shingle and the number of its occurrence."""
+    x, times = bag
+    turn = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+    return np.sort(_mixed(np.repeat(x, times) + turn.astype(np.uint64) * np.uint64(0xA0761D6478BD642F)))
+
+
+def parities(bags: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """``PARITY`` bits a bag: bit i tells whether an odd number of its elements falls into cell i."""
+    each = [elements(b) for b in bags]
+    at = np.repeat(np.arange(len(each)) * PARITY, [len(x) for x in each]) + (np.concatenate(each) >> np.uint64(32)).astype(np.int64) % PARITY
+    odd = np.bincount(at, minlength=len(each) * PARITY) & 1
+    return np.packbits(odd.astype(np.uint8).reshape(len(each), PARITY), axis=1).view(np.int64)
+
+
+def _parted(a: str, b: str, threshold: float) -> Column:
+    """Whether two multisets surely overlap by less than ``threshold``: by their sizes, or as more parities differ than elements may.
+
+    Both bounds are exact: every differing parity takes an element that only
+    one of the two has.
+    """
+    n, m = F.col(f"{a}size"), F.col(f"{b}size")
+    unlike = F.lit(0)
+    for i in range(PARITY // 64):
+        unlike = unlike + F.bit_count(F.col(f"{a}parity")[i].bitwiseXOR(F.col(f"{b}parity")[i]))
+    return (F.least(n, m) < threshold * F.greatest(n, m)) | (unlike * (1 + threshold) > (1 - threshold) * (n + m) + 1e-6)
 
 
 def node_of(text: Column) -> Column:
@@ -113,24 +143,28 @@ def node_of(text: Column) -> Column:
     return F.substring(F.unhex(F.sha2(F.coalesce(text.cast("string"), F.lit("")), 256)), 1, 16)
 
 
-def _overlaps(k: int, threshold: float):
+def _bags(k: int):
     def run(batches):
-        bags: dict[bytes, tuple] = {}
+        for batch in batches:
+            for texts_at in range(0, batch.num_rows, 256):
+                part = batch.slice(texts_at, 256)
+                bags = [elements(shingles(t, k)).tobytes() for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(bags, pa.binary())], ["node", "bag"])
+
+    return run
 
-        def bag(node, text):
-            if node not in bags:
-                if len(bags) >= 64:
-                    bags.pop(next(iter(bags)))
-                bags[node] = shingles(text, k)
-            return bags[node]
 
+def _overlaps(threshold: float):
+    def run(batches):
+        last, x = None, None
         for batch in batches:
             keep = []
-            for a, b, ta, tb in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                (x, nx), (y, ny) = bag(a, ta), bag(b, tb)
-                _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
-                both = int(np.minimum(nx[i], ny[j]).sum())
-                keep.append(both >= threshold * (int(nx.sum()) + int(ny.sum()) - both))
+            for a, y, ta in zip(batch.column(0).to_pylist(), batch.column(3), batch.column(2)):
+                if a != last:  # rows of one hub come in a row
+                    last, x = a, np.frombuffer(ta.as_py(), np.uint64)
+                y = np.frombuffer(y.as_py(), np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= threshold * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
 
     return run
@@ -139,46 +173,68 @@ def _overlaps(k: int, threshold: float):
 def verified(pairs: DataFrame, docs: DataFrame, k: int, threshold: float) -> DataFrame:
     """Pairs of nodes whose shingle multisets overlap by ``threshold`` at least (intersection over union).
 
-    Texts travel only for nodes in pairs, one copy each.
+    What travels is each node's multiset as hashes, made once and only for
+    nodes in pairs; ``b`` takes its own along to ``a``, where that of ``a`` is
+    there but once, so ``a`` should be the hub.
     """
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    texts = cut(docs.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "texts")
-    both = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
-    links = cut(both.select("a", "b", "ta", "tb").mapInArrow(_overlaps(k, threshold), "a binary, b binary"), "links")
-    discard(texts)
+    texts = docs.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+    bags = cut(texts.mapInArrow(_bags(k), "node binary, bag binary"), "bags")
+    both = pairs.join(bags.select(F.col("node").alias("b"), F.col("bag").alias("y")), "b").join(bags.select(F.col("node").alias("a"), F.col("bag").alias("x")), "a")
+    links = cut(both.select("a", "b", "x", "y").mapInArrow(_overlaps(threshold), "a binary, b binary"), "links")
+    discard(bags)
     return links
 
 
 def _buckets(signed: DataFrame) -> DataFrame:
-    """``(node, band, sketch)`` of the bands that two nodes share at least."""
-    nodes = signed.groupBy("node").agg(F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    """``(node, shared, weight, size, sketch, parity)`` of the nodes that share a band: their shared bands, and how many nodes those hold in all."""
+    told = F.struct("bands", "size", "sketch", "parity")
+    nodes = cut(signed.groupBy("node").agg(F.first(told).alias("t")).select("node", "t.*"), "nodes")
     member = nodes.select("node", F.explode("bands").alias("band"))
-    shared = member.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
-    return cut(member.join(shared, "band").join(nodes.select("node", "sketch"), "node"), "buckets")
+    shared = member.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    own = member.join(shared, "band").groupBy("node").agg(F.collect_list("band").alias("shared"), F.sum("n").alias("weight"))
+    out = cut(own.join(nodes.drop("bands"), "node"), "buckets")
+    discard(nodes)
+    return out
 
 
 def _open_buckets(bucket: DataFrame, links: DataFrame | None) -> DataFrame:
-    """Members of the buckets that hold more than one group, with their ``root``."""
+    """Members of the buckets that hold more than one group: ``node, root, weight, size, sketch, parity`` and the array ``shared`` of such buckets."""
     if links is None:
         return bucket.withColumn("root", F.col("node"))
-    grouped = bucket.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = grouped.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("band")
-    return cut(grouped.join(mixed, "band"), "open")
+    roots = components(links)
+    grouped = cut(bucket.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "grouped")
+    discard(roots)
+    each = grouped.select("node", "root", F.explode("shared").alias("band"))
+    mixed = each.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("band")
+    own = each.join(mixed, "band").groupBy("node").agg(F.collect_list("band").alias("shared"))
+    out = cut(grouped.drop("shared").join(own, "node"), "open")
+    discard(grouped)
+    return out
+
 
+def _hub_pairs(open_: DataFrame, round_: int, hubs: int, threshold: float, m: int, least: int) -> DataFrame:
+    """``(a, b)``: each node b with the hub a of its buckets that has the most registers in common with it.
 
-def _hub_pairs(open_: DataFrame, round_: int, hubs: int, m: int, least: int) -> DataFrame:
-    order = F.struct(F.xxhash64("node", F.pmod("band", F.lit(hubs)), F.lit(round_)), "node", "root", "sketch")
-    hub = open_.groupBy("band").agg(F.min(order).alias("hub")).select("band", F.col("hub.node").alias("hub"), F.col("hub.root").alias("hub_root"), F.col("hub.sketch").alias("hub_sketch"))
+    In the first round a bucket's hub is the node with the most neighbours over
+    all its buckets, such as the original of many variants; later any by a hash.
+    """
+    first = F.xxhash64("node", F.pmod("band", F.lit(hubs)), F.lit(round_)) if round_ else -F.col("weight")
+    told = ["node", "root", "size", "sketch", "parity"]
+    each = open_.select(F.explode("shared").alias("band"), "weight", *told)
+    hub = each.groupBy("band").agg(F.min(F.struct(first.alias("first"), *told)).alias("hub")).select("band", *[F.col(f"hub.{c}").alias(f"hub_{c}") for c in told])
     same = agreeing(F.col("sketch"), F.col("hub_sketch"), m)
-    held = open_.join(hub, "band").where((F.col("root") != F.col("hub_root")) & (same >= least)).select("node", F.struct(same.alias("same"), "hub").alias("h"))
-    best = held.groupBy("node").agg(F.max("h").alias("h"))
-    return best.select(F.least("node", "h.hub").alias("a"), F.greatest("node", "h.hub").alias("b")).distinct()
+    held = each.join(hub, "band").where((F.col("root") != F.col("hub_root")) & (same >= least) & ~_parted("", "hub_", threshold))
+    best = held.select("node", F.struct(same.alias("same"), "hub_node").alias("h")).groupBy("node").agg(F.max("h").alias("h"))
+    return best.select(F.col("h.hub_node").alias("a"), F.col("node").alias("b"))
 
 
-def _rest_pairs(open_: DataFrame, m: int, least: int) -> DataFrame:
-    other = open_.select("band", F.col("node").alias("b"), F.col("root").alias("b_root"), F.col("sketch").alias("b_sketch"))
-    close = agreeing(F.col("sketch"), F.col("b_sketch"), m) >= least
-    return open_.join(other, "band").where((F.col("node") < F.col("b")) & (F.col("root") != F.col("b_root")) & close).select(F.col("node").alias("a"), "b").distinct()
+def _rest_pairs(open_: DataFrame, threshold: float, m: int, least: int) -> DataFrame:
+    told = ["node", "root", "size", "sketch", "parity"]
+    each = open_.select(F.explode("shared").alias("band"), *told)
+    other = each.select("band", *[F.col(c).alias(f"b_{c}") for c in told])
+    close = (agreeing(F.col("sketch"), F.col("b_sketch"), m) >= least) & ~_parted("", "b_", threshold)
+    return each.join(other, "band").where((F.col("node") < F.col("b_node")) & (F.col("root") != F.col("b_root")) & close).select(F.col("node").alias("a"), F.col("b_node").alias("b")).distinct()
 
 
 def _linked(bucket: DataFrame, named: DataFrame, k: int, threshold: float, m: int, star_rounds: int, hubs: int) -> DataFrame:
@@ -187,13 +243,17 @@ def _linked(bucket: DataFrame, named: DataFrame, k: int, threshold: float, m: in
     for round_ in range(star_rounds + 1):
         open_ = _open_buckets(bucket, links)
         if links is not None and not open_.limit(1).count():
+            discard(open_)
             break
-        pairs = cut(_hub_pairs(open_, round_, hubs, m, least) if round_ < star_rounds else _rest_pairs(open_, m, least), "pairs")
+        pairs = cut(_hub_pairs(open_, round_, hubs, threshold, m, least) if round_ < star_rounds else _rest_pairs(open_, threshold, m, least), "pairs")
         found = verified(pairs, named, k, threshold)
         discard(pairs)
         if round_:
             discard(open_)
-        links = found if links is None else cut(links.unionByName(found), "links")
+        old, links = links, found if links is None else cut(links.unionByName(found), "links")
+        if old is not None:
+            discard(old)
+            discard(found)
     return links
 
 
@@ -216,14 +276,16 @@ def near_duplicates(
     registers once in 20,000.
 
     Equal texts are one node from the start. Within a bucket (equal band) every
-    node is first held against a hub only, the least by a hash that changes
-    with the round and takes ``hubs`` turns over the bands; of its hubs the one
-    with the most agreeing registers is verified. What joins a hub's group needs
-    no further pair in it. After ``star_rounds`` rounds all pairs of a bucket
-    whose ends still lie in different groups are compared, so no link between
-    groups is lost, while a group of n like texts costs about n pairs. A pair is
-    verified unless its registers agree so rarely that a similarity of
-    ``threshold`` is out of question (one in 30,000).
+    node is first held against a hub only: the node with the most neighbours,
+    in later rounds one by a hash that changes with the round and takes ``hubs``
+    turns over the bands; of its hubs the one with the most agreeing registers
+    is verified. What joins a hub's group needs no further pair in it. After
+    ``star_rounds`` rounds all pairs of a bucket whose ends still lie in
+    different groups are compared, so no link between groups is lost, while a
+    group of n like texts costs about n pairs. A pair is refused before its
+    multisets travel if their sizes or the parities of their elements rule out
+    ``threshold`` (exact bounds), or if so few registers agree as happens less
+    than once in a million at ``threshold``.
 
     A null text is empty; texts without words are near-duplicates of equal
     texts only. Texts of fewer words than ``k`` are one shingle. The class id is
@@ -237,17 +299,23 @@ def near_duplicates(
 
     def make():
         def step(texts):
-            h = signatures([shingles(t, k) for t in texts], m)
-            keys, some, packed = band_keys(h, bands, rows), np.isfinite(h[:, 0]), sketches(h)
-            return [[x.tolist() if ok else [] for x, ok in zip(keys, some)], packed.tolist()]
+            bags = [shingles(t, k) for t in texts]
+            h = signatures(bags, m)
+            keys, some = band_keys(h, bands, rows), np.isfinite(h[:, 0])
+            sizes = [int(times.sum()) for _, times in bags]
+            return [[x.tolist() if ok else [] for x, ok in zip(keys, some)], sizes, sketches(h).tolist(), parities(bags).tolist()]
 
         return step
 
     longs = T.ArrayType(T.LongType())
-    signed, at = append_columns(named, "text", make, [T.StructField("bands", longs), T.StructField("sketch", longs)])
-    signed = cut(signed.select(F.col(at[0]).alias("doc_id"), F.col(at[2]).alias("node"), "bands", "sketch"), "signed")
-    links = _linked(_buckets(signed), named, k, threshold, m, star_rounds, hubs)
+    fields = [T.StructField("bands", longs), T.StructField("size", T.LongType()), T.StructField("sketch", longs), T.StructField("parity", longs)]
+    signed, at = append_columns(named, "text", make, fields)
+    signed = cut(signed.select(F.col(at[0]).alias("doc_id"), F.col(at[2]).alias("node"), *[f.name for f in fields]), "signed")
+    bucket = _buckets(signed)
+    links = _linked(bucket, named, k, threshold, m, star_rounds, hubs)
+    discard(bucket)
     roots = components(links)
+    discard(links)
     rooted = signed.select("doc_id", "node").join(roots, "node", "left").select("doc_id", "node", F.coalesce("root", "node").alias("root"))
     classes = rooted.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
     return rooted.join(classes, "root").select("doc_id", "node", "class_id", "class_size")

@@ -31,5 +31,7 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         roots = new
         if not roots.where("moved").limit(1).count():
             discard(edges)
-            return roots.select("node", "root")
+            out = roots.select("node", "root")
+            out._scratch_path = roots._scratch_path
+            return out
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
