@@ -170,19 +170,26 @@ def _overlaps(threshold: float):
     return run
 
 
-def verified(pairs: DataFrame, docs: DataFrame, k: int, threshold: float) -> DataFrame:
+def _bagged(bucket: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """``(node, bag)`` of the nodes of ``bucket``: the one step in which texts move.
+
+    The join is a merge at every size, as only then does it grow in proportion.
+    """
+    texts = docs.join(bucket.select("node").hint("merge"), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+    return cut(texts.mapInArrow(_bags(k), "node binary, bag binary"), "bags")
+
+
+def verified(pairs: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
     """Pairs of nodes whose shingle multisets overlap by ``threshold`` at least (intersection over union).
 
-    What travels is each node's multiset as hashes, made once and only for
-    nodes in pairs; ``b`` takes its own along to ``a``, where that of ``a`` is
-    there but once, so ``a`` should be the hub.
+    ``b`` takes its own multiset along to ``a``, where that of ``a`` is there
+    but once, so ``a`` should be the hub.
     """
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    texts = docs.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
-    bags = cut(texts.mapInArrow(_bags(k), "node binary, bag binary"), "bags")
-    both = pairs.join(bags.select(F.col("node").alias("b"), F.col("bag").alias("y")), "b").join(bags.select(F.col("node").alias("a"), F.col("bag").alias("x")), "a")
+    mine = cut(bags.join(wanted.hint("merge"), "node", "left_semi"), "wanted")
+    both = pairs.join(mine.select(F.col("node").alias("b"), F.col("bag").alias("y")), "b").join(mine.select(F.col("node").alias("a"), F.col("bag").alias("x")), "a")
     links = cut(both.select("a", "b", "x", "y").mapInArrow(_overlaps(threshold), "a binary, b binary"), "links")
-    discard(bags)
+    discard(mine)
     return links
 
 
@@ -240,13 +247,14 @@ def _rest_pairs(open_: DataFrame, threshold: float, m: int, least: int) -> DataF
 def _linked(bucket: DataFrame, named: DataFrame, k: int, threshold: float, m: int, star_rounds: int, hubs: int) -> DataFrame:
     """Verified links that connect every group."""
     links, least = None, least_agreeing(threshold, m)
+    bags = _bagged(bucket, named, k)
     for round_ in range(star_rounds + 1):
         open_ = _open_buckets(bucket, links)
         if links is not None and not open_.limit(1).count():
             discard(open_)
             break
         pairs = cut(_hub_pairs(open_, round_, hubs, threshold, m, least) if round_ < star_rounds else _rest_pairs(open_, threshold, m, least), "pairs")
-        found = verified(pairs, named, k, threshold)
+        found = verified(pairs, bags, threshold)
         discard(pairs)
         if round_:
             discard(open_)
@@ -254,6 +262,7 @@ def _linked(bucket: DataFrame, named: DataFrame, k: int, threshold: float, m: in
         if old is not None:
             discard(old)
             discard(found)
+    discard(bags)
     return links
 
 
