@@ -13,8 +13,8 @@ from statloom.llm.winnow import _mixed
 
 #: Bytes of a gram that names a sampled suffix. Must be a power of two below the string length.
 GRAM = 16
-#: Bytes that the multikey quicksort compares, eight at a time, before blind tries take over.
-SHALLOW = 24
+#: Bytes that multikey sorting compares, eight at a time, before blind tries take over.
+SHALLOW = 40
 _ID_NONE = 2**63 - 1
 
 
@@ -103,43 +103,41 @@ class BlindTrie:
                 yield from node[1]
 
 
-def deep_shallow(strings: np.ndarray, shallow: int = SHALLOW) -> np.ndarray:
+def deep_shallow(strings: np.ndarray, real: np.ndarray | None = None, shallow: int = SHALLOW) -> np.ndarray:
     """Order of the rows of a byte matrix.
 
-    Multikey quicksort over eight-byte characters: a segment is split into
-    less, equal and greater than a pivot's character; the equal part goes on
-    with the next. What is equal over ``shallow`` bytes goes into a blind trie.
+    Multikey sorting over eight-byte characters: every segment of rows that are
+    equal so far is split by its next character, all segments at once. What is
+    equal over ``shallow`` bytes goes into a blind trie. Equal rows are ordered
+    by ``real``, the number of bytes before their zero padding, so that a row
+    precedes those it is a prefix of, zero bytes or not.
     """
     n, width = strings.shape
     padded = np.zeros((n, -(-width // 8) * 8), np.uint8)
     padded[:, :width] = strings
     words = padded.view(">u8").astype(np.uint64)
-    order, depth_end = np.arange(n), min(shallow // 8, words.shape[1])
-    stack = [(0, n, 0)] if n else []
-    while stack:
-        lo, hi, depth = stack.pop()
-        if hi - lo < 2:
-            continue
-        own = order[lo:hi]
-        if depth == depth_end:
-            trie = BlindTrie()
-            for i in own.tolist():
-                trie.insert(strings[i].tobytes(), i)
-            order[lo:hi] = list(trie)
-            continue
+    order = np.arange(n) if real is None else np.argsort(real, kind="stable")
+    if n < 2:
+        return order
+    segment, live = np.zeros(n, np.int64), np.arange(n)
+    for depth in range(min(shallow // 8, words.shape[1])):
+        own, old = order[live], segment[live]
+        by = np.lexsort((words[own, depth], old))
+        own, old = own[by], old[by]
         key = words[own, depth]
-        if hi - lo <= 4096:  # small: sorted at once, runs of equals go on
-            by = np.argsort(key, kind="stable")
-            order[lo:hi], key = own[by], key[by]
-            cuts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
-            stack += [(lo + a, lo + b, depth + 1) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()) if b - a > 1]
-            continue
-        pivot = np.median(key[:: max(1, len(key) // 9)].astype(np.float64))
-        pivot = key[np.argmin(np.abs(key.astype(np.float64) - pivot))]
-        parts = [own[key < pivot], own[key == pivot], own[key > pivot]]
-        order[lo:hi] = np.concatenate(parts)
-        a, b = lo + len(parts[0]), lo + len(parts[0]) + len(parts[1])
-        stack += [(lo, a, depth), (a, b, depth + 1), (b, hi, depth)]
+        order[live] = own
+        first = np.flatnonzero(np.concatenate([[True], (old[1:] != old[:-1]) | (key[1:] != key[:-1])]))
+        sizes = np.diff(np.append(first, len(live)))
+        segment[live] = np.repeat(live[first], sizes)
+        live = live[np.repeat(sizes > 1, sizes)]
+        if not len(live):
+            return order
+    cuts = np.flatnonzero(np.concatenate([[True], segment[live][1:] != segment[live][:-1], [True]]))
+    for lo, hi in zip(cuts[:-1], cuts[1:]):
+        trie, at = BlindTrie(), live[lo:hi]
+        for i in order[at].tolist():
+            trie.insert(strings[i].tobytes(), i)
+        order[at] = list(trie)
     return order
 
 
@@ -163,7 +161,7 @@ def earlier(ctx: np.ndarray, doc: np.ndarray, length: int) -> np.ndarray:
     n, left = len(ctx), length - GRAM
     real_l, real_r = ctx[:, -2].astype(np.int64), ctx[:, -1].astype(np.int64)
     right_of, left_of = ctx[:, left:-2], np.ascontiguousarray(ctx[:, left - 1 :: -1][:, :left]) if left else ctx[:, :0]
-    by_r, by_l = deep_shallow(np.ascontiguousarray(right_of)), deep_shallow(left_of)
+    by_r, by_l = deep_shallow(np.ascontiguousarray(right_of), real_r), deep_shallow(left_of, real_l)
     lcp_r, lcp_l = _common(right_of[by_r], real_r[by_r]), _common(left_of[by_l], real_l[by_l])
     mask, rank = np.zeros(n, np.int64), np.empty((2, n), np.int64)
     for j in range(left + 1):
@@ -210,14 +208,44 @@ def _member(s: Slice, lists: list) -> np.ndarray:
 
 
 _COEFFICIENTS = np.random.default_rng(5).integers(0, 2**64, (2, 256), np.uint64) | np.uint64(1)
+#: For names of contexts: values of the bytes, and the odd base whose powers weigh them, in two independent ways.
+_VALUES = np.random.default_rng(6).integers(0, 2**64, (2, 256), np.uint64) | np.uint64(1)
+_BASES = (0xD1342543DE82EF95, 0xAF251AF3B0F025B5)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    return np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(max(n - 1, 0), base, np.uint64)]))
 
 
 def _names(ctx: np.ndarray) -> np.ndarray:
-    """128-bit names of contexts, as two longs in one row: multilinear hashes of their bytes."""
+    """128-bit names of strings of one length, as two longs in one row: multilinear hashes of their bytes."""
     wide, width = ctx.astype(np.uint64) + np.uint64(1), ctx.shape[1]
     return np.column_stack([_mixed(wide @ c[:width] + c[-1]) for c in _COEFFICIENTS]).view(np.int64).reshape(-1, 2)
 
 
+def _context_names(ctx: np.ndarray, length: int) -> np.ndarray:
+    """128-bit names of contexts: their real bytes' values, weighed by powers of their distance to the gram."""
+    left, width = length - GRAM, 2 * length - GRAM
+    cols, l, r = np.arange(width), ctx[:, -2].astype(np.int64)[:, None], ctx[:, -1].astype(np.int64)[:, None]
+    real = (cols >= left - l) & (cols < left + r)
+    out = []
+    for values, base in zip(_VALUES, _BASES):
+        weights = _powers(base, width) * np.uint64(pow(base, -left, 1 << 64))
+        out.append(_mixed(np.where(real, values[ctx[:, :width]], np.uint64(0)) @ weights))
+    return np.column_stack(out).view(np.int64).reshape(-1, 2)
+
+
+def _slice_names(s: Slice, at: np.ndarray, length: int) -> np.ndarray:
+    """The same names for contexts of a slice, from running sums over its bytes."""
+    lo, hi = np.maximum(s.begins[at], at - (length - GRAM)), np.minimum(s.ends[at], at + length)
+    out = []
+    for values, base in zip(_VALUES, _BASES):
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values[s.x] * _powers(base, len(s.x)))])
+        back = _powers(pow(base, -1, 1 << 64), len(s.x))
+        out.append(_mixed((sums[hi] - sums[lo]) * back[at]))
+    return np.column_stack(out).view(np.int64).reshape(-1, 2)
+
+
 def _sampled(rows: DataFrame, length: int) -> DataFrame:
     """``(h, doc_id)``: the grams of each document's sampled suffixes, each once a document."""
 
@@ -248,31 +276,42 @@ def _suspects(rows: DataFrame, sampled: DataFrame, shared: DataFrame, hot: int)
     return part
 
 
-def _occurrences(s: Slice, lists: list, length: int):
-    """Suffixes in the lists: place among the slice's suffixes, context and name."""
-    keep = np.flatnonzero(_member(s, lists))
-    ctx = contexts(s.x, s.at[keep], s.begins, s.ends, length)
-    return keep, ctx, _names(ctx)
+def _binary(rows: np.ndarray) -> pa.Array:
+    """The rows of a byte matrix as a binary column."""
+    offsets = np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(rows))])
 
 
-def _contexts(part: DataFrame, length: int, hot: bool, held: int = 100_000) -> DataFrame:
-    """``(gram, ctx, doc_id, n)``: contexts of the hot grams, or of the others, with their least document; equal ones of a task are combined, ``held`` at a time."""
-    left = length - GRAM
+def _contexts(part: DataFrame, length: int) -> DataFrame:
+    """``(h, ctx, doc_id)``: each occurrence of a gram that is not hot, with its context."""
+
+    def run(batches):
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            hs = [np.setdiff1d(np.array(x, np.int64), np.array(y, np.int64), True) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            for a, b, s in _each(batch, length):
+                keep = np.flatnonzero(_member(s, hs[a:b]))
+                for own in (keep[i : i + 20_000] for i in range(0, len(keep), 20_000)):
+                    ctx = contexts(s.x, s.at[own], s.begins, s.ends, length)
+                    yield pa.RecordBatch.from_arrays([pa.array(s.h[own]), _binary(ctx), pa.array(ids[a + s.doc[own]])], ["h", "ctx", "doc_id"])
+
+    return part.mapInArrow(run, "h long, ctx binary, doc_id long")
+
+
+def _hot_contexts(part: DataFrame, length: int, held: int = 100_000) -> DataFrame:
+    """``(ctx, doc_id, n)``: contexts of the hot grams with their least document; equal ones of a task are combined, ``held`` at a time."""
 
     def flush(seen: dict):
-        ctx = list(seen)
         doc, n = zip(*seen.values())
-        columns = [pa.array([c[left : left + GRAM] for c in ctx], pa.binary()), pa.array(ctx, pa.binary()), pa.array(doc, pa.int64()), pa.array(n, pa.int64())]
-        return pa.RecordBatch.from_arrays(columns, ["gram", "ctx", "doc_id", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(doc, pa.int64()), pa.array(n, pa.int64())], ["ctx", "doc_id", "n"])
 
     def run(batches):
         seen: dict[bytes, tuple[int, int]] = {}
         for batch in batches:
-            ids, hs = batch.column(0).to_numpy(), [np.array(x, np.int64) for x in batch.column(3 if hot else 2).to_pylist()]
-            if not hot:
-                hs = [np.setdiff1d(x, np.array(y, np.int64)) for x, y in zip(hs, batch.column(3).to_pylist())]
+            ids, hs = batch.column(0).to_numpy(), [np.array(x, np.int64) for x in batch.column(3).to_pylist()]
             for a, b, s in _each(batch, length):
-                keep, ctx, _ = _occurrences(s, hs[a:b], length)
+                keep = np.flatnonzero(_member(s, hs[a:b]))
+                ctx = contexts(s.x, s.at[keep], s.begins, s.ends, length)
                 size, raw = ctx.shape[1], ctx.tobytes()
                 for i, doc in enumerate(ids[a + s.doc[keep]].tolist()):
                     c = raw[i * size : (i + 1) * size]
@@ -287,20 +326,20 @@ def _contexts(part: DataFrame, length: int, hot: bool, held: int = 100_000) -> D
         if seen:
             yield flush(seen)
 
-    return part.mapInArrow(run, "gram binary, ctx binary, doc_id long, n long")
+    return part.mapInArrow(run, "ctx binary, doc_id long, n long")
 
 
 def _hot_marks(part: DataFrame, length: int) -> DataFrame:
     """:func:`_marks` of the hot grams: no task sees all contexts of a gram, the least document is combined by string."""
     left, size = length - GRAM, 2 * length - GRAM + 2
-    found = _contexts(part.where(F.size("hot") > 0), length, True)
+    found = _hot_contexts(part.where(F.size("hot") > 0), length)
     found = cut(found.groupBy("ctx").agg(F.min("doc_id").alias("doc_id"), ((F.max("n") > 1) | (F.min("doc_id") != F.max("doc_id"))).alias("several")), "hot")
 
     def named(batches):
         for batch in batches:
             if batch.num_rows:
                 ctx = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).reshape(-1, size)
-                name = _names(ctx)
+                name = _context_names(ctx, length)
                 yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(name[:, 0])), pa.array(np.ascontiguousarray(name[:, 1])), batch.column(1), batch.column(2)], ["c1", "c2", "least", "several"])
 
     def strings(batches):
@@ -308,7 +347,7 @@ def _hot_marks(part: DataFrame, length: int) -> DataFrame:
             for at in range(0, whole.num_rows, 1000):
                 batch = whole.slice(at, 1000)
                 ctx = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).reshape(-1, size)
-                doc, name = batch.column(1).to_numpy(), _names(ctx)
+                doc, name = batch.column(1).to_numpy(), _context_names(ctx, length)
                 for j in range(left + 1):
                     ok = np.flatnonzero((ctx[:, -2] >= j) & (ctx[:, -1] >= length - j))
                     own = _names(ctx[ok, left - j : left - j + length])
@@ -325,8 +364,7 @@ def _hot_marks(part: DataFrame, length: int) -> DataFrame:
 def _marks(part: DataFrame, length: int, most: int = 100_000) -> DataFrame:
     """``(c1, c2, least, mask)`` by context: its least document, and which of its strings stand in an even earlier one.
 
-    The contexts of a gram that is not hot meet in one task, each once from each
-    task before, and are judged with those of other grams, about ``most`` at a time;
+    The contexts of a gram that is not hot meet in one task and are judged with those of other grams, about ``most`` at a time;
     contexts without any earlier string or second document are left out.
     """
     size = 2 * length - GRAM + 2
@@ -338,7 +376,7 @@ def _marks(part: DataFrame, length: int, most: int = 100_000) -> DataFrame:
             rows += batch.num_rows
             if rows >= most:
                 t = pa.Table.from_batches(held).combine_chunks()
-                whole = pc.index(t["gram"], t["gram"][-1]).as_py()
+                whole = pc.index(t["h"], t["h"][-1]).as_py()
                 if whole:
                     yield decide(t.slice(0, whole))
                 held, rows = t.slice(whole).to_batches(), t.num_rows - whole
@@ -347,21 +385,21 @@ def _marks(part: DataFrame, length: int, most: int = 100_000) -> DataFrame:
 
     def decide(t):
         ctx = np.frombuffer(b"".join(t["ctx"].to_pylist()), np.uint8).reshape(-1, size)
-        doc, n, name = t["doc_id"].to_numpy(), t["n"].to_numpy(), _names(ctx)
-        by = np.lexsort((doc, name[:, 1], name[:, 0]))
+        doc, h, name = t["doc_id"].to_numpy(), t["h"].to_numpy(), _context_names(ctx, length)
+        by = np.lexsort((doc, name[:, 1], name[:, 0], h))
         first = np.flatnonzero(np.concatenate([[True], (name[by][1:] != name[by][:-1]).any(1)]))
         last = np.append(first[1:], len(by)) - 1
-        several = (doc[by][first] != doc[by][last]) | (np.maximum.reduceat(n[by], first) > 1)
-        ctx, doc, name = ctx[by[first]], doc[by[first]], name[by[first]]
-        grams = np.ascontiguousarray(ctx[:, length - GRAM : length]).view(f"V{GRAM}").ravel()
-        _, group, times = np.unique(grams, return_inverse=True, return_counts=True)
-        mixed = np.flatnonzero(times[group] > 1)
+        several = doc[by][first] != doc[by][last]
+        ctx, doc, name, h = ctx[by[first]], doc[by[first]], name[by[first]], h[by[first]]
+        edges = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        times = np.diff(np.append(edges, len(h)))
+        mixed = np.flatnonzero(np.repeat(times > 1, times))
         mask = np.zeros(len(doc), np.int64)
         mask[mixed] = earlier(ctx[mixed], doc[mixed], length)
         say = (mask != 0) | several
         return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(v[say])) for v in (name[:, 0], name[:, 1], doc, mask)], ["c1", "c2", "least", "mask"])
 
-    cold = _contexts(part, length, False).repartition("gram").sortWithinPartitions("gram").mapInArrow(judge, "c1 long, c2 long, least long, mask long")
+    cold = _contexts(part, length).repartition("h").sortWithinPartitions("h").mapInArrow(judge, "c1 long, c2 long, least long, mask long")
     return cut(cold.unionByName(_hot_marks(part, length)), "marks")
 
 
@@ -372,9 +410,9 @@ def _replies(part: DataFrame, marks: DataFrame, length: int) -> DataFrame:
         for batch in batches:
             ids, hs = batch.column(0).to_numpy(), [np.array(x) for x in batch.column(2).to_pylist()]
             for a, b, s in _each(batch, length):
-                keep, _, name = _occurrences(s, hs[a:b], length)
-                row = np.unique(np.column_stack([s.doc[keep], name]), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(v)) for v in (ids[a + row[:, 0]], row[:, 1], row[:, 2])], ["doc_id", "c1", "c2"])
+                keep = np.flatnonzero(_member(s, hs[a:b]))
+                name = _slice_names(s, s.at[keep], length)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(v)) for v in (ids[a + s.doc[keep]], name[:, 0], name[:, 1])], ["doc_id", "c1", "c2"])
 
     told = part.mapInArrow(run, "doc_id long, c1 long, c2 long").join(marks, ["c1", "c2"])
     told = told.select("doc_id", "c1", "c2", F.when(F.col("doc_id") > F.col("least"), F.lit(-1).cast("long")).otherwise(F.col("mask")).alias("mask"))
@@ -391,7 +429,8 @@ def _cleaned(part: DataFrame, replies: DataFrame, length: int) -> DataFrame:
             own = [{(m["c1"], m["c2"]): m["mask"] for m in x} if x else None for x in marked]
             for a, b, s in _each(batch, length):
                 edge = np.zeros(len(s.x) + 1, np.int64)
-                keep, _, name = _occurrences(s, [g if m else None for g, m in zip(hs[a:b], own[a:b])], length)
+                keep = np.flatnonzero(_member(s, [g if m else None for g, m in zip(hs[a:b], own[a:b])]))
+                name = _slice_names(s, s.at[keep], length)
                 found = ((k, own[a + d].get((x, y))) for k, d, (x, y) in zip(keep.tolist(), s.doc[keep].tolist(), name.tolist()))
                 for k, mask in found:
                     if mask is None:
@@ -438,9 +477,12 @@ def dedup_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Returns ``doc_id, text, n_bytes, n_removed, n_spans, kept`` (binary). Strings
     are judged on the input. A null text is empty. Rows with equal ids do not
     remove each other's bytes; rows with a null id come after all ids. Texts
-    shorter than ``length`` keep all. An empty table gives no row. Other
+    shorter than ``length`` keep all. Ids are whole numbers below 2**63 - 1;
+    ``length`` lies between 17 and 78. An empty table gives no row. Other
     columns are not read. Each step ends in a table in the shared folder.
     """
+    if not GRAM < length <= GRAM + 62:
+        raise ValueError(f"length must lie between {GRAM + 1} and {GRAM + 62}")
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_ID_NONE)).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     shared = _shared_grams(_sampled(rows, length))
     part = _suspects(rows, _sampled(rows, length), shared, hot)

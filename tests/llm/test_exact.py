@@ -169,7 +169,7 @@ def test_packing_keeps_every_id_once(spark, make_docs, awkward, capacity):
     assert packing.pack(make_docs([])).count() == 0
 
 
-def brute_strings(docs, length=50):
+def brute_strings(docs, length=50, in_order=False):
     docs = [((2**63 if i is None else i), (t or "").encode()) for i, t in docs]
     first = {}
     for i, b in docs:
@@ -184,7 +184,11 @@ def brute_strings(docs, length=50):
                 gone[s : s + length] = True
         spans = int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum())
         out.append((len(b), int(gone.sum()), spans, np.frombuffer(b, np.uint8)[~gone].tobytes()))
-    return sorted(out)
+    return out if in_order else sorted(out)
+
+
+def brute_strings_in_order(texts, length):
+    return brute_strings([(i, t.decode()) for i, t in enumerate(texts)], length, in_order=True)
 
 
 def test_strings_equal_brute_force(spark, make_docs, awkward):
@@ -192,11 +196,35 @@ def test_strings_equal_brute_force(spark, make_docs, awkward):
     passages = ["".join(rnd.choice("abcd é") for _ in range(rnd.randint(30, 120))) for _ in range(8)]
     docs = [(i, "".join(rnd.choice(passages)[: rnd.randint(20, 120)] + rnd.choice("xyz") for _ in range(rnd.randint(0, 6)))) for i in range(60)]
     docs += [(i if i is None else 500 + i, t) for i, t in awkward if t is None or len(t) < 1000] + [(900, "a" * 500), (901, "a" * 200), (902, "ab" * 100)]
+    docs += [(1000 + i, "".join(rnd.choice(["\0" * rnd.randint(1, 60), "a" * rnd.randint(1, 20), "b\0"]) for _ in range(rnd.randint(1, 6)))) for i in range(60)]
     rows = suffix.dedup_strings(make_docs(docs)).collect()
     assert sorted((r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in rows) == brute_strings(docs)
     assert suffix.dedup_strings(make_docs([])).count() == 0
 
 
+@pytest.mark.parametrize("seed", range(60))
+def test_zero_bytes_are_not_padding(seed):
+    """What one gram's suffixes tell, against all strings, with texts of zero bytes."""
+    rnd, length = random.Random(seed), 50
+    texts = [bytes(rnd.choice(b"\0\0\0a") if rnd.random() < 0.2 else 0 for _ in range(rnd.randint(50, 90))) for _ in range(6)]
+    s = suffix.Slice(texts, length)
+    ctx, gone = suffix.contexts(s.x, s.at, s.begins, s.ends, length), [np.zeros(len(t), bool) for t in texts]
+    for gram in {int(h) for h in s.h}:
+        own = np.flatnonzero(s.h == gram)
+        for k, mask in zip(own, suffix.earlier(ctx[own], s.doc[own], length).tolist()):
+            begin = int(s.at[k] - s.begins[s.at[k]])
+            for j in range(length - suffix.GRAM + 1):
+                if mask >> j & 1:
+                    gone[s.doc[k]][begin - j : begin - j + length] = True
+    assert [t for t in map(bytes, (np.frombuffer(t, np.uint8)[~g].tobytes() for t, g in zip(texts, gone)))] == [x[3] for x in brute_strings_in_order(texts, length)]
+
+
+def test_length_is_guarded(make_docs):
+    for length in (16, 79):
+        with pytest.raises(ValueError, match="length"):
+            suffix.dedup_strings(make_docs([(1, "a")]), length=length)
+
+
 def test_hot_grams_are_split(spark, make_docs, monkeypatch):
     """A passage in nearly all documents, each time in another context, meets in no task whole; results stay right."""
     rnd = random.Random(8)
@@ -206,7 +234,7 @@ def test_hot_grams_are_split(spark, make_docs, monkeypatch):
     want = {r["doc_id"]: bytes(r["kept"]) for r in suffix.dedup_strings(make_docs(docs)).collect()}
     whole = suffix._marks
     seen = []
-    monkeypatch.setattr(suffix, "_marks", lambda part, length: seen.append(suffix._contexts(part, length, False).groupBy("gram").count().agg(F.max("count")).first()[0] or 0) or whole(part, length, 7))
+    monkeypatch.setattr(suffix, "_marks", lambda part, length: seen.append(suffix._contexts(part, length).groupBy("h").count().agg(F.max("count")).first()[0] or 0) or whole(part, length, 7))
     got = {r["doc_id"]: bytes(r["kept"]) for r in suffix.dedup_strings(make_docs(docs), hot=5).collect()}
     assert got == want
     assert seen[0] <= 10 and any(len(got[i]) < len(docs[i][1]) for i in range(60))
