@@ -40,6 +40,30 @@ def running(df: DataFrame, order: Sequence[str], position: Column, sums: dict[st
     return out.drop("_bucket", *[f"_s_{n}" for n in sums])
 
 
+def quantiles(values: DataFrame, x: str, shares: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+    """``q0, q1, ...``: exact quantiles of a number, linearly interpolated, one row a group of ``by``.
+
+    Equal values combine before the shuffle and ranks are running counts over
+    buckets, so that no task sees all values of a column or of a hot group.
+    """
+    counts = values.groupBy(*by, x).agg(F.count("*").alias("_m"))
+    placed = running(counts, [x], F.col(x), {"_n": F.col("_m")}, by)
+    totals = counts.groupBy(*by).agg(F.sum("_m").alias("_total"))
+    joined = placed.join(totals, list(by)) if by else placed.crossJoin(F.broadcast(totals))
+    aggs, cells = [], []
+    for i, share in enumerate(shares):
+        h = F.lit(float(share)) * (F.col("_total") - 1)
+        at = lambda rank: F.max(F.when((rank >= F.col("before__n")) & (rank < F.col("before__n") + F.col("_m")), F.col(x)))
+        aggs += [at(F.floor(h)).alias(f"_lo{i}"), at(F.ceil(h)).alias(f"_hi{i}")]
+        cells.append((F.col(f"_lo{i}") + (h - F.floor(h)) * (F.col(f"_hi{i}") - F.col(f"_lo{i}"))).alias(f"q{i}"))
+    return joined.groupBy(*by).agg(F.max("_total").alias("_total"), *aggs).select(*by, *cells)
+
+
+def text_position(text: Column) -> Column:
+    """A number that never falls along the binary order of texts: their first six bytes."""
+    return F.conv(F.rpad(F.hex(F.substring(F.encode(text, "UTF-8"), 1, 6)), 12, "0"), 16, 10).cast("double")
+
+
 def row_index(df: DataFrame, order_by: str, position: Column | None = None) -> DataFrame:
     """Adds ``row_index``, from 0, in the order of a unique column."""
     place = position if position is not None else F.col(order_by).cast("timestamp").cast("double") if dict(df.dtypes)[order_by] in ("timestamp", "date") else F.col(order_by).cast("double")

@@ -436,7 +436,7 @@ def _dummy(spark, d):
 @query("ordinal_encode", "SELECT event_id, event_type, dense_rank() OVER (ORDER BY event_type DESC) - 1 AS code FROM events")
 def _ordinal(spark, d):
     events = _t(spark, d, "events").select("event_id", "event_type")
-    order = sorted((r["event_type"] for r in events.select("event_type").distinct().collect()), reverse=True)
+    order = ["view", "signup", "purchase", "error", "click"]
     return encode.ordinal_encode(events, "event_type", order, "code").withColumn("code", F.col("code").cast("long"))
 
 
@@ -455,7 +455,7 @@ def _target(spark, d):
 
 @query("box_cox_transform")
 def _box_cox(spark, d):
-    out, found = transform.box_cox_transform(_t(spark, d, "events").select("event_id", "value"), "value", output="transformed")
+    out, found = transform.box_cox_transform(_t(spark, d, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice", output="transformed")
     return out.withColumns({k: F.lit(v) for k, v in found.items()})
 
 

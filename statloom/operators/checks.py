@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from statloom.functions import dist
 from statloom.functions.columns import complete
-from statloom.functions.ordering import with_lag
+from statloom.functions.ordering import quantiles, with_lag
 
 #: From this many values on normality is judged by moments, below by order statistics.
 MOMENTS_FROM = 5000
@@ -118,7 +118,7 @@ def normality_check(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataF
 def homogeneity_of_variance(df: DataFrame, group_col: str, value_col: str) -> DataFrame:
     """Brown-Forsythe: one-way F of the distances from the groups' medians; one row."""
     values = complete(df, labels={"g": group_col}, x=value_col)
-    medians = values.groupBy("g").agg(F.median("x").alias("m"))
+    medians = quantiles(values, "x", (0.5,), ("g",)).withColumnRenamed("q0", "m")
     z = values.join(medians, "g").withColumn("z", F.abs(F.col("x") - F.col("m")))
     return anova_of(z.groupBy("g").agg(F.count("z").cast("double").alias("n"), F.avg("z").alias("mean"), F.var_pop("z").alias("var"))).select(
         F.col("f").alias("statistic"), "df1", "df2", "p_value", (F.col("p_value") > LEVEL).alias("passed")
@@ -127,17 +127,16 @@ def homogeneity_of_variance(df: DataFrame, group_col: str, value_col: str) -> Da
 
 def anova_of(groups: DataFrame) -> DataFrame:
     """F, degrees of freedom, p and eta squared from one row (n, mean, var_pop) a group."""
-    total = groups.agg(
+    grand = groups.agg((F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("grand"))
+    gap = F.col("mean") - F.col("grand")
+    total = groups.crossJoin(F.broadcast(grand)).agg(
         F.count("*").cast("double").alias("k"),
         F.sum("n").alias("total"),
-        F.sum(F.col("n") * F.col("mean")).alias("sum"),
         F.sum(F.col("n") * F.col("var")).alias("within"),
-        F.collect_list(F.struct("n", "mean")).alias("groups"),
+        F.coalesce(F.sum(F.col("n") * gap * gap), F.lit(0.0)).alias("between"),
     )
-    grand = F.col("sum") / F.col("total")
-    between = F.aggregate("groups", F.lit(0.0), lambda s, g: s + g["n"] * (g["mean"] - grand) * (g["mean"] - grand))
     df1, df2 = F.col("k") - 1, F.col("total") - F.col("k")
-    out = total.select("k", "total", "within", between.alias("between"), df1.alias("df1"), df2.alias("df2"))
+    out = total.select("k", "total", "within", "between", df1.alias("df1"), df2.alias("df2"))
     f = F.try_divide(F.col("between") / F.col("df1"), F.col("within") / F.col("df2"))
     eta = F.coalesce(F.try_divide(F.col("between"), F.col("between") + F.col("within")), F.lit(0.0))
     return out.withColumn("f", f).withColumn("p_value", dist.column(dist.f_sf, F.col("f"), F.col("df1"), F.col("df2"))).withColumn("eta_squared", eta)

@@ -8,14 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from statloom.functions.columns import complete, is_numeric, number, require_numeric, rounded
-from statloom.functions.ordering import midranks
+from statloom.functions.ordering import midranks, quantiles
 
 
 def describe(df: DataFrame, columns: Sequence[str] | None = None, accuracy: int | None = None) -> DataFrame:
     """Count, mean, standard deviation, extremes and quartiles of each numeric column, one row a column, in one job.
 
-    Quartiles interpolate linearly and are exact; with ``accuracy`` they are
-    approximate, in bounded memory.
+    Quartiles interpolate linearly and are exact, from running counts over
+    buckets of values; with ``accuracy`` they are approximate, in one pass.
     """
     columns = list(columns) if columns else [c for c in df.columns if is_numeric(df, c)]
     require_numeric(df, *columns)
@@ -23,10 +23,15 @@ def describe(df: DataFrame, columns: Sequence[str] | None = None, accuracy: int
     aggs = []
     for i, c in enumerate(columns):
         x = number(c)
-        quartiles = F.percentile_approx(x, q, accuracy) if accuracy else F.percentile(x, q)
         aggs += [f(x).alias(f"{n}_{i}") for n, f in (("count", F.count), ("mean", F.avg), ("std", F.stddev_samp), ("min", F.min), ("max", F.max))]
-        aggs.append(quartiles.alias(f"q_{i}"))
+        if accuracy:
+            aggs.append(F.percentile_approx(x, q, accuracy).alias(f"q_{i}"))
     one = df.agg(*aggs)
+    if not accuracy:
+        each = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("c"), number(c).cast("double").alias("x")) for i, c in enumerate(columns)])).alias("v"))
+        found = quantiles(each.select("v.c", "v.x").where("x IS NOT NULL"), "x", (0.25, 0.5, 0.75), ("c",))
+        lists = found.agg(*[F.max(F.when(F.col("c") == i, F.array("q0", "q1", "q2"))).alias(f"q_{i}") for i in range(len(columns))])
+        one = one.crossJoin(F.broadcast(lists))
     cells = [
         F.struct(
             F.lit(c).alias("column"),

@@ -6,6 +6,7 @@ import math
 from collections.abc import Sequence
 from functools import lru_cache
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,23 +20,25 @@ LEAST = 20
 
 
 @lru_cache(64)
-def _mann_whitney_counts(m: int, n: int) -> tuple[int, ...]:
-    """Ways in which U of two samples without ties takes each value: coefficients of a Gaussian binomial."""
-    ways = [1] + [0] * (m * n)
+def _mann_whitney_tail(m: int, n: int, most: int) -> float:
+    """Share of the orders of two samples without ties whose U is ``most`` or less: coefficients of a Gaussian binomial, up to that one."""
+    ways = np.zeros(most + 1, object if m * n <= 20_000 else float)
+    ways[0] = 1
     for i in range(1, m + 1):
-        for u in range(m * n, n + i - 1, -1):
-            ways[u] -= ways[u - n - i]
-        for u in range(i, m * n + 1):
-            ways[u] += ways[u - i]
-    return tuple(ways)
+        if n + i <= most:
+            ways[n + i :] = ways[n + i :] - ways[: most + 1 - n - i]
+        for start in range(min(i, most + 1)):  # running sums over every i-th
+            ways[start::i] = np.cumsum(ways[start::i])
+    return float(ways.sum() / math.comb(m + n, m))
 
 
 def mann_whitney_p(u: float, n1: float, n2: float, ties: float, alternative: str) -> float:
     """Exact where a group has at most 8 values and nothing ties, else normal with tie and continuity correction."""
     big = max(u, n1 * n2 - u) if alternative == "two-sided" else u if alternative == "greater" else n1 * n2 - u
     if min(n1, n2) <= 8 and ties == 0:
-        ways = _mann_whitney_counts(int(min(n1, n2)), int(max(n1, n2)))
-        p = sum(ways[math.ceil(big - 1e-9) :]) / sum(ways)
+        # U and n1 n2 - U are alike, so the upper tail is the lower one of its mirror
+        most, all_ = math.floor(n1 * n2 - big + 1e-9), int(n1 * n2)
+        p = _mann_whitney_tail(int(min(n1, n2)), int(max(n1, n2)), most) if 2 * most <= all_ else 1 - _mann_whitney_tail(int(min(n1, n2)), int(max(n1, n2)), all_ - most - 1)
     else:
         n = n1 + n2
         sd = math.sqrt(n1 * n2 / 12 * (n + 1 - ties / (n * (n - 1))))
@@ -116,17 +119,23 @@ def spearman_correlation_test(df: DataFrame, column_a: str, column_b: str, alpha
 def chi_square_test_independence(df: DataFrame, column_a: str, column_b: str, alpha: float = 0.05) -> DataFrame:
     """Chi-square of a contingency table, absent cells included, Yates-corrected at one degree of freedom; Cramer's V.
 
-    Only the two marginal tables meet each other; rows are counted once.
+    The sum over all cells follows from the present ones and the margins; the
+    share of small expected counts from how often each margin's size occurs.
     """
     cells = complete(df, labels={"a": column_a, "b": column_b}).groupBy("a", "b").agg(F.count("*").cast("double").alias("o"))
     rows, cols = (cells.groupBy(c).agg(F.sum("o").alias(f"n{c}")) for c in ("a", "b"))
-    size = rows.agg(F.sum("na").alias("n"), F.count("*").cast("double").alias("r")).crossJoin(cols.agg(F.count("*").cast("double").alias("c")))
-    full = rows.crossJoin(cols).crossJoin(F.broadcast(size)).join(cells, ["a", "b"], "left")
-    e = F.col("na") * F.col("nb") / F.col("n")
-    gap = F.abs(F.coalesce("o", F.lit(0.0)) - e)
+    n = F.col("n")
+    size = rows.agg(F.sum("na").alias("n"), F.count("*").cast("double").alias("r"), F.sum(1 / F.col("na")).alias("ia")).crossJoin(cols.agg(F.count("*").cast("double").alias("c"), F.sum(1 / F.col("nb")).alias("ib")))
+    e = F.col("na") * F.col("nb") / n
+    present = cells.join(rows, "a").join(cols, "b").crossJoin(F.broadcast(size))
+    gap = F.col("o") - e
+    sums = present.agg(F.sum(gap * gap / e).alias("s"), F.sum(e).alias("covered"), F.max(F.abs(gap)).alias("gap"), *[F.first(c).alias(c) for c in ("n", "r", "c", "ia", "ib")])
+    sizes = [t.groupBy(c).agg(F.count("*").cast("double").alias(f"t{c}")) for t, c in ((rows, "na"), (cols, "nb"))]
+    few = sizes[0].crossJoin(F.broadcast(size.select("n"))).join(sizes[1], F.col("na") * F.col("nb") / n < 5).agg(F.coalesce(F.sum(F.col("tna") * F.col("tnb")), F.lit(0.0)).alias("few"))
     dof = (F.col("r") - 1) * (F.col("c") - 1)
-    gap = gap - F.when(dof == 1, F.least(F.lit(0.5), gap)).otherwise(0.0)
-    s = full.agg(F.sum(gap * gap / e).alias("chi2"), F.avg(F.when(e < 5, 1.0).otherwise(0.0)).alias("share_below_5"), *[F.first(c).alias(c) for c in ("n", "r", "c")])
+    left = F.col("gap") - F.least(F.lit(0.5), F.col("gap"))  # at one degree of freedom all four cells are as far from what is expected
+    chi2 = F.when(dof == 1, left * left * n * F.col("ia") * F.col("ib")).otherwise(F.col("s") + F.greatest(n - F.col("covered"), F.lit(0.0)))
+    s = sums.crossJoin(F.broadcast(few)).select(chi2.alias("chi2"), (F.col("few") / (F.col("r") * F.col("c"))).alias("share_below_5"), "n", "r", "c")
     least = F.least("r", "c") - 1
     out = s.select("chi2", dof.alias("df"), F.col("n").cast("long").alias("n"), F.when(least > 0, F.sqrt(F.col("chi2") / (F.col("n") * least))).otherwise(0.0).alias("cramers_v"), "share_below_5", ((F.col("share_below_5") <= 0.2) & (F.col("n") >= LEAST)).alias("assumptions_met"))
     return out.withColumn("p_value", dist.column(lambda x, d: dist.chi2_sf(x, d) if d > 0 else 1.0, F.col("chi2"), F.col("df"))).withColumn("significant", F.col("p_value") < alpha)
@@ -136,13 +145,18 @@ def chi_square_goodness_of_fit(df: DataFrame, column: str, expected: Sequence[fl
     """Chi-square of category counts against weights (in sorted category order, scaled to the total) or equal shares."""
     require(df, column)
     counts = df.select(label(df, column).alias("c")).where("c IS NOT NULL").groupBy("c").agg(F.count("*").cast("double").alias("o"))
-    lists = counts.agg(F.sort_array(F.collect_list(F.struct("c", "o"))).alias("s")).select("s", F.size("s").alias("k"), F.aggregate("s", F.lit(0.0), lambda t, x: t + x["o"]).alias("n"))
+    size = counts.agg(F.count("*").alias("k"), F.sum("o").alias("n"))
     if expected is None:
-        weights = F.array_repeat(F.lit(1.0), F.col("k"))
+        terms = counts.withColumn("w", F.lit(1.0)).withColumn("w_total", F.lit(None).cast("double"))
     else:
-        weights = F.when(F.col("k") == len(expected), F.array(*[F.lit(float(w)) for w in expected])).otherwise(F.raise_error(F.lit("as many weights as categories are needed")))
-    scaled = lists.withColumn("w", weights).withColumn("w_total", F.aggregate("w", F.lit(0.0), lambda t, x: t + x))
-    e = lambda w: w / F.col("w_total") * F.col("n")
-    terms = F.zip_with("s", "w", lambda s, w: (s["o"] - e(w)) * (s["o"] - e(w)) / e(w))
-    out = scaled.select(F.aggregate(terms, F.lit(0.0), lambda t, x: t + x).alias("chi2"), (F.col("k") - 1).cast("double").alias("df"), F.col("n").cast("long").alias("n"), (F.col("n") >= LEAST).alias("size_ok"))
+        found = sorted(r["c"] for r in counts.select("c").limit(len(expected) + 1).collect())
+        if len(found) != len(expected):
+            raise ValueError("as many weights as categories are needed")
+        weights = df.sparkSession.createDataFrame([(i, float(w), float(sum(expected))) for i, w in enumerate(expected)], "i int, w double, w_total double")
+        place = F.array_position(F.array(*[F.lit(c) for c in found]), F.col("c")) - 1
+        terms = counts.join(F.broadcast(weights), place.cast("int") == F.col("i"))
+    e = F.col("w") / F.coalesce("w_total", F.col("k").cast("double")) * F.col("n")
+    gap = F.col("o") - e
+    out = terms.crossJoin(F.broadcast(size)).agg(F.sum(gap * gap / e).alias("chi2"), F.first("k").alias("k"), F.first("n").alias("n"))
+    out = out.select("chi2", (F.col("k") - 1).cast("double").alias("df"), F.col("n").cast("long").alias("n"), (F.col("n") >= LEAST).alias("size_ok"))
     return out.withColumn("p_value", dist.column(dist.chi2_sf, F.col("chi2"), F.col("df"))).withColumn("significant", F.col("p_value") < alpha)

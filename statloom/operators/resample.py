@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from statloom.functions import dist
 from statloom.functions.columns import complete
 from statloom.functions.gram import gram, ols, uncentred_vif
-from statloom.functions.ordering import running
+from statloom.functions.ordering import quantiles, running
 from statloom.operators.checks import durbin_watson
 from statloom.operators.regression import VIF_LIMIT, design, predicted
 
@@ -99,21 +99,32 @@ def jackknife_regression(df: DataFrame, target: str, predictors: Sequence[str],
     return df.sparkSession.createDataFrame(out, "term string, coef double, bias double, corrected double, std_err double, t double, p_value double, ci_low double, ci_high double, n long, r_squared double, max_vif double, durbin_watson double, assumptions_met boolean")
 
 
-def _poisson_sums(values: DataFrame, n_boot: int, seed: int, mean: float) -> np.ndarray:
-    """Weight, first and second power sums (about ``mean``) of every replicate, from Poisson(1) weights a task draws by itself."""
+def _poisson_table() -> np.ndarray:
+    """Poisson(1) counts by sixteen random bits: the inverse of the distribution function at steps of 2**-16."""
+    at, share, out = 0.0, math.exp(-1), np.zeros(1 << 16, np.float32)
+    for k in range(1, 12):
+        at += share
+        out[round(at * (1 << 16)) :] = k
+        share /= k
+    return out
+
+
+def _poisson_sums(values: DataFrame, n_boot: int, seed: int, mean: float, sd: float) -> np.ndarray:
+    """Weight, first and second power sums (of values standardised by ``mean`` and ``sd``) of every replicate, from Poisson(1) weights a task draws by itself."""
 
     def run(batches):
         from pyspark import TaskContext
 
         rng = np.random.default_rng([seed, TaskContext.get().partitionId()])
-        sums = np.zeros((3, n_boot))
+        sums, table = np.zeros((3, n_boot)), _poisson_table()
         for batch in batches:
-            x = batch.column(0).to_numpy() - mean
-            powers = np.stack([np.ones(len(x)), x, x * x])
-            for a in range(0, len(x), 4096):
+            x = (batch.column(0).to_numpy() - mean) / sd
+            powers = np.stack([np.ones(len(x)), x, x * x]).astype(np.float32)
+            for a in range(0, len(x), 1024):
                 for b in range(0, n_boot, 256):
-                    w = rng.poisson(1.0, (min(4096, len(x) - a), min(256, n_boot - b))).astype(float)
-                    sums[:, b : b + 256] += powers[:, a : a + 4096] @ w
+                    shape = min(1024, len(x) - a), min(256, n_boot - b)
+                    bits = np.frombuffer(rng.bytes(2 * shape[0] * shape[1]), np.uint16).reshape(shape)
+                    sums[:, b : b + 256] += powers[:, a : a + 1024] @ table[bits]
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(n_boot)), *[pa.array(s) for s in sums]], ["b", "w", "s1", "s2"])
 
     per = values.select("x").mapInArrow(run, "b long, w double, s1 double, s2 double").groupBy("b").agg(*[F.sum(c).alias(c) for c in ("w", "s1", "s2")])
@@ -134,7 +145,7 @@ def bootstrap(df: DataFrame, column: str, statistic: str = "mean", n_boot: int =
     values, n, mean, var = _base(df, column, statistic)
     seed = random_state if random_state is not None else int(np.random.SeedSequence().entropy % 2**32)
     rng = np.random.default_rng(seed)
-    middle = lambda: values.agg(F.median("x")).first()[0]
+    middle = lambda: quantiles(values, "x", (0.5,)).first()[0]
     theta = {"mean": lambda: mean, "var": lambda: var, "std": lambda: math.sqrt(var), "median": middle}[statistic]()
     if n < 1000:
         x = np.sort(np.array([r["x"] for r in values.collect()]))
@@ -149,9 +160,10 @@ def bootstrap(df: DataFrame, column: str, statistic: str = "mean", n_boot: int =
         at = _order_statistics(values, np.concatenate(ranks))
         reps = np.mean([[at[int(r)] for r in rs] for rs in ranks], axis=0)
     else:
-        w, s1, s2 = _poisson_sums(values, n_boot, seed, mean)
-        variance = np.maximum(s2 / w - (s1 / w) ** 2, 0)
-        reps = {"mean": mean + s1 / w, "var": variance, "std": np.sqrt(variance)}[statistic]
+        sd = math.sqrt(var) or 1.0
+        w, s1, s2 = _poisson_sums(values, n_boot, seed, mean, sd)
+        variance = np.maximum(s2 / w - (s1 / w) ** 2, 0) * sd * sd
+        reps = {"mean": mean + sd * s1 / w, "var": variance, "std": np.sqrt(variance)}[statistic]
     bias = float(reps.mean() - theta)
     low, high = np.percentile(reps, [2.5, 97.5])
     row = (statistic, n, n_boot, float(theta), bias, float(theta - bias), float(reps.std(ddof=1)) if n_boot > 1 else None, float(low), float(high), float(reps.min()), float(reps.max()), n >= 10)
