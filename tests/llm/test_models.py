@@ -289,7 +289,7 @@ def test_same_tune_aligns_and_another_does_not(spark):
     tune = [rnd.choice("do re mi fa so la ti".split()) + str(rnd.randrange(9)) for _ in range(90)]
     other = [rnd.choice("do re mi fa so la ti".split()) + str(rnd.randrange(9)) for _ in range(90)]
     texts = [(100, " ".join(tune)), (1, " ".join(tune)), (2, " ".join(tune[10:])), (3, " ".join(other)), (4, ""), (5, None), (6, "do"), (None, " ".join(tune))]
-    heard = chroma.fingerprints(chroma.sonified(spark.createDataFrame(texts, "id long, text string"), "id", "text"), "rec_id", "audio")
+    heard = chroma.fingerprints(spark.createDataFrame(texts, "id long, text string"), "id", "text", chroma.rendered)
     rows = {r["rec_id"]: r for r in chroma.align(heard, F.col("rec_id") % 100 == 0).collect()}
     assert len(rows) == 8 and rows[100]["class_id"] == rows[1]["class_id"] == 1
     found = {m["class_id"]: m for m in rows[100]["matches"]}
@@ -298,12 +298,49 @@ def test_same_tune_aligns_and_another_does_not(spark):
     assert chroma.align(heard.limit(0), F.col("rec_id") % 100 == 0).count() == 0
 
 
+def test_audio_in_blocks_is_audio_whole(spark):
+    pcm = (np.random.default_rng(0).normal(0, 5000, 20_000)).astype("<i2")
+    whole, n = chroma.chroma([pcm])
+    for cuts in ([1, 2, 511], [512, 1024], [9000, 9001], list(range(0, 20_000, 700))):
+        parts, m = chroma.chroma(np.split(pcm, cuts))
+        assert n == m == 20_000 and np.array_equal(parts, whole) and len(whole) == -(-(20_000 - chroma.FRAME) // chroma.HOP) + 1
+    rows = spark.createDataFrame([(1, bytearray(pcm.tobytes())), (2, None), (3, bytearray(b"x"))], "id long, audio binary")
+    got = {r["rec_id"]: (r["n_samples"], r["prints"]) for r in chroma.fingerprints(rows, "id", "audio").collect()}
+    assert got[1] == (20_000, chroma.fingerprint(whole).tolist()) and got[2] == got[3] == (0, [])
+
+
+def test_recall_of_noisy_passages(spark):
+    """Against votes of single prints: passages of 40 tones inside other recordings, with single tones changed."""
+    rnd = random.Random(5)
+    words = [f"n{i}" for i in range(400)]
+    line = lambda n: [rnd.choice(words) for _ in range(n)]
+    texts = []
+    for i in range(40):
+        passage = line(80)
+        copy = [rnd.choice(words) if rnd.random() < 0.02 else w for w in passage]
+        texts += [(i * 100, " ".join(passage)), (i * 100 + 1, " ".join(line(rnd.randrange(6)) + copy))]
+    heard = chroma.fingerprints(spark.createDataFrame(texts, "id long, text string"), "id", "text", chroma.rendered).cache()
+    prints = {r["rec_id"]: np.array(r["prints"]) for r in heard.collect()}
+    got = {r["rec_id"]: {m["class_id"] for m in r["matches"]} for r in chroma.align(heard, F.col("rec_id") % 100 == 0).collect()}
+    wanted = caught = 0
+    for q in range(0, 4000, 100):
+        for c, b in prints.items():
+            a = prints[q]
+            votes = collections.Counter(o for i, v in enumerate(a) for o in (np.flatnonzero(b == v) - i).tolist())
+            n, _, offset = max(((n, -abs(o), o) for o, n in votes.items()), default=(0, 0, 0))
+            lo = max(0, -offset)
+            size = min(len(a), len(b) - offset) - lo
+            if n >= 4 and int(np.bitwise_count((a[lo : lo + size] ^ b[lo + offset : lo + offset + size]).view(np.uint32)).sum()) <= 0.3 * 32 * size:
+                wanted, caught = wanted + 1, caught + (c in got[q])
+    assert wanted > 60 and caught >= 0.9 * wanted
+
+
 def test_alignment_equals_brute_force(spark):
     rnd = random.Random(2)
     words = [f"n{i}" for i in range(40)]
     tunes = [[rnd.choice(words) for _ in range(60)] for _ in range(6)]
     texts = [(i * 25, " ".join(rnd.choice(tunes)[rnd.randrange(20) :])) for i in range(40)]
-    heard = chroma.fingerprints(chroma.sonified(spark.createDataFrame(texts, "id long, text string"), "id", "text"), "rec_id", "audio").cache()
+    heard = chroma.fingerprints(spark.createDataFrame(texts, "id long, text string"), "id", "text", chroma.rendered).cache()
     prints = {r["rec_id"]: np.array(r["prints"]) for r in heard.collect()}
     classes = {}
     for i in sorted(prints):
