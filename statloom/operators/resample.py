@@ -127,7 +127,10 @@ def _poisson_sums(values: DataFrame, n_boot: int, seed: int, mean: float, sd: fl
                     sums[:, b : b + 256] += powers[:, a : a + 1024] @ table[bits]
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(n_boot)), *[pa.array(s) for s in sums]], ["b", "w", "s1", "s2"])
 
-    per = values.select("x").mapInArrow(run, "b long, w double, s1 double, s2 double").groupBy("b").agg(*[F.sum(c).alias(c) for c in ("w", "s1", "s2")])
+    rows, cores = values.select("x"), values.sparkSession.sparkContext.defaultParallelism
+    if rows.rdd.getNumPartitions() < cores:  # n_boot draws a row are far more work than moving it
+        rows = rows.repartition(cores)
+    per = rows.mapInArrow(run, "b long, w double, s1 double, s2 double").groupBy("b").agg(*[F.sum(c).alias(c) for c in ("w", "s1", "s2")])
     t = per.orderBy("b").toArrow()
     return np.stack([t[c].to_numpy() for c in ("w", "s1", "s2")])
 
