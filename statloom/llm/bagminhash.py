@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from statloom.llm.common import append_columns, cut, discard, table
+from statloom.llm.common import append_columns, cut, discard, release, table
 from statloom.llm.components import components
 from statloom.llm.tokens import _Cache
 from statloom.llm.winnow import _mixed, gram_hashes, words
@@ -248,6 +248,7 @@ def _linked(bucket: DataFrame, named: DataFrame, k: int, threshold: float, m: in
     """Verified links that connect every group."""
     links, least = None, least_agreeing(threshold, m)
     bags = _bagged(bucket, named, k)
+    release(named.sparkSession)
     for round_ in range(star_rounds + 1):
         open_ = _open_buckets(bucket, links)
         if links is not None and not open_.limit(1).count():
@@ -321,6 +322,7 @@ def near_duplicates(
     signed, at = append_columns(named, "text", make, fields)
     signed = cut(signed.select(F.col(at[0]).alias("doc_id"), F.col(at[2]).alias("node"), *[f.name for f in fields]), "signed")
     bucket = _buckets(signed)
+    release(docs.sparkSession)
     links = _linked(bucket, named, k, threshold, m, star_rounds, hubs)
     discard(bucket)
     roots = components(links)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -53,6 +54,18 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def release(spark: SparkSession) -> None:
+    """Let the shuffle files of finished steps go before the next large one.
+
+    The driver's JVM drops them once it sees that no frame needs them; the
+    first collection only lets go of what Python held.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a table made by :func:`cut` once nothing reads it any more."""
     path = getattr(df, "_scratch_path", None)

@@ -8,7 +8,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statloom.llm.common import cut, discard, slices, table
+from statloom.llm.common import cut, discard, release, slices, table
 from statloom.llm.winnow import _mixed
 
 #: Bytes of a gram that names a sampled suffix. Must be a power of two below the string length.
@@ -271,6 +271,7 @@ def _suspects(rows: DataFrame, sampled: DataFrame, shared: DataFrame, hot: int)
     The lists are a table of their own, so that the shuffle of all grams is over before texts move.
     """
     lists = cut(sampled.join(shared, "h").groupBy("doc_id").agg(F.sort_array(F.collect_set("h")).alias("hs"), F.sort_array(F.collect_set(F.when(F.col("n") > hot, F.col("h")))).alias("hot")), "lists")
+    release(rows.sparkSession)
     part = cut(rows.join(lists, "doc_id"), "suspects")
     discard(lists)
     return part
@@ -485,11 +486,15 @@ def dedup_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         raise ValueError(f"length must lie between {GRAM + 1} and {GRAM + 62}")
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_ID_NONE)).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     shared = _shared_grams(_sampled(rows, length))
+    release(docs.sparkSession)
     part = _suspects(rows, _sampled(rows, length), shared, hot)
     discard(shared)
+    release(docs.sparkSession)
     marks = _marks(part, length)
+    release(docs.sparkSession)
     replies = cut(_replies(part, marks, length), "replies")
     discard(marks)
+    release(docs.sparkSession)
     cleaned = _cleaned(part, replies, length)
     none = F.lit(0).cast("long")
     whole = rows.join(part.select("doc_id").distinct(), "doc_id", "left_anti").select(
