@@ -101,7 +101,7 @@ def read_archive(spark: SparkSession, path: str, with_payload: bool = False) ->
         .alias("payload_digest"),
     )
     text = F.decode("header", "UTF-8")
-    field = lambda name, value="(.*?)": F.regexp_extract(text, f"(?:^|\\n){name}: {value}\\r\\n", 1)
+    field = lambda name, value=r"([^\r\n]*)": F.regexp_extract(text, f"(?:^|\\n){name}: {value}\\r\\n", 1)
     number = lambda name: F.nullif(field(name, "<urn:page:(-?\\d*)>"), F.lit("")).cast("long")
     out = (
         spark.read.parquet(f"{path}/headers")
