@@ -89,14 +89,17 @@ class Model:
         return totals
 
 
-def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sample_bytes: int = 4 << 20, seed: int = 7) -> Model:
-    """Fit on a bounded sample: whole texts of about ``sample_bytes`` bytes a language, chosen by a hash of the text.
+def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sample_bytes: int = 4 << 20, seed: int = 7, id_col: str = "doc_id") -> Model:
+    """Fit on a bounded sample: whole texts of about ``sample_bytes`` bytes a language, chosen by a hash of id and text.
+
+    The id only spreads the copies of one text, so that they are sampled one by one and not all or none.
 
     Byte counts a language come from all rows. Tasks count the grams of the
     sampled texts, Spark sums them, and the distinct ones (at most the sampled
     bytes) form the model. Rows with a null text or language teach nothing.
     """
-    rows = docs.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where(
+    drawn = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col), F.lit(seed)), F.lit(1 << 20))
+    rows = docs.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), drawn.alias("drawn")).where(
         "text IS NOT NULL AND lang IS NOT NULL"
     )
     sizes = {r["lang"]: r["size"] for r in rows.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("size")).collect()}
@@ -104,7 +107,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sampl
     if not languages:
         return Model([], np.empty(0, int), np.empty(0, np.uint32), np.empty(0))
     rate = F.create_map(*[F.lit(x) for k in languages for x in (k, min(1.0, sample_bytes / max(sizes[k], 1)))])
-    sample = rows.where(F.pmod(F.xxhash64("text", F.lit(seed)), F.lit(1 << 20)) < rate[F.col("lang")] * (1 << 20))
+    sample = rows.where(F.col("drawn") < rate[F.col("lang")] * (1 << 20))
 
     def count(batches):
         for batch in batches:

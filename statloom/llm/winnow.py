@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections import defaultdict
 
 import numpy as np
@@ -146,6 +147,17 @@ def _step(index: BenchmarkIndex):
     return step
 
 
+_INDEXED: dict[str, BenchmarkIndex] = {}
+
+
+def _index(name: str, handle, window: int, k: int) -> BenchmarkIndex:
+    """The index of a block, built once a worker; a worker keeps that of its last block only."""
+    if name not in _INDEXED:
+        _INDEXED.clear()
+        _INDEXED[name] = BenchmarkIndex(handle.value, window, k)
+    return _INDEXED[name]
+
+
 def mark_contaminated(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -178,7 +190,7 @@ def mark_contaminated(
     spark = docs.sparkSession
     items = benchmark.select(
         F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.col(item_text_col).cast("string").alias("text")
-    ).where(F.col("text").isNotNull())
+    ).where(F.col("text").isNotNull()).distinct()
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = int(total // block_bytes) + 1
     out, names = None, []
@@ -186,8 +198,8 @@ def mark_contaminated(
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block)
         handle = spark.sparkContext.broadcast([tuple(r) for r in part.collect()])
 
-        def make(handle=handle):
-            return _step(BenchmarkIndex(handle.value, window, k))
+        def make(handle=handle, name=uuid.uuid4().hex):
+            return _step(_index(name, handle, window, k))
 
         if out is None:
             out, names = append_columns(docs, text_col, make, RESULT)

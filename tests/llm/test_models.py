@@ -94,6 +94,50 @@ def test_toxicity_and_identity_terms(spark, make_docs):
     assert toxicity.train(frame, marks.limit(0)).logits(["x"]) == [-40.0]
 
 
+def test_fit_minimises_the_penalised_loss():
+    """Against the loss written out text by text; a text that has both terms only loses one."""
+    rnd = random.Random(9)
+    x = [np.array(sorted({rnd.randrange(4), rnd.randrange(4)}), np.int64) for _ in range(80)]
+    y = np.array([float(0 in r or rnd.random() < 0.3) for r in x])
+    swaps = [(i, a, 1 - a) for i, r in enumerate(x) for a in (0, 1) if a in r]
+    assert any({0, 1} <= set(r.tolist()) for r in x)
+
+    def loss(w, c, l2, penalty):
+        z = lambda words: c + sum(w[j] for j in words)
+        own = np.mean([np.log1p(np.exp(-z(r) if t else z(r))) for r, t in zip(x, y)])
+        swapped = np.mean([(z((set(x[i].tolist()) - {a}) | {b}) - z(set(x[i].tolist()))) ** 2 for i, a, b in swaps])
+        return own + l2 / 2 * float(w @ w) + penalty * swapped
+
+    gaps = []
+    for penalty in (0.0, 2.0):
+        w, c = toxicity.fit(x, y, swaps, 4, 0.01, penalty, steps=3000)
+        least = loss(w, c, 0.01, penalty)
+        for j in range(4):
+            for move in (-0.05, 0.05):
+                assert loss(w + move * (np.arange(4) == j), c, 0.01, penalty) > least - 1e-7
+        gaps.append(abs(w[0] - w[1]))
+    assert gaps[1] < gaps[0] / 2
+
+
+def test_every_telling_word_counts(spark, make_docs):
+    """No cap on the vocabulary: 3000 words that mark toxic texts are all learned; rows that repeat an id give one text."""
+    docs, labels = [], []
+    for i in range(600):
+        own = " ".join(f"bad{j}" for j in range(3000)) if i % 2 else "plain text"
+        docs += [(i, own), (i, own)]
+        labels.append((i, i % 2))
+    model = toxicity.train(make_docs(docs), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert sum(w.startswith("bad") for w in model.weights) == 3000
+
+
+def test_copies_are_sampled_one_by_one(make_docs, monkeypatch):
+    """A text that all rows hold is neither taken whole nor left out: the sample keeps near its size."""
+    same = text_of(random.Random(3), "en", 30)
+    monkeypatch.setattr(langid, "Model", lambda languages, lang, gram, n: n)
+    sampled = langid.train(make_docs([(i, same) for i in range(3000)]), sample_bytes=len(same) * 300).sum() / len(same)
+    assert 200 < sampled < 400
+
+
 def test_components(spark):
     pairs = [(i, i + 1) for i in range(40)] + [(100, 102), (102, 101), (7, 7), (200, 200)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
