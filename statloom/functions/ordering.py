@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from statloom.functions.scratch import written
+
 
 def bucketed(df: DataFrame, position: Column, buckets: int | None = None) -> DataFrame:
     """Adds ``_bucket``: how many quantile bounds of ``position`` lie below the row's."""
@@ -83,3 +85,45 @@ def with_lag(df: DataFrame, order_by: str, value: str) -> DataFrame:
 def midranks(counts: DataFrame, value: str, n: str, by: Sequence[str] = ()) -> DataFrame:
     """Adds ``midrank`` to a table of distinct values with their counts."""
     return running(counts, [value], F.col(value), {"_n": F.col(n)}, by).withColumn("midrank", F.col("before__n") + (F.col(n) + 1) / 2).drop("before__n", "_n")
+
+
+def placed(df: DataFrame, order: Sequence[str], by: Sequence[str] = (), totals: dict[str, Column] | None = None) -> DataFrame:
+    """Adds ``place`` (from 0, in ``order`` within ``by``), ``n`` (rows of ``by``) and ``totals`` (sums, minima or maxima of ``by``).
+
+    Rows are range partitioned by sampled bounds of the columns themselves, so
+    keys of any type and texts with a common beginning spread evenly, and are
+    written in order. A group's rows in a partition follow each other there,
+    so only one row for each group and partition is summed up. Missing keys
+    are a group, and come first.
+    """
+    totals = totals or {}
+    keys = [f"_k{i}" for i in range(len(by))]
+    cells = df.withColumns({**{k: F.col(c) for k, c in zip(keys, by)}, **{f"_v_{name}": c for name, c in totals.items()}})
+    along = [F.col(c).asc_nulls_first() for c in (*keys, *order)]
+    ordered = cells.repartitionByRange(*along).sortWithinPartitions(*along)
+    rows = written(ordered.withColumns({"_part": F.spark_partition_id(), "_row": F.monotonically_increasing_id(), "_all": F.lit(True)}), "ordered")
+    keys.append("_all")
+    fold = {name: {"min": F.min, "max": F.max}.get(name.split("_")[0], F.sum) for name in totals}
+    runs = rows.groupBy(*keys, "_part").agg(F.min("_row").alias("_first"), F.count("*").alias("_m"), *[fold[t](f"_v_{t}").alias(f"_t_{t}") for t in totals])
+    whole, earlier = W.partitionBy(*keys), W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    runs = runs.select(*keys, "_part", "_first", F.coalesce(F.sum("_m").over(earlier), F.lit(0)).alias("_start"), F.sum("_m").over(whole).alias("n"), *[fold[t](f"_t_{t}").over(whole).alias(t) for t in totals])
+    on = [rows[k].eqNullSafe(runs[k]) for k in keys] + [rows["_part"] == runs["_part"]]
+    joined = rows.join(runs, on).withColumn("place", F.col("_start") + rows["_row"] - F.col("_first"))
+    return joined.select(*[rows[c] for c in df.columns], "place", "n", *totals)
+
+
+def blocks(rows: DataFrame, by: Sequence[str], values: Sequence[str], size: Column | int, before: Column | int = 0, after: Column | int = 0) -> DataFrame:
+    """Rows of :func:`placed` in blocks of ``size`` places: ``by, block, first`` and an array for each of ``values``, in order.
+
+    A block also holds up to ``before`` rows that precede it and ``after``
+    that follow it, lent by its neighbours; ``first`` is the place of the first
+    row in it. ``size`` must not be less than ``before`` or ``after``; all
+    three may differ from series to series. Columns of ``by`` must be the same
+    for all rows of a series.
+    """
+    size, before, after = (c if isinstance(c, Column) else F.lit(c) for c in (size, before, after))
+    at, own = F.pmod("place", size), F.floor(F.col("place") / size)
+    homes = F.array_compact(F.array(own, F.when((at >= size - before) & ((own + 1) * size < F.col("n")), own + 1), F.when((at < after) & (own > 0), own - 1)))
+    lent = rows.select(*by, F.explode(homes).alias("block"), F.struct("place", *values).alias("_row"))
+    gathered = lent.groupBy(*by, "block").agg(F.sort_array(F.collect_list("_row")).alias("_rows"))
+    return gathered.select(*by, "block", F.col("_rows")[0]["place"].alias("first"), *[F.col(f"_rows.{c}").alias(c) for c in values])

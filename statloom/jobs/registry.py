@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from statloom.functions.columns import rounded
 from statloom.functions.scratch import scratch_path
-from statloom.operators import checks, describe, encode, nonparametric, parametric, regression, resample, selection, split, timeseries, transform
+from statloom.jobs import series_sql
+from statloom.operators import checks, decomposition, describe, encode, nonparametric, parametric, regression, resample, selection, split, stationarity, timeseries, transform
 from statloom.streaming.windows import windowed_moments
 from statloom.sources.io import preview, profile_dataset, read_dataset, write_dataset
 
@@ -485,21 +486,28 @@ def _daily(spark, d) -> DataFrame:
     return _t(spark, d, "orders").groupBy("o_orderpriority", F.date_trunc("month", "o_orderdate").alias("month")).agg(F.avg("o_totalprice").alias("price"))
 
 
-@query("check_stationarity")
+@query("check_stationarity", series_sql.stationarity_sql())
 def _stationarity(spark, d):
-    return timeseries.check_stationarity(_hourly(spark, d), "event_type", "hour", "total")
+    out = stationarity.check_stationarity(_hourly(spark, d), "event_type", "hour", "total")
+    return _round(out.withColumn("adf_aic", F.round("adf_aic", 3)), ["series", "n", "adf", "adf_lags", "adf_aic", "kpss", "kpss_lags", "kpss_p"])
 
 
-@query("decompose_time_series", "SELECT event_type AS series, date_trunc('hour', ts) AS \"at\", round(sum(value), 4) AS observed, round(sum(value), 4) AS parts FROM events GROUP BY ALL")
+_STL = (24, *decomposition.spans(24))
+
+
+@query("decompose_time_series", series_sql.stl_sql(*_STL, "SELECT series, moment AS \"at\", round(observed, 4) AS observed, round(trend, 4) + 0.0 AS trend, round(seasonal, 4) + 0.0 AS seasonal, round(residual, 4) + 0.0 AS residual FROM parts"))
 def _decompose(spark, d):
-    out = timeseries.decompose_time_series(_hourly(spark, d), "event_type", "hour", "total", 24)
-    return out.select("series", "at", rounded(F.col("observed")).alias("observed"), rounded(F.col("trend") + F.col("seasonal") + F.col("residual")).alias("parts"))
+    out = decomposition.decompose_time_series(_hourly(spark, d), "event_type", "hour", "total", 24)
+    return _round(out, ["series", "at", "observed", "trend", "seasonal", "residual"])
+
+
+_STRENGTH = "round(greatest(0, 1 - var_samp(residual) / var_samp(residual + {0})), 4) AS {0}_strength"
 
 
-@query("decompose_strengths")
+@query("decompose_strengths", series_sql.stl_sql(*_STL, f"SELECT series, {_STRENGTH.format('trend')}, {_STRENGTH.format('seasonal')}, count(*) AS n FROM parts GROUP BY series"))
 def _strengths(spark, d):
-    out = timeseries.decompose_time_series(_hourly(spark, d), "event_type", "hour", "total", 24)
-    return out.groupBy("series").agg(F.max("trend_strength").alias("trend_strength"), F.max("seasonal_strength").alias("seasonal_strength"), F.count("*").alias("n"))
+    out = decomposition.decompose_time_series(_hourly(spark, d), "event_type", "hour", "total", 24)
+    return _round(out.groupBy("series").agg(F.max("trend_strength").alias("trend_strength"), F.max("seasonal_strength").alias("seasonal_strength"), F.count("*").alias("n")), ["series", "trend_strength", "seasonal_strength", "n"])
 
 
 @query("fit_arima_model")
