@@ -510,6 +510,12 @@ def _strengths(spark, d):
     return _round(out.groupBy("series").agg(F.max("trend_strength").alias("trend_strength"), F.max("seasonal_strength").alias("seasonal_strength"), F.count("*").alias("n")), ["series", "trend_strength", "seasonal_strength", "n"])
 
 
+@query("fit_arima_autoregression", series_sql.ar1_sql())
+def _autoregression(spark, d):
+    out = timeseries.fit_arima_model(_hourly(spark, d), "event_type", "hour", "total", (1, 0, 0))
+    return out.select("series", "n", rounded(F.col("coef")[0], 3).alias("const"), rounded(F.col("coef")[1]).alias("ar"), rounded(F.col("sigma2"), 2).alias("sigma2"), rounded(F.col("llf"), 3).alias("llf"))
+
+
 @query("fit_arima_model")
 def _arima(spark, d):
     return timeseries.fit_arima_model(_daily(spark, d), "o_orderpriority", "month", "price")

@@ -84,3 +84,28 @@ rest{r} AS MATERIALIZED (SELECT y.series, y.i, y.len, y.y - s.v AS v FROM y JOIN
     return out + f""",
 parts AS (SELECT y.series, y.moment, y.y + y.mean AS observed, t.v + y.mean AS trend, s.v AS seasonal, y.y - t.v - s.v AS residual FROM y JOIN trend{rounds} t USING (series, i) JOIN season{rounds} s USING (series, i))
 {tail}"""
+
+
+def ar1_sql() -> str:
+    """Exact likelihood of a first-order autoregression from six sums, climbed by a search that keeps two thirds of its bracket."""
+
+    def mean(phi: str) -> str:
+        return f"((1 - {phi}^2) * e1 + (1 - {phi}) * (s2 - {phi} * s1)) / ((1 - {phi}^2) + (n - 1) * (1 - {phi})^2)"
+
+    def squares(phi: str) -> str:
+        m = f"({mean(phi)})"
+        a, b, c = f"(q2 - 2 * {m} * s2 + (n - 1) * {m}^2)", f"(x - {m} * (s1 + s2) + (n - 1) * {m}^2)", f"(q1 - 2 * {m} * s1 + (n - 1) * {m}^2)"
+        return f"((1 - {phi}^2) * (e1 - {m})^2 + {a} - 2 * {phi} * {b} + {phi}^2 * {c})"
+
+    def height(phi: str) -> str:
+        return f"(-0.5 * (n * ln(2 * pi() * {squares(phi)} / n) + n) + 0.5 * ln(1 - {phi}^2))"
+
+    left, right = "(lo + (hi - lo) / 3)", "(hi - (hi - lo) / 3)"
+    return f"""
+WITH RECURSIVE {PLACED},
+l AS (SELECT series, n, e, y - e AS shift, lag(e) OVER (PARTITION BY series ORDER BY place) AS b FROM s),
+m AS (SELECT series, any_value(n)::DOUBLE AS n, avg(shift) AS shift, sum(e) FILTER (b IS NULL) AS e1, sum(e) FILTER (b IS NOT NULL) AS s2, sum(b) AS s1, sum(e * e) FILTER (b IS NOT NULL) AS q2, sum(b * b) AS q1, sum(e * b) AS x FROM l GROUP BY series),
+r AS (SELECT *, -0.9999::DOUBLE AS lo, 0.9999::DOUBLE AS hi, 0 AS k FROM m
+      UNION ALL SELECT series, n, shift, e1, s2, s1, q2, q1, x, CASE WHEN {height(left)} < {height(right)} THEN {left} ELSE lo END, CASE WHEN {height(left)} < {height(right)} THEN hi ELSE {right} END, k + 1 FROM r WHERE k < 60),
+f AS (SELECT *, (lo + hi) / 2 AS phi FROM r WHERE k = 60)
+SELECT series, n::BIGINT AS n, round(shift + {mean('phi')}, 3) AS const, round(phi, 4) AS ar, round({squares('phi')} / n, 2) AS sigma2, round({height('phi')}, 3) AS llf FROM f"""

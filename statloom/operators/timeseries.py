@@ -1,317 +1,9 @@
-"""Tests, decomposition and models of many series at once: one numpy kernel a series."""
+"""Time-series operators in one place: tests, decomposition, models and forecasts."""
 
 from __future__ import annotations
 
-import math
-from collections.abc import Sequence
+from statloom.operators.arima import fit_arima, fit_arima_model, forecast_time_series
+from statloom.operators.decomposition import decompose_time_series, stl
+from statloom.operators.stationarity import check_stationarity
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from statloom.functions import dist
-from statloom.functions.columns import number, require, require_numeric
-
-
-def _series(df: DataFrame, key: str, order_by: str, value: str) -> DataFrame:
-    require(df, key, order_by)
-    require_numeric(df, value)
-    return df.select(F.col(key).alias("series"), F.col(order_by).alias("at"), number(value).alias("y")).where("y IS NOT NULL")
-
-
-def _per_series(series: DataFrame, kernel, schema: str) -> DataFrame:
-    kind = dict(series.dtypes)["series"]
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("at", kind="stable")
-        out = kernel(pdf["y"].to_numpy(float), pdf["at"])
-        out.insert(0, "series", key[0])
-        return out
-
-    return series.groupBy("series").applyInPandas(run, f"series {kind}, {schema}")
-
-
-def _least_squares(x: np.ndarray, y: np.ndarray):
-    beta, *_ = np.linalg.lstsq(x, y, rcond=None)
-    e = y - x @ beta
-    return beta, float(e @ e), np.linalg.pinv(x.T @ x)
-
-
-def adf(y: np.ndarray) -> tuple[float, float, int]:
-    """Augmented Dickey-Fuller with constant, lag by AIC: statistic, MacKinnon p-value, lag."""
-    n = len(y)
-    most = min(math.ceil(12 * (n / 100) ** 0.25), n // 2 - 2)
-    d = np.diff(y)
-
-    def design(lag: int, skip: int):
-        rows = np.arange(skip, len(d))
-        return np.column_stack([y[rows], np.ones(len(rows)), *[d[rows - i] for i in range(1, lag + 1)]]), d[rows]
-
-    best, lag = math.inf, 0
-    for k in range(max(most, 0) + 1):
-        x, z = design(k, max(most, 0))
-        _, ssr, _ = _least_squares(x, z)
-        aic = len(z) * (math.log(2 * math.pi * max(ssr, 1e-300) / len(z)) + 1) + 2 * (k + 2)
-        if aic < best:
-            best, lag = aic, k
-    x, z = design(lag, lag)
-    beta, ssr, inverse = _least_squares(x, z)
-    tau = beta[0] / math.sqrt(ssr / (len(z) - x.shape[1]) * inverse[0, 0])
-    if tau > 2.74 or tau < -18.83:
-        return tau, float(tau > 0), lag
-    poly = [0.038269, 1.4412, 2.1659] if tau <= -1.61 else [-0.010368, -0.12745, 0.93202, 1.7339]
-    return tau, dist.norm_cdf(float(np.polyval(poly, tau))), lag
-
-
-def kpss(y: np.ndarray) -> tuple[float, float, int]:
-    """KPSS around a constant with automatic lags: statistic, interpolated p-value (clamped to 0.01 .. 0.1), lags."""
-    n, e = len(y), y - y.mean()
-    s0, s1 = e @ e / n, 0.0
-    for i in range(1, int(n ** (2 / 9)) + 1):
-        c = e[i:] @ e[:-i] / (n / 2)
-        s0, s1 = s0 + c, s1 + i * c
-    lags = min(int(1.1447 * ((s1 / s0) ** 2) ** (1 / 3) * n ** (1 / 3)), n - 1)
-    variance = e @ e / n + 2 / n * sum((1 - i / (lags + 1)) * (e[i:] @ e[:-i]) for i in range(1, lags + 1))
-    stat = float((np.cumsum(e) ** 2).sum() / n**2 / variance)
-    return stat, float(np.interp(stat, [0.347, 0.463, 0.574, 0.739], [0.1, 0.05, 0.025, 0.01])), lags
-
-
-def check_stationarity(df: DataFrame, key: str, order_by: str, value: str, alpha: float = 0.05) -> DataFrame:
-    """ADF and KPSS of every series; ``agree`` where both say the same. Series under 12 values or constant have no figures."""
-
-    def kernel(y, _):
-        row = {"n": len(y), "adf": None, "adf_p": None, "adf_lags": None, "kpss": None, "kpss_p": None, "kpss_lags": None}
-        if len(y) >= 12 and np.ptp(y) > 0:
-            row |= dict(zip(("adf", "adf_p", "adf_lags"), adf(y))) | dict(zip(("kpss", "kpss_p", "kpss_lags"), kpss(y)))
-        return pd.DataFrame([row])
-
-    out = _per_series(_series(df, key, order_by, value), kernel, "n long, adf double, adf_p double, adf_lags int, kpss double, kpss_p double, kpss_lags int")
-    stationary = (F.col("adf_p") < alpha, F.col("kpss_p") >= alpha)
-    return out.withColumns({"adf_stationary": stationary[0], "kpss_stationary": stationary[1], "agree": stationary[0] == stationary[1], "size_ok": F.col("n") >= 30, "recommended_alternative": F.when(~stationary[0], "decompose_time_series")})
-
-
-def _loess(y: np.ndarray, span: int, at: np.ndarray) -> np.ndarray:
-    """Locally linear tricube fits of an evenly spaced series at the given places."""
-    n = len(y)
-    q = min(span, n)
-    first = np.clip(np.round(at).astype(int) - q // 2, 0, n - q)
-    x = first[:, None] + np.arange(q)
-    gap = np.abs(x - at[:, None])
-    h = np.maximum(gap.max(1), 1e-12) + max(span - n, 0) / 2
-    w = np.where(gap < 0.999 * h[:, None], (1 - np.minimum(gap / h[:, None], 1) ** 3) ** 3, 0)
-    w = np.where(gap < 0.001 * h[:, None], 1.0, w)
-    w /= w.sum(1, keepdims=True)
-    mean = (w * x).sum(1)
-    centred = x - mean[:, None]
-    spread = (w * centred**2).sum(1)
-    slope = np.where(spread > 1e-6 * n * n * 1e-6, (w * centred * y[x]).sum(1) / np.maximum(spread, 1e-12), 0)
-    return (w * y[x]).sum(1) + slope * (at - mean)
-
-
-def _average(y: np.ndarray, k: int) -> np.ndarray:
-    return np.convolve(y, np.ones(k) / k, "valid")
-
-
-def stl(y: np.ndarray, period: int, seasonal: int = 7, rounds: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """Seasonal-trend decomposition by loess, not robust: seasonal and trend."""
-    n = len(y)
-    trend_span = math.ceil(1.5 * period / (1 - 1.5 / seasonal))
-    trend_span += 1 - trend_span % 2
-    low_span = period + 1 + period % 2
-    trend = np.zeros(n)
-    places = np.arange(n, dtype=float)
-    for _ in range(rounds):
-        flat, cycle = y - trend, np.zeros(n + 2 * period)
-        for s in range(period):
-            part = flat[s::period]
-            cycle[s::period][: len(part) + 2] = _loess(part, seasonal, np.arange(-1.0, len(part) + 1))
-        low = _average(_average(_average(cycle, period), period), 3)
-        season = cycle[period : period + n] - _loess(low, low_span, places)
-        trend = _loess(y - season, trend_span, places)
-    return season, trend
-
-
-def decompose_time_series(df: DataFrame, key: str, order_by: str, value: str, period: int) -> DataFrame:
-    """Observed, trend, seasonal and residual of every series of two periods or more, and both strengths."""
-    if period < 2:
-        raise ValueError("period must be 2 or more")
-    series = _series(df, key, order_by, value)
-
-    def kernel(y, at):
-        if len(y) < 2 * period:
-            return pd.DataFrame({c: pd.Series(dtype="float64") for c in ("observed", "trend", "seasonal", "residual", "trend_strength", "seasonal_strength")}).assign(at=at.iloc[:0].to_numpy())[["at", "observed", "trend", "seasonal", "residual", "trend_strength", "seasonal_strength"]]
-        season, trend = stl(y, period)
-        rest = y - season - trend
-        strength = lambda part: max(0.0, 1 - rest.var(ddof=1) / (rest + part).var(ddof=1)) if (rest + part).var(ddof=1) > 0 else 0.0
-        return pd.DataFrame({"at": at.to_numpy(), "observed": y, "trend": trend, "seasonal": season, "residual": rest, "trend_strength": strength(trend), "seasonal_strength": strength(season)})
-
-    kind = dict(series.dtypes)["at"]
-    return _per_series(series, kernel, f"at {kind}, observed double, trend double, seasonal double, residual double, trend_strength double, seasonal_strength double")
-
-
-def _minimise(fn, start: np.ndarray, steps: int = 600) -> np.ndarray:
-    """Nelder-Mead."""
-    k = len(start)
-    points = [start, *[start + np.eye(k)[i] * (0.1 if start[i] == 0 else 0.1 * max(abs(start[i]), 0.5)) for i in range(k)]]
-    simplex = sorted(((fn(p), i, p) for i, p in enumerate(points)), key=lambda t: t[:2])
-    tick = k + 1
-    for _ in range(steps):
-        if abs(simplex[-1][0] - simplex[0][0]) <= 1e-10 * (1 + abs(simplex[0][0])) and max(np.abs(s[2] - simplex[0][2]).max() for s in simplex) < 1e-6:
-            break
-        centre = np.mean([s[2] for s in simplex[:-1]], axis=0)
-        worst = simplex[-1]
-        tries = [centre + f * (worst[2] - centre) for f in (-1, -2, -0.5, 0.5)]
-        r = fn(tries[0])
-        if r < simplex[0][0]:
-            e = fn(tries[1])
-            new = (e, tries[1]) if e < r else (r, tries[0])
-        elif r < simplex[-2][0]:
-            new = (r, tries[0])
-        else:
-            c = fn(tries[2] if r < worst[0] else tries[3])
-            new = (c, tries[2] if r < worst[0] else tries[3])
-            if c >= min(r, worst[0]):
-                simplex = [simplex[0], *[(fn(p), i, p) for i, p in ((s[1], (s[2] + simplex[0][2]) / 2) for s in simplex[1:])]]
-                simplex.sort(key=lambda t: t[:2])
-                continue
-        tick += 1
-        simplex = sorted([*simplex[:-1], (new[0], tick, new[1])], key=lambda t: t[:2])
-    return simplex[0][2]
-
-
-def _roots_outside(coefficients: np.ndarray) -> bool:
-    return not len(coefficients) or bool(np.all(np.abs(np.roots(np.concatenate([-coefficients[::-1], [1]]))) > 1.0001))
-
-
-def _arma_likelihood(y: np.ndarray, ar: np.ndarray, ma: np.ndarray) -> tuple[float, float]:
-    """Exact Gaussian log-likelihood with the variance profiled out, by the Kalman filter: value and variance."""
-    r = max(len(ar), len(ma) + 1)
-    t = np.zeros((r, r))
-    t[: len(ar), 0] = ar
-    t[np.arange(r - 1), np.arange(1, r)] = 1
-    load = np.zeros(r)
-    load[0], load[1 : len(ma) + 1] = 1, ma
-    p = np.linalg.solve(np.eye(r * r) - np.kron(t, t), np.outer(load, load).ravel()).reshape(r, r)
-    a, logs, squares, q, steady = np.zeros(r), 0.0, 0.0, np.outer(load, load), False
-    for v in y:
-        f = p[0, 0]
-        e = v - a[0]
-        logs, squares = logs + math.log(f), squares + e * e / f
-        gain = p[:, 0] / f
-        a = t @ (a + gain * e)
-        if not steady:
-            new = t @ (p - np.outer(gain, p[0])) @ t.T + q
-            steady, p = bool(np.abs(new - p).max() < 1e-12), new
-    n = len(y)
-    s2 = squares / n
-    return -0.5 * (n * math.log(2 * math.pi * s2) + logs + n), s2
-
-
-def fit_arima(y: np.ndarray, order: tuple[int, int, int]) -> dict:
-    """Exact maximum likelihood of ARIMA(p, d, q), with a constant where d is 0; errors from the numeric Hessian."""
-    p, d, q = order
-    w = np.diff(y, d) if d else y
-    const = d == 0
-    scale = w.std() or 1.0
-    z = w / scale
-
-    def parts(x):
-        return (x[0] if const else 0.0), x[const : const + p], x[const + p :]
-
-    def cost(x):
-        mu, ar, ma = parts(x)
-        if not (_roots_outside(ar) and _roots_outside(-ma)):
-            return 1e10
-        try:
-            return -_arma_likelihood(z - mu, ar, ma)[0]
-        except (ValueError, np.linalg.LinAlgError, FloatingPointError):
-            return 1e10
-
-    start = np.concatenate([[z.mean()] if const else [], np.zeros(p + q)])
-    if p and len(z) > 3 * p + 2:
-        lagged = np.column_stack([z[p - i - 1 : len(z) - i - 1] for i in range(p)]) - (z.mean() if const else 0)
-        ar, *_ = np.linalg.lstsq(lagged, z[p:] - (z.mean() if const else 0), rcond=None)
-        start[const : const + p] = ar if _roots_outside(ar) else 0
-    x = _minimise(cost, start) if len(start) else start
-    mu, ar, ma = parts(x)
-    llf, s2 = _arma_likelihood(z - mu, ar, ma)
-    llf -= len(z) * math.log(scale)
-    k, h = len(x), 1e-4
-    hess = np.zeros((k, k))
-    for i in range(k):
-        for j in range(i, k):
-            u, v = np.eye(k)[i] * h, np.eye(k)[j] * h
-            around = [cost(x + u + v), cost(x + u - v), cost(x - u + v), cost(x - u - v)]
-            hess[i, j] = hess[j, i] = (around[0] - around[1] - around[2] + around[3]) / (4 * h * h) if max(around) < 1e9 else math.nan
-    at_edge = not np.isfinite(hess).all()  # a root on the unit circle: the likelihood has no curvature to read there
-    errors = np.full(k, math.nan) if at_edge else np.sqrt(np.maximum(np.diag(np.linalg.pinv(hess)), 0)) if k else np.empty(0)
-    names = ["const"] * const + [f"ar.L{i + 1}" for i in range(p)] + [f"ma.L{i + 1}" for i in range(q)]
-    coef = x.copy()
-    if const:
-        coef[0], errors[0] = coef[0] * scale, errors[0] * scale
-    ps = [2 * dist.norm_sf(abs(c / s)) if s > 0 else math.nan for c, s in zip(coef, errors)]
-    free = k + 1
-    tail = np.concatenate([w[-max(p, 1) :] if p else [], []])
-    shock = _innovations(z - mu, ar, ma)[-q:] * scale if q else np.empty(0)
-    ends = [float((np.diff(y, i) if i else y)[-1]) for i in range(d)]
-    return {"p": p, "d": d, "q": q, "terms": names, "coef": coef.tolist(), "std_err": errors.tolist(), "p_values": ps, "sigma2": float(s2 * scale**2), "llf": float(llf), "aic": float(-2 * llf + 2 * free), "bic": float(-2 * llf + free * math.log(len(w))), "n": len(y), "tail": [float(v) for v in tail], "shocks": [float(v) for v in shock], "ends": ends}
-
-
-def _innovations(y: np.ndarray, ar: np.ndarray, ma: np.ndarray) -> np.ndarray:
-    e = np.zeros(len(y))
-    for t in range(len(y)):
-        back = sum(ar[i] * y[t - 1 - i] for i in range(len(ar)) if t - 1 - i >= 0)
-        e[t] = y[t] - back - sum(ma[j] * e[t - 1 - j] for j in range(len(ma)) if t - 1 - j >= 0)
-    return e
-
-
-MODEL = "p int, d int, q int, terms array<string>, coef array<double>, std_err array<double>, p_values array<double>, sigma2 double, llf double, aic double, bic double, n long, tail array<double>, shocks array<double>, ends array<double>"
-
-
-def fit_arima_model(df: DataFrame, key: str, order_by: str, value: str, order: Sequence[int] = (1, 1, 1)) -> DataFrame:
-    """The model table: one row a series, with what a forecast needs. Series too short for the order give no row."""
-    p, d, q = order
-
-    def kernel(y, _):
-        if len(y) < d + max(p, q) * 3 + 8:
-            return pd.DataFrame(columns=[c.split()[0] for c in MODEL.split(", ")])
-        return pd.DataFrame([fit_arima(y, (p, d, q))])
-
-    return _per_series(_series(df, key, order_by, value), kernel, MODEL)
-
-
-def forecast_path(m: dict, steps: int, alpha: float) -> list[tuple[int, float, float, float]]:
-    """Forecasts with intervals from psi weights."""
-    const = m["coef"][0] if m["d"] == 0 else 0.0
-    coef = np.array(m["coef"][int(m["d"] == 0) :], float)
-    ar, ma = coef[: m["p"]], coef[m["p"] :]
-    past, shocks = [v - const for v in m["tail"]], list(m["shocks"])
-    path = []
-    for h in range(steps):
-        v = sum(a * past[-1 - i] for i, a in enumerate(ar)) + sum(b * shocks[-1 - j + h] for j, b in enumerate(ma) if j >= h)
-        past.append(v)
-        path.append(v + const)
-    for end in reversed(m["ends"]):
-        path = (np.cumsum(path) + end).tolist()
-    full = np.array([1.0, *(-ar)])
-    for _ in range(m["d"]):
-        full = np.convolve(full, [1, -1])
-    psi = []
-    for h in range(steps):
-        psi.append((1.0 if h == 0 else float(ma[h - 1]) if h <= len(ma) else 0.0) - sum(full[i] * psi[h - i] for i in range(1, min(h, len(full) - 1) + 1)))
-    z = dist.norm_isf(alpha / 2)
-    half = z * np.sqrt(m["sigma2"] * np.cumsum(np.square(psi)))
-    return [(h + 1, round(v, 4), round(v - w, 4), round(v + w, 4)) for h, (v, w) in enumerate(zip(path, half))]
-
-
-def forecast_time_series(models: DataFrame, steps: int = 10, alpha: float = 0.05) -> DataFrame:
-    """Forecasts of every series from the model table alone."""
-    kind = dict(models.dtypes)["series"]
-
-    def run(batches):
-        for pdf in batches:
-            rows = [(m["series"], *r) for m in pdf.to_dict("records") for r in forecast_path(m, steps, alpha)]
-            yield pd.DataFrame(rows, columns=["series", "step", "forecast", "ci_lower", "ci_upper"])
-
-    return models.mapInPandas(run, f"series {kind}, step int, forecast double, ci_lower double, ci_upper double")
+__all__ = ["check_stationarity", "decompose_time_series", "fit_arima", "fit_arima_model", "forecast_time_series", "stl"]
