@@ -407,9 +407,42 @@ def _jackknife_regression(spark, d):
     return _round(resample.jackknife_regression(_t(spark, d, "lineitem"), "l_extendedprice", ["l_quantity"]), ["term", "coef", "std_err"], 3)
 
 
-@query("bootstrap_mean")
+def _bootstrap_sql(table: str, column: str, key: str, n_boot: int, seed: int) -> str:
+    """The weights again, from 64-bit products taken modulo 2^64."""
+    mixed = lambda z: f"xor(m2, m2 // 2147483648::UBIGINT) AS {z}"
+    times = lambda a, b: f"((({a})::UHUGEINT * {b}::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT"
+    plus = lambda a, b: f"((({a})::UHUGEINT + ({b})::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT"
+    golden, a, b = resample.GOLDEN, resample.MIX_A, resample.MIX_B
+
+    def mix(name: str, source: str, keep: str) -> str:
+        return f"""
+{name}a AS (SELECT {keep}, {times("xor(z, z // 1073741824::UBIGINT)", a)} AS m1 FROM {source}),
+{name}b AS (SELECT {keep}, {times("xor(m1, m1 // 134217728::UBIGINT)", b)} AS m2 FROM {name}a),
+{name} AS (SELECT {keep}, {mixed("z")} FROM {name}b),"""
+
+    count = "CASE " + " ".join(f"WHEN u < {s} THEN {k}" for k, s in enumerate(resample.poisson_steps())) + f" ELSE {len(resample.poisson_steps())} END"
+    return f"""
+WITH o AS (SELECT {column}::DOUBLE AS x, {key} AS place FROM {table}),
+i AS (SELECT x, {plus("place::UBIGINT", f"{seed * golden % 2**64}")} AS z FROM o),{mix("r", "i", "x")}
+g AS (SELECT x, k, {plus("z", f"{times('(k + 1)', golden)}")} AS z FROM r, (SELECT unnest(range({-(-n_boot // 4)})) AS k)),{mix("h", "g", "x, k")}
+l AS (SELECT x, 4 * k + lane AS b, (z // (65536::UBIGINT ** lane)::UBIGINT) % 65536 AS u FROM h, (SELECT unnest(range(4)) AS lane)),
+w AS (SELECT x, b, {count} AS w FROM l WHERE b < {n_boot}),
+p AS (SELECT b, sum(w * x) / sum(w) AS rep FROM w GROUP BY b HAVING sum(w) > 0),
+t AS (SELECT avg(x) AS theta, count(*) AS n FROM o)
+SELECT 'mean' AS statistic, any_value(n) AS n, {n_boot}::INT AS n_boot, round(any_value(theta), 2) AS estimate, round(avg(rep) - any_value(theta), 2) + 0.0 AS bias, round(stddev_samp(rep), 2) AS std_err,
+       round(quantile_cont(rep, 0.025), 2) AS ci_low, round(quantile_cont(rep, 0.975), 2) AS ci_high, round(min(rep), 2) AS replicate_min, round(max(rep), 2) AS replicate_max FROM p, t"""
+
+
+@query("bootstrap_mean", _bootstrap_sql("lineitem", "l_extendedprice", "row_number() OVER (ORDER BY l_extendedprice) - 1", 500, 42))
 def _bootstrap(spark, d):
-    return resample.bootstrap(_t(spark, d, "lineitem"), "l_extendedprice", "mean", 500, 42)
+    out = resample.bootstrap(_t(spark, d, "lineitem"), "l_extendedprice", "mean", 500, 42)
+    return _round(out, ["statistic", "n", "n_boot", "estimate", "bias", "std_err", "ci_low", "ci_high", "replicate_min", "replicate_max"], 2)
+
+
+@query("bootstrap_mean_by_key", _bootstrap_sql("events", "value", "event_id", 400, 7))
+def _bootstrap_by_key(spark, d):
+    out = resample.bootstrap(_t(spark, d, "events"), "value", "mean", 400, 7, "event_id")
+    return _round(out, ["statistic", "n", "n_boot", "estimate", "bias", "std_err", "ci_low", "ci_high", "replicate_min", "replicate_max"], 2)
 
 
 @query("bootstrap_median")

@@ -205,6 +205,28 @@ def test_bootstrap_matches_theory(spark, statistic):
         resample.bootstrap(df, "x", statistic, 0)
 
 
+@pytest.mark.parametrize("statistic", ["mean", "median", "var"])
+def test_bootstrap_does_not_depend_on_partitions(spark, statistic):
+    pdf = pd.DataFrame({"id": np.arange(900), "x": np.round(RNG.normal(5, 2, 900), 1)})
+    runs = [resample.bootstrap(df, "x", statistic, 60, 5, key).first().asDict() for key in (None, "id") for df in (spark.createDataFrame(pdf), spark.createDataFrame(pdf.sample(frac=1, random_state=1)).repartition(9))]
+    for a, b in (runs[:2], runs[2:]):
+        assert all(a[k] == (pytest.approx(b[k], rel=1e-12) if isinstance(a[k], float) else b[k]) for k in a)
+    with pytest.raises(ValueError, match="whole numbers"):
+        resample.bootstrap(spark.createDataFrame(pdf), "x", statistic, 10, 1, "x")
+
+
+def test_bootstrap_of_tiny_samples(spark):
+    r = resample.bootstrap(frame(spark, x=[1.0, 2.0]), "x", "mean", 200, 3).first()
+    assert r["n"] == 2 and 1 <= r["replicate_min"] < r["replicate_max"] <= 2 and not r["size_ok"]
+
+
+def test_weights_are_poisson_and_independent():
+    table = np.searchsorted(resample.poisson_steps(), np.arange(1 << 16), "right").astype(float)
+    w = resample._weights(np.arange(2000) + 2**40, np.arange(100), 9, table)
+    assert w.mean() == pytest.approx(1, abs=0.01) and w.var() == pytest.approx(1, abs=0.02)
+    assert np.abs(np.corrcoef(w[:, :60].T) - np.eye(60)).max() < 0.12 and np.abs(np.corrcoef(w[:60]) - np.eye(60)).max() < 0.3
+
+
 def test_encoders(spark):
     df = frame(spark, c=["b", "a", None, "b"], y=[1.0, 3.0, 5.0, 2.0])
     assert encode.one_hot_encode(df, ["c"]).columns == ["y", "c_a", "c_b"]
