@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from statloom.functions.columns import rounded
 from statloom.functions.scratch import scratch_path
-from statloom.jobs import series_sql
-from statloom.operators import checks, decomposition, describe, encode, nonparametric, parametric, regression, resample, selection, split, stationarity, timeseries, transform
+from statloom.jobs import linear_sql, series_sql
+from statloom.operators import checks, decomposition, describe, encode, grouped, nonparametric, parametric, regression, resample, selection, split, stationarity, timeseries, transform
 from statloom.streaming.windows import windowed_moments
 from statloom.sources.io import preview, profile_dataset, read_dataset, write_dataset
 
@@ -364,10 +364,35 @@ def _backward(spark, d):
     return selection.backward_elimination(noisy, "y", ["l_quantity", "l_discount", "noise_a", "noise_b"], criterion="bic")[1]
 
 
-@query("logistic_regression")
+_LOGIT = ["l_quantity", "l_discount", "l_tax"]
+_LOGIT_ROWS = "SELECT l_linestatus, (l_returnflag = 'R')::INT AS y, l_quantity, l_discount, l_tax FROM lineitem"
+
+
+def _flagged(spark, d) -> DataFrame:
+    return _t(spark, d, "lineitem").select("l_linestatus", (F.col("l_returnflag") == "R").cast("int").alias("y"), *_LOGIT, "l_extendedprice")
+
+
+@query("logistic_regression", linear_sql.logistic_sql(_LOGIT_ROWS, _LOGIT, tail="SELECT term, round(coef, 4) + 0.0 AS coef, round(exp(coef), 4) AS odds_ratio FROM t"))
 def _logistic(spark, d):
-    rows = _t(spark, d, "lineitem").select((F.col("l_returnflag") == "R").cast("int").alias("y"), "l_quantity", "l_discount", "l_tax")
-    return regression.logistic_regression(rows, "y", ["l_quantity", "l_discount", "l_tax"]).coefficients
+    return regression.logistic_regression(_flagged(spark, d), "y", _LOGIT).coefficients.select("term", "coef", "odds_ratio")
+
+
+@query("logistic_regression_summary", linear_sql.logistic_sql(_LOGIT_ROWS, _LOGIT, tail="SELECT round(2 * (llf - ones * ln(ones / n) - (n - ones) * ln(1 - ones / n)), 4) AS lr_chi2, 3.0::DOUBLE AS df, round(1 - llf / (ones * ln(ones / n) + (n - ones) * ln(1 - ones / n)), 6) AS mcfadden, n FROM t WHERE term = 'const'"))
+def _logistic_summary(spark, d):
+    out = regression.logistic_regression(_flagged(spark, d), "y", _LOGIT).summary
+    return out.select(rounded(F.col("lr_chi2")).alias("lr_chi2"), "df", rounded(F.col("mcfadden"), 6).alias("mcfadden"), "n")
+
+
+@query("logistic_regression_by", linear_sql.logistic_sql(_LOGIT_ROWS, _LOGIT, ["l_linestatus"], tail="SELECT l_linestatus, term, round(coef, 4) + 0.0 AS coef, round(std_err, 4) AS std_err, round(llf, 3) AS llf, n FROM t"))
+def _logistic_by(spark, d):
+    out = grouped.logistic_regression_by(_flagged(spark, d), ["l_linestatus"], "y", _LOGIT)
+    return out.select("l_linestatus", "term", rounded(F.col("coef")).alias("coef"), rounded(F.col("std_err")).alias("std_err"), rounded(F.col("llf"), 3).alias("llf"), "n")
+
+
+@query("linear_regression_by", linear_sql.linear_by_sql("lineitem", "l_suppkey", "l_extendedprice", ["l_quantity", "l_discount"], "SELECT l_suppkey, term, round(coef, 3) + 0.0 AS coef, round(std_err, 3) AS std_err, n FROM t"))
+def _linear_by(spark, d):
+    out = grouped.linear_regression_by(_t(spark, d, "lineitem"), ["l_suppkey"], "l_extendedprice", ["l_quantity", "l_discount"])
+    return _round(out, ["l_suppkey", "term", "coef", "std_err", "n"], 3)
 
 
 _JACK = """WITH s AS (SELECT count(*)::DOUBLE AS n, avg(value) AS m, var_pop(value) AS v FROM events),

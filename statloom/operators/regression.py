@@ -6,12 +6,14 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from statloom.functions import dist
 from statloom.functions.columns import complete, label, number, require, require_numeric
 from statloom.functions.gram import Fit, Gram, gram, ols, uncentred_vif
+from statloom.functions.scratch import written
 from statloom.operators.checks import durbin_watson
 
 VIF_LIMIT = 5.0
@@ -126,11 +128,35 @@ def vif(df: DataFrame, predictors: Sequence[str]) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "predictor string, vif double, passed boolean, collinearity string")
 
 
-def logistic_regression(df: DataFrame, target: str, predictors: Sequence[str], alpha: float = 0.05) -> Result:
-    """Maximum likelihood on a target of two values (the higher counts as 1), by the built-in binomial regression."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GeneralizedLinearRegression
-
+def _logistic_step(cells: DataFrame, names: Sequence[str], centre: np.ndarray, spread: np.ndarray, beta: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """Information, score and log-likelihood at ``beta``, for standardised predictors, in one aggregate."""
+    k = len(names) + 1
+    x = [F.lit(1.0), *[(F.col(c) - F.lit(float(m))) / F.lit(float(d)) for c, m, d in zip(names, centre, spread)]]
+    shaped = cells.select("_n", "_ones", *[v.alias(f"_x{i}") for i, v in enumerate(x)])
+    eta = sum((F.lit(float(b)) * F.col(f"_x{i}") for i, b in enumerate(beta)), F.lit(0.0))
+    # log p = log(1 / (1 + exp(-eta))) without overflow; log (1 - p) = log p - eta
+    fall = -F.log1p(F.exp(-F.abs(F.col("_e")))) - F.greatest(F.lit(0.0), -F.col("_e"))
+    each = shaped.withColumn("_e", eta).withColumn("_p", 1 / (1 + F.exp(-F.col("_e")))).withColumn("_w", F.col("_n") * F.col("_p") * (1 - F.col("_p")))
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    r = each.agg(
+        *[F.sum(F.col("_w") * F.col(f"_x{i}") * F.col(f"_x{j}")).alias(f"h{i}_{j}") for i, j in pairs],
+        *[F.sum((F.col("_ones") - F.col("_n") * F.col("_p")) * F.col(f"_x{i}")).alias(f"g{i}") for i in range(k)],
+        F.sum(F.col("_ones") * fall + (F.col("_n") - F.col("_ones")) * (fall - F.col("_e"))).alias("l"),
+    ).first()
+    hess = np.zeros((k, k))
+    for i, j in pairs:
+        hess[i, j] = hess[j, i] = r[f"h{i}_{j}"]
+    return hess, np.array([r[f"g{i}"] for i in range(k)]), r["l"]
+
+
+def logistic_regression(df: DataFrame, target: str, predictors: Sequence[str], alpha: float = 0.05, max_iterations: int = 50, tol: float = 1e-9) -> Result:
+    """Maximum likelihood on a target of two values (the higher counts as 1), by Newton steps.
+
+    A step is one weighted Gram. Where predictors repeat, rows with equal ones
+    are first counted into one (their counts are all that the likelihood
+    needs); an approximate number of distinct rows only decides whether that
+    saves work. Separable data have no maximum and raise an error.
+    """
     require(df, target)
     require_numeric(df, *predictors)
     names = list(dict.fromkeys(predictors))
@@ -138,17 +164,35 @@ def logistic_regression(df: DataFrame, target: str, predictors: Sequence[str], a
     found = [r["_y"] for r in rows.select("_y").distinct().sort("_y").limit(3).collect()]
     if len(found) != 2:
         raise ValueError("target must have exactly two values")
-    data = VectorAssembler(inputCols=names, outputCol="_x").transform(rows.withColumn("_y", (F.col("_y") == F.lit(found[1])).cast("double")))
-    model = GeneralizedLinearRegression(family="binomial", featuresCol="_x", labelCol="_y", tol=1e-10, maxIter=100, regParam=0.0).fit(data)
-    s = model.summary
-    *ps, const_p = s.pValues
-    coefs = [("const", model.intercept, const_p), *zip(names, model.coefficients.toArray(), ps)]
-    lr, k = s.nullDeviance - s.deviance, len(names)
-    g = gram(rows.select(*names), names)
-    inflation = float(max(uncentred_vif(g, names)))
+    ones = (F.col("_y") == F.lit(found[1])).cast("double")
+    s = rows.agg(F.count("*").alias("n"), F.sum(ones).alias("ones"), F.approx_count_distinct(F.xxhash64(*names)).alias("distinct"), *[F.avg(c).alias(f"m{i}") for i, c in enumerate(names)], *[F.stddev_pop(c).alias(f"d{i}") for i, c in enumerate(names)]).first()
+    cells = rows.groupBy(*names).agg(F.count("*").cast("double").alias("_n"), F.sum(ones).alias("_ones")) if s["distinct"] * 4 < s["n"] else rows.select(*names, F.lit(1.0).alias("_n"), ones.alias("_ones"))
+    cells = written(cells, "cells")
+    k, n = len(names) + 1, s["n"]
+    centre, spread = np.array([s[f"m{i}"] for i in range(k - 1)]), np.array([s[f"d{i}"] or 1.0 for i in range(k - 1)])
+    beta, kept, best = np.zeros(k), np.zeros(k), -math.inf
+    for _ in range(max_iterations):
+        hess, grad, llf = _logistic_step(cells, names, centre, spread, beta)
+        if llf < best - 1e-9 * abs(best):
+            beta = (beta + kept) / 2  # too far: half the way
+            continue
+        inverse = np.linalg.pinv(hess, rcond=1e-13, hermitian=True)
+        move = inverse @ grad
+        kept, best, beta = beta, llf, beta + move
+        if np.abs(move).max() <= tol:
+            break
+    else:
+        raise ValueError("the likelihood has no maximum: some combination of predictors tells the two values apart")
+    back = np.eye(k)
+    back[0, 1:], back[np.arange(1, k), np.arange(1, k)] = -centre / spread, 1 / spread
+    coef, errors = back @ beta, np.sqrt(np.maximum(np.diag(back @ inverse @ back.T), 0))
+    null = s["ones"] * math.log(s["ones"] / n) + (n - s["ones"]) * math.log1p(-s["ones"] / n)
+    lr = 2 * (llf - null)
+    inflation = float(max(uncentred_vif(gram(rows.select(*names), names), names)))
     spark = df.sparkSession
-    table = spark.createDataFrame([(t, round(float(c), 4) + 0.0, round(math.exp(c), 4), round(float(p), 4)) for t, c, p in coefs], "term string, coef double, odds_ratio double, p_value double")
-    p = dist.chi2_sf(lr, k)
-    row = (float(lr), float(k), p, 1 - s.deviance / s.nullDeviance, int(g.n), inflation, inflation <= VIF_LIMIT, g.n >= 10 * k, inflation <= VIF_LIMIT, p < alpha)
+    ps = [2 * dist.norm_sf(abs(c / e)) if e > 0 else None for c, e in zip(coef, errors)]
+    table = spark.createDataFrame([(t, round(float(c), 4) + 0.0, round(math.exp(min(c, 700)), 4), None if p is None else round(p, 4), round(float(e), 4)) for t, c, e, p in zip(["const", *names], coef, errors, ps)], "term string, coef double, odds_ratio double, p_value double, std_err double")
+    p = dist.chi2_sf(lr, k - 1)
+    row = (float(lr), float(k - 1), p, 1 - llf / null, int(n), inflation, inflation <= VIF_LIMIT, n >= 10 * (k - 1), inflation <= VIF_LIMIT, p < alpha)
     summary = spark.createDataFrame([row], "lr_chi2 double, df double, p_value double, mcfadden double, n long, max_vif double, vif_ok boolean, size_ok boolean, assumptions_met boolean, significant boolean")
     return Result(table, summary, None)
