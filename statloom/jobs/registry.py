@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from statloom.functions.columns import rounded
 from statloom.functions.scratch import scratch_path
-from statloom.jobs import linear_sql, series_sql
+from statloom.jobs import linear_sql, series_sql, tails_sql
 from statloom.operators import checks, decomposition, describe, encode, grouped, nonparametric, parametric, regression, resample, selection, split, stationarity, timeseries, transform
 from statloom.streaming.windows import windowed_moments
 from statloom.sources.io import preview, profile_dataset, read_dataset, write_dataset
@@ -215,6 +215,85 @@ def _wilcoxon(spark, d):
     return _round(nonparametric.wilcoxon_signed_rank_test(both, "o_totalprice", "scaled"), ["w_plus", "w_minus", "w", "n_nonzero"], 1)
 
 
+_P6 = "round(p, 6) + 0.0 AS p_value"
+
+
+def _t_inference(stat: str, centre: str) -> str:
+    """p-value and interval from ``stat``: (centre, se, df)."""
+    return f"""WITH s AS ({stat}), v AS (SELECT 1 AS id, {centre} AS centre, se, df, ({centre} - null_value) / se AS t FROM s)
+SELECT {_P6}, round(centre - {tails_sql.t_point('df')} * se, 4) + 0.0 AS ci_low, round(centre + {tails_sql.t_point('df')} * se, 4) + 0.0 AS ci_high FROM v JOIN {tails_sql.t_tail('v')} USING (id)"""
+
+
+def _inference(out: DataFrame) -> DataFrame:
+    return out.select(rounded(F.col("p_value"), 6).alias("p_value"), rounded(F.col("ci_low")).alias("ci_low"), rounded(F.col("ci_high")).alias("ci_high"))
+
+
+@query("one_sample_t_test_inference", _t_inference("SELECT avg(l_quantity) AS m, stddev_samp(l_quantity) / sqrt(count(*)) AS se, (count(*) - 1)::DOUBLE AS df, 25.5 AS null_value FROM lineitem", "m"))
+def _one_sample_inference(spark, d):
+    return _inference(parametric.one_sample_t_test(_t(spark, d, "lineitem"), "l_quantity", 25.5))
+
+
+_TWO_MOMENTS = "(SELECT count(*) FILTER ({g} = 0)::DOUBLE AS na, count(*) FILTER ({g} = 1)::DOUBLE AS nb, avg(x) FILTER ({g} = 0) AS ma, avg(x) FILTER ({g} = 1) AS mb, var_samp(x) FILTER ({g} = 0) AS va, var_samp(x) FILTER ({g} = 1) AS vb FROM (SELECT l_extendedprice AS x, (l_linestatus = 'O')::INT AS g FROM lineitem))".format(g="g")
+
+
+@query("two_sample_t_test_inference", _t_inference(f"SELECT ma - mb AS m, sqrt(va / na + vb / nb) AS se, (va / na + vb / nb)^2 / ((va / na)^2 / (na - 1) + (vb / nb)^2 / (nb - 1)) AS df, 0 AS null_value FROM {_TWO_MOMENTS}", "m"))
+def _two_sample_inference(spark, d):
+    return _inference(parametric.two_sample_t_test(_t(spark, d, "lineitem"), "l_linestatus", "l_extendedprice"))
+
+
+@query("two_sample_t_test_pooled_inference", _t_inference(f"SELECT ma - mb AS m, sqrt(((na - 1) * va + (nb - 1) * vb) / (na + nb - 2) * (1 / na + 1 / nb)) AS se, na + nb - 2 AS df, 0 AS null_value FROM {_TWO_MOMENTS}", "m"))
+def _two_sample_pooled_inference(spark, d):
+    return _inference(parametric.two_sample_t_test(_t(spark, d, "lineitem"), "l_linestatus", "l_extendedprice", equal_var=True))
+
+
+@query("paired_t_test_inference", _t_inference("SELECT avg(v) AS m, stddev_samp(v) / sqrt(count(*)) AS se, (count(*) - 1)::DOUBLE AS df, 0 AS null_value FROM (SELECT o_totalprice / 1000 - c_acctbal / 30 AS v FROM orders JOIN customer ON o_custkey = c_custkey)", "m"))
+def _paired_inference(spark, d):
+    both = _t(spark, d, "orders").join(_t(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).select((F.col("o_totalprice") / 1000).alias("a"), (F.col("c_acctbal") / 30).alias("b"))
+    return _inference(parametric.paired_t_test(both, "a", "b"))
+
+
+@query("correlation_p_values", f"""
+WITH x AS (SELECT p_size, p_retailprice, rank() OVER (ORDER BY p_size) + (count(*) OVER (PARTITION BY p_size) - 1) / 2.0 AS a, rank() OVER (ORDER BY p_retailprice) + (count(*) OVER (PARTITION BY p_retailprice) - 1) / 2.0 AS b FROM part),
+s AS (SELECT 'pearson' AS id, corr(p_size, p_retailprice) AS r, count(*) - 2.0 AS df FROM x UNION ALL SELECT 'spearman', corr(a, b), count(*) - 2.0 FROM x),
+v AS (SELECT id, r * sqrt(df / (1 - r * r)) AS t, df::DOUBLE AS df FROM s)
+SELECT id AS test, {_P6} FROM {tails_sql.t_tail('v')}""")
+def _correlation_p(spark, d):
+    part = _t(spark, d, "part")
+    tests = [("pearson", parametric.pearson_correlation_test), ("spearman", nonparametric.spearman_correlation_test)]
+    both = [test(part, "p_size", "p_retailprice").select(F.lit(name).alias("test"), rounded(F.col("p_value"), 6).alias("p_value")) for name, test in tests]
+    return both[0].unionByName(both[1])
+
+
+@query("anova_p_values", f"""
+WITH base AS (SELECT c_mktsegment AS g, c_acctbal AS x FROM customer), {_BF}{_f_sql('z').replace('g AS (', 'zg AS (').replace(' FROM g', ' FROM zg').replace('t AS (', 'zt AS (').replace('s AS (SELECT k, t.n', 'zs AS (SELECT k, zt.n').replace('sum(g.n', 'sum(zg.n').replace('zg, t ', 'zg, zt ')},
+{_f_sql('base')},
+v AS (SELECT 'anova' AS id, (ssb / (k - 1)) / (ssw / (n - k)) AS f, k - 1 AS df1, n - k AS df2 FROM s UNION ALL SELECT 'equal variances', (ssb / (k - 1)) / (ssw / (n - k)), k - 1, n - k FROM zs)
+SELECT id AS test, {_P6} FROM {tails_sql.f_tail('v')}""")
+def _anova_p(spark, d):
+    customer = _t(spark, d, "customer")
+    anova = parametric.one_way_anova(customer, "c_mktsegment", "c_acctbal").select(F.lit("anova").alias("test"), rounded(F.col("p_value"), 6).alias("p_value"))
+    levene = checks.homogeneity_of_variance(customer, "c_mktsegment", "c_acctbal").select(F.lit("equal variances").alias("test"), rounded(F.col("p_value"), 6).alias("p_value"))
+    return anova.unionByName(levene)
+
+
+@query("rank_test_p_values", f"""
+WITH r AS (SELECT event_type AS g, value, rank() OVER (ORDER BY value) + (count(*) OVER (PARTITION BY value) - 1) / 2.0 AS r FROM events WHERE event_type IN ('click', 'view')),
+k AS (SELECT sum(r) FILTER (g = 'click') AS rs, count(*) FILTER (g = 'click')::DOUBLE AS a, count(*) FILTER (g = 'view')::DOUBLE AS b, count(*)::DOUBLE AS n FROM r),
+kt AS (SELECT sum(c * c * c - c) AS ties FROM (SELECT count(*)::DOUBLE AS c FROM r GROUP BY value)),
+x AS (SELECT o_totalprice - c_acctbal * 30 AS v FROM orders JOIN customer ON o_custkey = c_custkey),
+w AS (SELECT v, rank() OVER (ORDER BY abs(v)) + (count(*) OVER (PARTITION BY abs(v)) - 1) / 2.0 AS r FROM x WHERE v <> 0),
+ws AS (SELECT least(sum(r) FILTER (v > 0), sum(r) FILTER (v < 0)) AS w, count(*)::DOUBLE AS n FROM w),
+wt AS (SELECT sum(c * c * c - c) AS ties FROM (SELECT count(*)::DOUBLE AS c FROM w GROUP BY abs(v))),
+v AS (SELECT 'mann_whitney' AS id, (greatest(rs - a * (a + 1) / 2, a * b - rs + a * (a + 1) / 2) - a * b / 2 - 0.5) / sqrt(a * b / 12 * (n + 1 - ties / (n * (n - 1)))) AS z FROM k, kt
+      UNION ALL SELECT 'wilcoxon', (w - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48) FROM ws, wt)
+SELECT id AS test, {_P6} FROM {tails_sql.normal_tail('v')}""")
+def _rank_p(spark, d):
+    both = _t(spark, d, "orders").join(_t(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).select("o_totalprice", (F.col("c_acctbal") * 30).alias("scaled"))
+    mann = nonparametric.mann_whitney_u_test(_t(spark, d, "events"), "event_type", "value", groups=("click", "view"))
+    wilcoxon = nonparametric.wilcoxon_signed_rank_test(both, "o_totalprice", "scaled")
+    return mann.select(F.lit("mann_whitney").alias("test"), rounded(F.col("p_value"), 6).alias("p_value")).unionByName(wilcoxon.select(F.lit("wilcoxon").alias("test"), rounded(F.col("p_value"), 6).alias("p_value")))
+
+
 @query("kruskal_wallis_test", """
 WITH r AS (SELECT l_returnflag AS g, rank() OVER (ORDER BY l_extendedprice) + (count(*) OVER (PARTITION BY l_extendedprice) - 1) / 2.0 AS r FROM lineitem),
 t AS (SELECT sum(c * c * c - c) AS ties FROM (SELECT count(*)::DOUBLE AS c FROM lineitem GROUP BY l_extendedprice)),

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from statloom.functions import dist
+from statloom.functions import dist, tails
 from statloom.functions.columns import complete
 from statloom.functions.ordering import quantiles, with_lag
 
@@ -139,7 +139,7 @@ def anova_of(groups: DataFrame) -> DataFrame:
     out = total.select("k", "total", "within", "between", df1.alias("df1"), df2.alias("df2"))
     f = F.try_divide(F.col("between") / F.col("df1"), F.col("within") / F.col("df2"))
     eta = F.coalesce(F.try_divide(F.col("between"), F.col("between") + F.col("within")), F.lit(0.0))
-    return out.withColumn("f", f).withColumn("p_value", dist.column(dist.f_sf, F.col("f"), F.col("df1"), F.col("df2"))).withColumn("eta_squared", eta)
+    return out.withColumn("f", f).withColumn("p_value", tails.f_sf(F.col("f"), F.col("df1"), F.col("df2"))).withColumn("eta_squared", eta)
 
 
 def durbin_watson(df: DataFrame, residual: str, order_by: str) -> DataFrame:

@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statloom.functions import dist
+from statloom.functions import dist, tails
 from statloom.functions.columns import complete, label, require, require_alternative
 from statloom.functions.ordering import midranks
 from statloom.operators.describe import rank_pairs
@@ -104,7 +104,7 @@ def kruskal_wallis_test(df: DataFrame, group_col: str, value_col: str, alpha: fl
     out = s.crossJoin(distinct.agg(F.sum(t * t * t - t).alias("ties")))
     h = F.try_divide(12 / (n * (n + 1)) * F.col("s") - 3 * (n + 1), 1 - F.col("ties") / (n * n * n - n))
     out = out.select(h.alias("h"), (F.col("k") - 1).alias("df"), n.cast("long").alias("n"), F.col("k").cast("long").alias("n_groups"), (F.col("least") >= LEAST).alias("size_ok"))
-    return out.withColumn("p_value", dist.column(dist.chi2_sf, F.col("h"), F.col("df"))).withColumn("significant", F.col("p_value") < alpha)
+    return out.withColumn("p_value", tails.chi2_sf(F.col("h"), F.col("df"))).withColumn("significant", F.col("p_value") < alpha)
 
 
 def spearman_correlation_test(df: DataFrame, column_a: str, column_b: str, alpha: float = 0.05) -> DataFrame:
@@ -112,7 +112,7 @@ def spearman_correlation_test(df: DataFrame, column_a: str, column_b: str, alpha
     ranked = rank_pairs(complete(df, x=column_a, y=column_b))
     n, dx, dy = F.col("n"), F.col("dx"), F.col("dy")
     out = ranked.agg(F.try_divide(F.sum(n * dx * dy), F.sqrt(F.sum(n * dx * dx) * F.sum(n * dy * dy))).alias("rho"), F.sum("n").alias("n"))
-    out = out.withColumn("p_value", dist.column(correlation_p, F.col("rho"), (F.col("n") - 2).cast("double")))
+    out = out.withColumn("p_value", correlation_p(F.col("rho"), (F.col("n") - 2).cast("double")))
     return out.withColumn("size_ok", F.col("n") >= LEAST).withColumn("significant", F.col("p_value") < alpha)
 
 
@@ -138,7 +138,7 @@ def chi_square_test_independence(df: DataFrame, column_a: str, column_b: str, al
     s = sums.crossJoin(F.broadcast(few)).select(chi2.alias("chi2"), (F.col("few") / (F.col("r") * F.col("c"))).alias("share_below_5"), "n", "r", "c")
     least = F.least("r", "c") - 1
     out = s.select("chi2", dof.alias("df"), F.col("n").cast("long").alias("n"), F.when(least > 0, F.sqrt(F.col("chi2") / (F.col("n") * least))).otherwise(0.0).alias("cramers_v"), "share_below_5", ((F.col("share_below_5") <= 0.2) & (F.col("n") >= LEAST)).alias("assumptions_met"))
-    return out.withColumn("p_value", dist.column(lambda x, d: dist.chi2_sf(x, d) if d > 0 else 1.0, F.col("chi2"), F.col("df"))).withColumn("significant", F.col("p_value") < alpha)
+    return out.withColumn("p_value", F.when(F.col("df") > 0, tails.chi2_sf(F.col("chi2"), F.col("df"))).otherwise(1.0)).withColumn("significant", F.col("p_value") < alpha)
 
 
 def chi_square_goodness_of_fit(df: DataFrame, column: str, expected: Sequence[float] | None = None, alpha: float = 0.05) -> DataFrame:
@@ -159,4 +159,4 @@ def chi_square_goodness_of_fit(df: DataFrame, column: str, expected: Sequence[fl
     gap = F.col("o") - e
     out = terms.crossJoin(F.broadcast(size)).agg(F.sum(gap * gap / e).alias("chi2"), F.first("k").alias("k"), F.first("n").alias("n"))
     out = out.select("chi2", (F.col("k") - 1).cast("double").alias("df"), F.col("n").cast("long").alias("n"), (F.col("n") >= LEAST).alias("size_ok"))
-    return out.withColumn("p_value", dist.column(dist.chi2_sf, F.col("chi2"), F.col("df"))).withColumn("significant", F.col("p_value") < alpha)
+    return out.withColumn("p_value", tails.chi2_sf(F.col("chi2"), F.col("df"))).withColumn("significant", F.col("p_value") < alpha)

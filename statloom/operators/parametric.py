@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from statloom.functions import dist
+from statloom.functions import dist, tails
 from statloom.functions.columns import complete, require_alternative, require_numeric, number
 from statloom.operators.checks import anova_of, homogeneity_of_variance, normality_check
 
@@ -19,7 +19,7 @@ def _moments(x: str = "x") -> list[Column]:
 
 
 def _t_interval(center: Column, se: Column, df: Column, alpha: float) -> list[Column]:
-    crit = dist.column(dist.t_isf, F.lit(alpha / 2), df)
+    crit = tails.t_isf(alpha / 2, df)
     return [(center - crit * se).alias("ci_low"), (center + crit * se).alias("ci_high")]
 
 
@@ -40,7 +40,7 @@ def one_sample_t_test(df: DataFrame, column: str, popmean: float, alpha: float =
     s = values.groupBy(*by).agg(*_moments())
     se = F.col("sd") / F.sqrt("n")
     out = s.select(*by, F.col("n").cast("long").alias("n"), "mean", F.try_divide(F.col("mean") - popmean, se).alias("t"), (F.col("n") - 1).alias("df"), F.try_divide(F.col("mean") - popmean, F.col("sd")).alias("cohens_d"), se.alias("se"))
-    out = out.withColumn("p_value", dist.column(lambda t, d: dist.t_p(t, d, alternative), F.col("t"), F.col("df")))
+    out = out.withColumn("p_value", tails.t_p(F.col("t"), F.col("df"), alternative))
     out = out.select("*", *_t_interval(F.col("mean"), F.col("se"), F.col("df"), alpha))
     normal = normality_check(values, "x", by).select(*by, F.col("passed").alias("normal"))
     return _verdict(_join_keys(out, normal, by), F.col("normal") | (F.col("n") >= LARGE), "wilcoxon_signed_rank_test")
@@ -63,7 +63,7 @@ def two_sample_t_test(df: DataFrame, group_col: str, value_col: str, equal_var:
         a["g"].cast("string").alias("group_a"), b["g"].cast("string").alias("group_b"), a["n"].cast("long").alias("n_a"), b["n"].cast("long").alias("n_b"),
         a["mean"].alias("mean_a"), b["mean"].alias("mean_b"), gap.alias("difference"), F.try_divide(gap, se).alias("t"), dof.alias("df"), F.try_divide(gap, F.sqrt(pooled)).alias("cohens_d"), se.alias("se"),
     )
-    out = out.withColumn("p_value", dist.column(lambda t, d: dist.t_p(t, d, alternative), F.col("t"), F.col("df")))
+    out = out.withColumn("p_value", tails.t_p(F.col("t"), F.col("df"), alternative))
     out = out.select("*", *_t_interval(F.col("difference"), F.col("se"), F.col("df"), alpha))
     normal = normality_check(values, "x", ["g"]).agg(F.min("passed").alias("both_normal"))
     levene = homogeneity_of_variance(values, "g", "x").select(F.col("p_value").alias("levene_p"))
@@ -107,11 +107,11 @@ def pearson_correlation_test(df: DataFrame, column_a: str, column_b: str, alpha:
     """Correlation of complete pairs with its two-sided p-value."""
     pairs = complete(df, by, x=column_a, y=column_b)
     out = pairs.groupBy(*by).agg(F.corr("x", "y").alias("r"), F.count("*").alias("n")).withColumn("df", (F.col("n") - 2).cast("double"))
-    out = out.withColumn("p_value", dist.column(correlation_p, F.col("r"), F.col("df")))
+    out = out.withColumn("p_value", correlation_p(F.col("r"), F.col("df")))
     for name in ("x", "y"):
         out = _join_keys(out, normality_check(pairs, name, by).select(*by, F.col("passed").alias(f"normal_{name}")), by)
     return _verdict(out, F.col("normal_x") & F.col("normal_y"), "spearman_correlation_test")
 
 
-def correlation_p(r: float, df: float) -> float:
-    return 0.0 if abs(r) >= 1 else dist.t_p(r * (df / (1 - r * r)) ** 0.5, df)
+def correlation_p(r: Column, df: Column) -> Column:
+    return F.when(F.abs(r) >= 1, 0.0).when(df > 0, tails.t_p(r * F.sqrt(df / (1 - r * r)), df))
