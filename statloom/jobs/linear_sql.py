@@ -85,3 +85,57 @@ g AS MATERIALIZED (SELECT {by}, any_value(n) AS n, {', '.join(f'any_value(m{i})
 f AS (SELECT *, a{k}_{k} / (n - {k + 1}) AS s2 FROM {end}),
 t AS ({' UNION ALL '.join(rows)})
 {tail}"""
+
+
+def irls_sql(source: str, rounds: int = 8, digits: int = 3, tol: float = 1e-3) -> str:
+    """Weights from a fit of log squared residuals, round after round; a series of rounds that has settled stays as it is.
+
+    ``source`` gives y, a and b; predictors are taken about their means.
+    """
+    xs = ["1", "a", "b"]
+    out = f"""
+WITH r AS (SELECT * FROM ({source})),
+m AS (SELECT avg(a) AS ma, avg(b) AS mb FROM r),
+base AS MATERIALIZED (SELECT y, a - ma AS a, b - mb AS b FROM r, m),
+g0 AS MATERIALIZED (SELECT {products([*xs, 'y'])} FROM base)"""
+    steps, end = swept("o", "g0", 4, range(3))
+    out += steps + f",\ns0 AS MATERIALIZED (SELECT a0_3 AS c0, a1_3 AS c1, a2_3 AS c2, false AS done, 0 AS rounds FROM {end})"
+    fit = "c0 + c1 * a + c2 * b"
+    for i in range(1, rounds + 1):
+        out += f",\nv{i} AS MATERIALIZED (SELECT {products([*xs, f'ln((y - ({fit})) ^ 2 + 1e-8)'])} FROM base, s{i - 1})"
+        steps, end = swept(f"v{i}_", f"v{i}", 4, range(3))
+        out += steps + f",\nw{i} AS MATERIALIZED (SELECT {products([*xs, 'y'], 'exp(-(q.a0_3 + q.a1_3 * a + q.a2_3 * b))')} FROM base, {end} q)"
+        steps, end = swept(f"w{i}_", f"w{i}", 4, range(3))
+        near = " AND ".join(f"abs(q.a{j}_3 - c{j}) <= 1e-8 + {tol} * abs(c{j})" for j in (1, 2))
+        const = f"abs((q.a0_3 - q.a1_3 * ma - q.a2_3 * mb) - (c0 - c1 * ma - c2 * mb)) <= 1e-8 + {tol} * abs(c0 - c1 * ma - c2 * mb)"
+        keep = lambda old, new: f"CASE WHEN done THEN {old} ELSE {new} END"
+        out += steps + f""",
+s{i} AS MATERIALIZED (SELECT {', '.join(f"{keep(f'c{j}', f'q.a{j}_3')} AS c{j}" for j in range(3))}, done OR ({near} AND {const}) AS done, rounds + (NOT done)::INT AS rounds
+  FROM s{i - 1}, {end} q, m)"""
+    return out + f"""
+SELECT 'const' AS term, round(c0 - c1 * ma - c2 * mb, {digits}) + 0.0 AS coef, rounds AS iterations, done AS converged FROM s{rounds}, m
+UNION ALL SELECT 'l_quantity', round(c1, {digits}) + 0.0, rounds, done FROM s{rounds} UNION ALL SELECT 'l_discount', round(c2, {digits}) + 0.0, rounds, done FROM s{rounds}"""
+
+
+def backward_sql(source: str, predictors: Sequence[str]) -> str:
+    """Every subset's BIC from one set of cross-products, then drops one predictor after another while that lowers it."""
+    k = len(predictors)
+    names = [*predictors, "y"]
+    means = ", ".join(f"avg({c}) AS m{i}" for i, c in enumerate(names))
+    out = f"""
+WITH RECURSIVE r AS (SELECT * FROM ({source})),
+m AS (SELECT count(*)::DOUBLE AS n, {means} FROM r),
+g AS MATERIALIZED (SELECT {products([f'({c} - m{i})' for i, c in enumerate(names)])} FROM r, m)"""
+    fits = []
+    for mask in range(1 << k):
+        pivots = [i for i in range(k) if mask >> i & 1]
+        steps, end = swept(f"k{mask}_", "g", k + 1, pivots)
+        out += steps
+        fits.append(f"SELECT {mask} AS mask, a{k}_{k} AS ssr, {len(pivots)} AS k FROM {end}")
+    label = "CASE " + " ".join(f"WHEN gone = {1 << i} THEN '{c}'" for i, c in enumerate(predictors)) + " END"
+    return out + f""",
+b AS MATERIALIZED (SELECT mask, n * (ln(2 * pi()) + ln(ssr / n) + 1) + (k + 1) * ln(n) AS bic FROM ({' UNION ALL '.join(fits)}), m),
+d AS MATERIALIZED (SELECT x.mask, y.mask AS next, y.bic, x.mask - y.mask AS gone FROM b x JOIN b y ON (x.mask & y.mask) = y.mask AND bit_count(x.mask) = bit_count(y.mask) + 1 AND y.bic < x.bic),
+best AS MATERIALIZED (SELECT mask, arg_min(next, bic) AS next, arg_min(gone, bic) AS gone, min(bic) AS bic FROM d GROUP BY mask),
+walk AS (SELECT 1 AS step, next, gone, bic FROM best WHERE mask = {(1 << k) - 1} UNION ALL SELECT step + 1, best.next, best.gone, best.bic FROM walk JOIN best ON best.mask = walk.next)
+SELECT step::BIGINT AS step, {label} AS predictor, round(bic, 2) AS score FROM walk"""

@@ -394,10 +394,21 @@ def _wls(spark, d):
     return _coef3(regression.weighted_linear_regression(_signal(spark, d), "y", ["l_quantity", "l_discount"], "w"))
 
 
-@query("irls_regression")
+def _irls_terms(rows: DataFrame, digits: int) -> DataFrame:
+    result, rounds, done = regression.irls_regression(rows, "y", ["l_quantity", "l_discount"])
+    return result.coefficients.select("term", rounded(F.col("coef"), digits).alias("coef"), F.lit(rounds).alias("iterations"), F.lit(done).alias("converged"))
+
+
+@query("irls_regression", linear_sql.irls_sql(_SIGNAL.format(w=1), 4))
 def _irls(spark, d):
-    result, rounds, done = regression.irls_regression(_signal(spark, d), "y", ["l_quantity", "l_discount"])
-    return result.coefficients.withColumns({"iterations": F.lit(rounds), "converged": F.lit(done)})
+    return _irls_terms(_signal(spark, d), 3)
+
+
+@query("irls_regression_uneven", linear_sql.irls_sql("SELECT 5 + 2 * l_quantity + 300 * l_discount + (l_tax - 0.04) * l_quantity * l_quantity AS y, l_quantity AS a, l_discount AS b FROM lineitem", 20, 2))
+def _irls_uneven(spark, d):
+    q = F.col("l_quantity")
+    y = 5 + 2 * q + 300 * F.col("l_discount") + (F.col("l_tax") - 0.04) * q * q
+    return _irls_terms(_t(spark, d, "lineitem").select(y.alias("y"), "l_quantity", "l_discount"), 2)
 
 
 @query("breusch_pagan", """
@@ -437,10 +448,16 @@ def _forward(spark, d):
     return selection.forward_selection(_signal(spark, d), "y", ["l_quantity", "l_discount"])[1].select("step", "predictor")
 
 
-@query("backward_elimination")
+_NOISE = "SELECT 5 + 2 * l_quantity + 300 * l_discount + l_extendedprice / 1000 AS y, l_quantity, l_discount, (l_partkey * 7919 + l_suppkey * 31) % 1009 AS noise_a, (l_partkey * 104729 + l_linenumber * 17) % 997 AS noise_b FROM lineitem"
+
+
+@query("backward_elimination", linear_sql.backward_sql(_NOISE, ["l_quantity", "l_discount", "noise_a", "noise_b"]))
 def _backward(spark, d):
-    noisy = _signal(spark, d).withColumns({"noise_a": F.pmod(F.xxhash64("y", F.lit(1)), F.lit(1000)), "noise_b": F.pmod(F.xxhash64("y", F.lit(2)), F.lit(1000))})
-    return selection.backward_elimination(noisy, "y", ["l_quantity", "l_discount", "noise_a", "noise_b"], criterion="bic")[1]
+    y = 5 + 2 * F.col("l_quantity") + 300 * F.col("l_discount") + F.col("l_extendedprice") / 1000
+    part, line = F.col("l_partkey").cast("long"), F.col("l_linenumber").cast("long")
+    noisy = _t(spark, d, "lineitem").select(y.alias("y"), "l_quantity", "l_discount", ((part * 7919 + F.col("l_suppkey") * 31) % 1009).alias("noise_a"), ((part * 104729 + line * 17) % 997).alias("noise_b"))
+    steps = selection.backward_elimination(noisy, "y", ["l_quantity", "l_discount", "noise_a", "noise_b"], criterion="bic")[1]
+    return steps.select(F.col("step").cast("long").alias("step"), "predictor", rounded(F.col("score"), 2).alias("score"))
 
 
 _LOGIT = ["l_quantity", "l_discount", "l_tax"]

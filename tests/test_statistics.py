@@ -302,3 +302,49 @@ def test_sources(spark, tmp_path):
     assert [r["n_values"] for r in profile_dataset(df).sort("position").collect()] == [3, 2]
     with pytest.raises(ValueError, match="unknown file type"):
         read_dataset(spark, "t.xlsx")
+
+
+@pytest.fixture(scope="module")
+def useful_and_noise(spark):
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(300, 4))
+    return frame(spark, **{f"x{i}": x[:, i] for i in range(4)}, y=3 * x[:, 0] - 2 * x[:, 1] + rng.normal(0, 0.5, 300)), x
+
+
+@pytest.mark.parametrize("criterion", ["aic", "bic", "r_squared", "mallows_cp", "p_value"])
+def test_backward_elimination_drops_noise(useful_and_noise, criterion):
+    df, _ = useful_and_noise
+    result, steps = selection.backward_elimination(df, "y", ["x0", "x1", "x2", "x3"], criterion=criterion)
+    gone = [r["predictor"] for r in steps.sort("step").collect()]
+    assert gone and set(gone) <= {"x2", "x3"} and {"x0", "x1"} <= {r["term"] for r in result.coefficients.collect()}
+
+
+def test_backward_elimination_steps_lower_the_criterion(useful_and_noise):
+    df, x = useful_and_noise
+    y = np.array([r["y"] for r in df.select("y").collect()])
+
+    def bic(cols):
+        design = np.column_stack([np.ones(300), x[:, cols]])
+        e = y - design @ np.linalg.lstsq(design, y, rcond=None)[0]
+        return 300 * (math.log(2 * math.pi) + math.log(e @ e / 300) + 1) + (len(cols) + 1) * math.log(300)
+
+    steps = selection.backward_elimination(df, "y", ["x0", "x1", "x2", "x3"], criterion="bic")[1].sort("step").collect()
+    left = [0, 1, 2, 3]
+    for r in steps:
+        scores = {f"x{i}": bic([j for j in left if j != i]) for i in left}
+        assert r["predictor"] == min(scores, key=scores.get) and r["score"] == pytest.approx(min(scores.values()), abs=1e-6)
+        left.remove(int(r["predictor"][1]))
+    assert all(bic([j for j in left if j != i]) >= bic(left) for i in left)
+
+
+def test_backward_elimination_refusals(spark, useful_and_noise):
+    df, _ = useful_and_noise
+    with pytest.raises(ValueError, match="did not remove"):
+        selection.backward_elimination(df, "y", ["x0", "x1"])
+    with pytest.raises(ValueError):
+        selection.backward_elimination(df, "y", [])
+    with pytest.raises(ValueError):
+        selection.backward_elimination(df, "y", ["x0", "x2"], criterion="unheard of")
+    rng = np.random.default_rng(3)
+    result, steps = selection.backward_elimination(frame(spark, a=rng.normal(size=50), y=rng.normal(size=50)), "y", ["a"], criterion="bic")
+    assert [r["predictor"] for r in steps.collect()] == ["a"] and result.terms == ["const"]
