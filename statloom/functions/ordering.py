@@ -1,7 +1,9 @@
 """Global order without a global sort in one task.
 
-Rows go to buckets by approximate quantiles of a numeric position; windows run
-inside a bucket, and only one row a bucket (its totals) is summed in order.
+Rows are range partitioned by sampled bounds of the order itself and written
+in order, once. A group's rows in a partition follow each other there, so that
+one row for each group and partition is all that is summed up in order; windows
+run inside a partition.
 """
 
 from __future__ import annotations
@@ -15,43 +17,62 @@ from pyspark.sql import functions as F
 from statloom.functions.scratch import written
 
 
-def bucketed(df: DataFrame, position: Column, buckets: int | None = None) -> DataFrame:
-    """Adds ``_bucket``: how many quantile bounds of ``position`` lie below the row's."""
-    n = buckets or max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    shares = [i / n for i in range(1, n)]
-    bounds = df.agg(F.percentile_approx(position, F.array(*[F.lit(s) for s in shares]), 1000).alias("b")).first()["b"] or []
-    lits = F.array(*[F.lit(float(b)) for b in sorted(set(bounds))]) if bounds else F.array().cast("array<double>")
-    return df.withColumn("_bucket", F.size(F.filter(lits, lambda b: b < position.cast("double"))))
+def _ordered(df: DataFrame, order: Sequence[str], by: Sequence[str], cells: dict[str, Column]) -> tuple[DataFrame, list[str]]:
+    """The rows in a table with ``cells``, their partition ``_part`` and a number ``_row`` that rises along the order; and the key columns' names.
 
+    Keys may be of any type; texts with a common beginning spread evenly.
+    Missing keys are a group, and come first.
+    """
+    keys = [f"_k{i}" for i in range(len(by))]
+    wide = df.withColumns({**{k: F.col(c) for k, c in zip(keys, by)}, **cells, "_all": F.lit(True)})
+    along = [F.col(c).asc_nulls_first() for c in (*keys, *order)]
+    rows = wide.repartitionByRange(*along).sortWithinPartitions(*along)
+    return written(rows.withColumns({"_part": F.spark_partition_id(), "_row": F.monotonically_increasing_id()}), "ordered"), [*keys, "_all"]
 
-def running(df: DataFrame, order: Sequence[str], position: Column, sums: dict[str, Column], by: Sequence[str] = (), buckets: int | None = None) -> DataFrame:
-    """Adds for each of ``sums`` its total over the rows before this one, in ``order`` within ``by``.
 
-    ``position`` is a number that never falls along ``order``; ``order`` must be
-    unique within ``by``.
-    """
-    rows = bucketed(df.withColumns(sums), position, buckets)
-    per = rows.groupBy(*by, "_bucket").agg(*[F.sum(n).alias(f"_t_{n}") for n in sums])
-    before = W.partitionBy(*by).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    starts = per.select(*by, "_bucket", *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_s_{n}") for n in sums])
-    keys = [*by, "_bucket"]
-    on = [rows[k].eqNullSafe(starts[k]) for k in keys]
-    joined = rows.join(F.broadcast(starts) if not by else starts, on, "left").drop(*[starts[k] for k in keys])
-    inside = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+def _with_parts(rows: DataFrame, keys: list[str], aggs: list[Column], starts: list[Column]) -> DataFrame:
+    """Joins to each row what ``starts`` makes of its group's partitions, one row each; the join is on group and partition, so no group is hot."""
+    runs = rows.groupBy(*keys, "_part").agg(*aggs).select(*[F.col(k).alias(f"_j{k}") for k in (*keys, "_part")], *starts)
+    on = [rows[k].eqNullSafe(F.col(f"_j{k}")) for k in keys] + [rows["_part"] == F.col("_j_part")]
+    return rows.join(runs, on)
+
+
+def _earlier(keys: list[str]):
+    return W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+
+
+def running(df: DataFrame, order: Sequence[str], sums: dict[str, Column], by: Sequence[str] = ()) -> DataFrame:
+    """Adds for each of ``sums`` its total over the rows before this one, in ``order``, unique within ``by``."""
+    rows, keys = _ordered(df.withColumns(sums), order, by, {})
+    joined = _with_parts(rows, keys, [F.sum(n).alias(f"_t_{n}") for n in sums], [F.coalesce(F.sum(f"_t_{n}").over(_earlier(keys)), F.lit(0)).alias(f"_s_{n}") for n in sums])
+    inside = W.partitionBy(*keys, "_part").orderBy("_row").rowsBetween(W.unboundedPreceding, -1)
     out = joined.withColumns({f"before_{n}": F.col(f"_s_{n}") + F.coalesce(F.sum(n).over(inside), F.lit(0)) for n in sums})
-    return out.drop("_bucket", *[f"_s_{n}" for n in sums])
+    return out.select(*df.columns, *[n for n in sums if n not in df.columns], *[f"before_{n}" for n in sums])
+
+
+def placed(df: DataFrame, order: Sequence[str], by: Sequence[str] = (), totals: dict[str, Column] | None = None) -> DataFrame:
+    """Adds ``place`` (from 0, in ``order`` within ``by``), ``n`` (rows of ``by``) and ``totals`` of ``by``: sums, or minima and maxima by the first word of the name."""
+    totals = totals or {}
+    rows, keys = _ordered(df, order, by, {f"_v_{name}": c for name, c in totals.items()})
+    fold = {name: {"min": F.min, "max": F.max}.get(name.split("_")[0], F.sum) for name in totals}
+    whole = W.partitionBy(*keys)
+    joined = _with_parts(
+        rows, keys, [F.min("_row").alias("_first"), F.count("*").alias("_m"), *[fold[t](f"_v_{t}").alias(f"_t_{t}") for t in totals]],
+        ["_first", F.coalesce(F.sum("_m").over(_earlier(keys)), F.lit(0)).alias("_start"), F.sum("_m").over(whole).alias("n"), *[fold[t](f"_t_{t}").over(whole).alias(t) for t in totals]],
+    )
+    return joined.withColumn("place", F.col("_start") + F.col("_row") - F.col("_first")).select(*df.columns, "place", "n", *totals)
 
 
 def quantiles(values: DataFrame, x: str, shares: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
     """``q0, q1, ...``: exact quantiles of a number, linearly interpolated, one row a group of ``by``.
 
-    Equal values combine before the shuffle and ranks are running counts over
-    buckets, so that no task sees all values of a column or of a hot group.
+    Equal values combine before the shuffle, and counts are run along the
+    partitions, so that no task sees all values of a column or of a hot group.
     """
-    counts = values.groupBy(*by, x).agg(F.count("*").alias("_m"))
-    placed = running(counts, [x], F.col(x), {"_n": F.col("_m")}, by)
+    counts = written(values.groupBy(*by, x).agg(F.count("*").alias("_m")), "counts")
+    ranked = running(counts, [x], {"_n": F.col("_m")}, by)
     totals = counts.groupBy(*by).agg(F.sum("_m").alias("_total"))
-    joined = placed.join(totals, list(by)) if by else placed.crossJoin(F.broadcast(totals))
+    joined = ranked.join(totals, list(by)) if by else ranked.crossJoin(F.broadcast(totals))
     aggs, cells = [], []
     for i, share in enumerate(shares):
         h = F.lit(float(share)) * (F.col("_total") - 1)
@@ -61,55 +82,26 @@ def quantiles(values: DataFrame, x: str, shares: Sequence[float], by: Sequence[s
     return joined.groupBy(*by).agg(F.max("_total").alias("_total"), *aggs).select(*by, *cells)
 
 
-def text_position(text: Column) -> Column:
-    """A number that never falls along the binary order of texts: their first six bytes."""
-    return F.conv(F.rpad(F.hex(F.substring(F.encode(text, "UTF-8"), 1, 6)), 12, "0"), 16, 10).cast("double")
+def row_index(df: DataFrame, order_by: str) -> DataFrame:
+    """Adds ``row_index``, from 0, in the order of a unique column of any type."""
+    return placed(df, [order_by]).withColumnRenamed("place", "row_index").select(*df.columns, "row_index")
 
 
-def row_index(df: DataFrame, order_by: str, position: Column | None = None) -> DataFrame:
-    """Adds ``row_index``, from 0, in the order of a unique column."""
-    place = position if position is not None else F.col(order_by).cast("timestamp").cast("double") if dict(df.dtypes)[order_by] in ("timestamp", "date") else F.col(order_by).cast("double")
-    return running(df, [order_by], place, {"_one": F.lit(1).cast("long")}).withColumnRenamed("before__one", "row_index").drop("_one")
+#: Rows in which a row finds the one before it without a look beyond.
+_BLOCK = 8192
 
 
 def with_lag(df: DataFrame, order_by: str, value: str) -> DataFrame:
-    """Adds ``lagged``: ``value`` of the row before; the first of a bucket takes it from the bucket before."""
-    place = F.col(order_by).cast("timestamp").cast("double") if dict(df.dtypes)[order_by] in ("timestamp", "date") else F.col(order_by).cast("double")
-    rows = bucketed(df, place)
-    ends = rows.groupBy("_bucket").agg(F.max_by(value, order_by).alias("_last"))
-    ends = ends.select("_bucket", F.lag("_last").over(W.orderBy("_bucket")).alias("_previous"))
-    inside = W.partitionBy("_bucket").orderBy(order_by)
-    return rows.join(F.broadcast(ends), "_bucket").withColumn("lagged", F.when(F.row_number().over(inside) == 1, F.col("_previous")).otherwise(F.lag(value).over(inside))).drop("_bucket", "_previous")
+    """Adds ``lagged``: ``value`` of the row before; the first of a block takes it from the block before."""
+    rows = placed(df, [order_by]).withColumn("_block", F.floor(F.col("place") / _BLOCK))
+    ends = rows.where((F.col("place") + 1) % _BLOCK == 0).select((F.col("_block") + 1).alias("_block"), F.col(value).alias("_previous"))
+    before = F.lag(value).over(W.partitionBy("_block").orderBy("place"))
+    return rows.join(ends, "_block", "left").withColumn("lagged", F.when(F.col("place") % _BLOCK == 0, F.col("_previous")).otherwise(before)).select(*df.columns, "lagged")
 
 
 def midranks(counts: DataFrame, value: str, n: str, by: Sequence[str] = ()) -> DataFrame:
     """Adds ``midrank`` to a table of distinct values with their counts."""
-    return running(counts, [value], F.col(value), {"_n": F.col(n)}, by).withColumn("midrank", F.col("before__n") + (F.col(n) + 1) / 2).drop("before__n", "_n")
-
-
-def placed(df: DataFrame, order: Sequence[str], by: Sequence[str] = (), totals: dict[str, Column] | None = None) -> DataFrame:
-    """Adds ``place`` (from 0, in ``order`` within ``by``), ``n`` (rows of ``by``) and ``totals`` (sums, minima or maxima of ``by``).
-
-    Rows are range partitioned by sampled bounds of the columns themselves, so
-    keys of any type and texts with a common beginning spread evenly, and are
-    written in order. A group's rows in a partition follow each other there,
-    so only one row for each group and partition is summed up. Missing keys
-    are a group, and come first.
-    """
-    totals = totals or {}
-    keys = [f"_k{i}" for i in range(len(by))]
-    cells = df.withColumns({**{k: F.col(c) for k, c in zip(keys, by)}, **{f"_v_{name}": c for name, c in totals.items()}})
-    along = [F.col(c).asc_nulls_first() for c in (*keys, *order)]
-    ordered = cells.repartitionByRange(*along).sortWithinPartitions(*along)
-    rows = written(ordered.withColumns({"_part": F.spark_partition_id(), "_row": F.monotonically_increasing_id(), "_all": F.lit(True)}), "ordered")
-    keys.append("_all")
-    fold = {name: {"min": F.min, "max": F.max}.get(name.split("_")[0], F.sum) for name in totals}
-    runs = rows.groupBy(*keys, "_part").agg(F.min("_row").alias("_first"), F.count("*").alias("_m"), *[fold[t](f"_v_{t}").alias(f"_t_{t}") for t in totals])
-    whole, earlier = W.partitionBy(*keys), W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    runs = runs.select(*keys, "_part", "_first", F.coalesce(F.sum("_m").over(earlier), F.lit(0)).alias("_start"), F.sum("_m").over(whole).alias("n"), *[fold[t](f"_t_{t}").over(whole).alias(t) for t in totals])
-    on = [rows[k].eqNullSafe(runs[k]) for k in keys] + [rows["_part"] == runs["_part"]]
-    joined = rows.join(runs, on).withColumn("place", F.col("_start") + rows["_row"] - F.col("_first"))
-    return joined.select(*[rows[c] for c in df.columns], "place", "n", *totals)
+    return running(counts, [value], {"_n": F.col(n)}, by).withColumn("midrank", F.col("before__n") + (F.col(n) + 1) / 2).drop("before__n", "_n")
 
 
 def blocks(rows: DataFrame, by: Sequence[str], values: Sequence[str], size: Column | int, before: Column | int = 0, after: Column | int = 0) -> DataFrame:

@@ -614,6 +614,23 @@ def _box_cox(spark, d):
     return out.withColumns({k: F.lit(v) for k, v in found.items()})
 
 
+@query("box_cox_likelihoods", " UNION ALL ".join(
+    f"SELECT {e}::DOUBLE AS exponent, round(-count(*) / 2.0 * ln(var_pop({'z' if e == 0 else f'(exp({e} * z) - 1) / {e}'})), 4) + 0.0 AS likelihood FROM (SELECT ln(o_totalprice) - avg(ln(o_totalprice)) OVER () AS z FROM orders)"
+    for e in transform.PLAIN))
+def _box_cox_likelihoods(spark, d):
+    return _round(transform.box_cox_likelihoods(_t(spark, d, "orders"), "o_totalprice"), ["exponent", "likelihood"])
+
+
+@query("label_encode_names", "SELECT c_custkey, c_name, dense_rank() OVER (ORDER BY c_name) - 1 AS code FROM customer")
+def _label_names(spark, d):
+    return encode.label_encode(_t(spark, d, "customer").select("c_custkey", "c_name"), "c_name", "code").withColumn("code", F.col("code").cast("long"))
+
+
+@query("train_test_split_by_name", "SELECT c_name, row_number() OVER (ORDER BY c_name) - 1 AS row_index, CASE WHEN row_number() OVER (ORDER BY c_name) - 1 < floor(count(*) OVER () * (1 - 0.2::DOUBLE)) THEN 'train' ELSE 'test' END AS split FROM customer")
+def _split_names(spark, d):
+    return split.train_test_split(_t(spark, d, "customer").select("c_name"), "c_name")
+
+
 _INDEX = "SELECT event_id, row_number() OVER (ORDER BY {o}) - 1 AS row_index, (SELECT count(*) FROM events) AS n FROM events"
 
 

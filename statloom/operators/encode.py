@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from statloom.functions.columns import label, number, require, require_numeric
-from statloom.functions.ordering import row_index, text_position
+from statloom.functions.ordering import row_index
 
 MAX_CATEGORIES = 1000
 
@@ -58,7 +58,7 @@ def label_encode(df: DataFrame, column: str, output: str | None = None) -> DataF
     """Codes 0 to k-1 in sorted order of the categories' text; missing stays missing."""
     require(df, column)
     names = df.select(label(df, column).cast("string").alias("_key")).where("_key IS NOT NULL").distinct()
-    codes = row_index(names, "_key", text_position(F.col("_key"))).select("_key", F.col("row_index").cast("int").alias("_code"))
+    codes = row_index(names, "_key").select("_key", F.col("row_index").cast("int").alias("_code"))
     return _coded(df, column, codes, output or f"{column}_encoded")
 
 

@@ -14,8 +14,7 @@ def _labelled(df: DataFrame, order_by: str, cuts: list[tuple[str, float]], shuff
     rows = df
     if shuffle:
         rows = df.withColumn("_md5", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(order_by).cast("string"))))
-        place = F.conv(F.substring("_md5", 1, 12), 16, 10).cast("double")
-        indexed = row_index(rows, "_md5", place)
+        indexed = row_index(rows, "_md5")
     else:
         indexed = row_index(rows, order_by)
     n = df.count()
