@@ -158,6 +158,15 @@ def _tukey(spark, d):
     return _round(parametric.pairwise_tukey_posthoc(_t(spark, d, "events"), "event_type", "value"), ["group1", "group2", "meandiff"])
 
 
+@query("tukey_p_values", f"""
+WITH g AS (SELECT c_mktsegment AS g, count(*)::DOUBLE AS n, avg(c_acctbal) AS m, var_pop(c_acctbal) AS v FROM customer GROUP BY 1),
+t AS (SELECT sum(n * v) / (sum(n) - count(*)) AS msw, sum(n) - count(*) AS df FROM g),
+v AS (SELECT a.g || '|' || b.g AS id, abs(b.m - a.m) / sqrt(msw / 2 * (1 / a.n + 1 / b.n)) AS q, df FROM g a JOIN g b ON a.g < b.g, t)
+SELECT string_split(id, '|')[1] AS group1, string_split(id, '|')[2] AS group2, round(p, 4) + 0.0 AS p_adj, p < 0.05 AS reject FROM {tails_sql.range_tail('v', 5)}""")
+def _tukey_p(spark, d):
+    return _round(parametric.pairwise_tukey_posthoc(_t(spark, d, "customer"), "c_mktsegment", "c_acctbal"), ["group1", "group2", "p_adj", "reject"])
+
+
 @query("tukey_with_intervals")
 def _tukey_full(spark, d):
     return parametric.pairwise_tukey_posthoc(_t(spark, d, "events"), "event_type", "value")
@@ -322,6 +331,11 @@ SELECT round(chi2, 4) + 0.0 AS chi2, ((SELECT count(*) FROM r) - 1.0) * ((SELECT
        round(sqrt(chi2 / (n * (least((SELECT count(*) FROM r), (SELECT count(*) FROM q)) - 1))), 6) + 0.0 AS cramers_v, round(share, 4) + 0.0 AS share_below_5{p} FROM s"""
 
 
+@query("sample_size_check", "SELECT c_nationkey, count(c_acctbal) AS n, " + ", ".join(f"count(c_acctbal) >= {m} AS enough_for_{name}" for name, m in checks.LEAST_ROWS.items()) + " FROM customer GROUP BY c_nationkey")
+def _sample_sizes(spark, d):
+    return checks.sample_sizes(_t(spark, d, "customer"), "c_acctbal", ["c_nationkey"])
+
+
 @query("chi_square_test_independence", _independence_sql("lineitem", "l_returnflag", "l_linestatus", False, ", round(exp(-chi2 / 2), 4) + 0.0 AS p_value"))
 def _independence(spark, d):
     out = nonparametric.chi_square_test_independence(_t(spark, d, "lineitem"), "l_returnflag", "l_linestatus")

@@ -33,3 +33,18 @@ def t_point(df: str) -> str:
     z = Z975
     c = [(z**3 + z) / 4, (5 * z**5 + 16 * z**3 + 3 * z) / 96, (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384]
     return f"({z} + {c[0]} / ({df}) + {c[1]} / ({df})^2 + {c[2]} / ({df})^3)"
+
+
+def normal_cdf(z: str) -> str:
+    """Formula 26.2.17 of Abramowitz and Stegun, within 7.5e-8."""
+    t = f"(1 / (1 + 0.2316419 * abs({z})))"
+    poly = f"{t} * (0.319381530 + {t} * (-0.356563782 + {t} * (1.781477937 + {t} * (-1.821255978 + {t} * 1.330274429))))"
+    return f"(CASE WHEN {z} >= 0 THEN 1 - exp(-0.5 * power({z}, 2)) / sqrt(2 * pi()) * {poly} ELSE exp(-0.5 * power({z}, 2)) / sqrt(2 * pi()) * {poly} END)"
+
+
+def range_tail(source: str, groups: int) -> str:
+    """``p`` of (id, q, df): the studentised range of ``groups`` means, by sums over a mean and over a deviation."""
+    return f"""(SELECT id, 1 - sum(density * inner_sum) / sum(density) AS p FROM
+  (SELECT id, s, any_value(density) AS density, {groups} * sum(exp(-z * z / 2) / sqrt(2 * pi()) * power(greatest({normal_cdf('z + q * s')} - {normal_cdf('z')}, 0), {groups - 1})) * 0.05 AS inner_sum
+   FROM (SELECT id, q, 1 + u / sqrt(2 * df) AS s, exp((df - 1) * ln(1 + u / sqrt(2 * df)) - df / 2 * ((1 + u / sqrt(2 * df))^2 - 1)) AS density FROM {source}, (SELECT unnest(range(-60, 61)) / 10.0 AS u)),
+        (SELECT unnest(range(-160, 161)) * 0.05 AS z) GROUP BY id, s) GROUP BY id)"""

@@ -19,10 +19,20 @@ MOMENTS_FROM = 5000
 LEVEL = 0.05
 
 
+#: Rows that each kind of test asks for; regressions ask for ten a predictor.
+LEAST_ROWS = {"means": 30, "ranks": 20, "resampling": 10, "stationarity": 30}
+
+
 def sample_size_check(n: Column, least: int) -> Column:
     return n >= least
 
 
+def sample_sizes(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
+    """Values of a column, by key, and whether they are enough for each kind of test."""
+    out = complete(df, by, x=column).groupBy(*by).agg(F.count("x").alias("n"))
+    return out.select(*by, "n", *[sample_size_check(F.col("n"), least).alias(f"enough_for_{name}") for name, least in LEAST_ROWS.items()])
+
+
 def _k2(g1: Column, g2: Column, n: Column) -> Column:
     """D'Agostino-Pearson K2 from population skewness, excess kurtosis and count."""
     y = g1 * F.sqrt((n + 1) * (n + 3) / (6 * (n - 2)))
