@@ -1,8 +1,8 @@
 """Tails of the usual distributions as column expressions: no Python on the workers.
 
 Continued fractions run as a fold over a sequence inside the expression, as many
-steps as the arguments need (their number grows with the square root of the
-larger one), so that one method serves all sizes.
+steps as the arguments need (their number grows with a square root of them), so
+that one method serves all sizes.
 """
 
 from __future__ import annotations
@@ -35,11 +35,9 @@ def _correction(x: Column) -> Column:
     return (1 / 12 + r * (-1 / 360 + r * (1 / 1260 + r * (-1 / 1680 + r * (1 / 1188 + r * (-691 / 360360)))))) / x
 
 
-def _sum(f, n: int = _SHIFT) -> Column:
-    out = f(0)
-    for i in range(1, n):
-        out = out + f(i)
-    return out
+def _sum(f) -> Column:
+    """Of ``f(0)`` to ``f(_SHIFT - 1)``."""
+    return F.aggregate(F.sequence(F.lit(0), F.lit(_SHIFT - 1)), F.lit(0.0), lambda acc, i: acc + f(i))
 
 
 def ln_gamma(x: Column | float) -> Column:
@@ -82,7 +80,7 @@ def _beta_fraction(a: Column, b: Column, x: Column) -> Column:
         odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
         return F.when(j % 2 == 0, even).otherwise(odd)
 
-    steps = (F.lit(120) + 8 * F.ceil(F.sqrt(F.greatest(a, b)))).cast("int")
+    steps = (F.lit(120) + 2 * F.ceil(F.sqrt(F.least(a, b)))).cast("int")
     return _fraction(steps, 1 - (a + b) * x / (a + 1), term)
 
 

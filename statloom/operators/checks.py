@@ -125,18 +125,22 @@ def normality_check(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataF
     )
 
 
-def homogeneity_of_variance(df: DataFrame, group_col: str, value_col: str) -> DataFrame:
-    """Brown-Forsythe: one-way F of the distances from the groups' medians; one row."""
-    values = complete(df, labels={"g": group_col}, x=value_col)
+def distances_anova(values: DataFrame) -> DataFrame:
+    """F of the distances of ``x`` from the medians of the groups ``g``, without its tail: ``f, df1, df2``."""
     medians = quantiles(values, "x", (0.5,), ("g",)).withColumnRenamed("q0", "m")
     z = values.join(medians, "g").withColumn("z", F.abs(F.col("x") - F.col("m")))
-    return anova_of(z.groupBy("g").agg(F.count("z").cast("double").alias("n"), F.avg("z").alias("mean"), F.var_pop("z").alias("var"))).select(
-        F.col("f").alias("statistic"), "df1", "df2", "p_value", (F.col("p_value") > LEVEL).alias("passed")
-    )
+    return anova_of(z.groupBy("g").agg(F.count("z").cast("double").alias("n"), F.avg("z").alias("mean"), F.var_pop("z").alias("var"))).select("f", "df1", "df2")
+
+
+def homogeneity_of_variance(df: DataFrame, group_col: str, value_col: str) -> DataFrame:
+    """Brown-Forsythe: one-way F of the distances from the groups' medians; one row."""
+    out = distances_anova(complete(df, labels={"g": group_col}, x=value_col))
+    out = out.select(F.col("f").alias("statistic"), "df1", "df2", tails.f_sf(F.col("f"), F.col("df1"), F.col("df2")).alias("p_value"))
+    return out.withColumn("passed", F.col("p_value") > LEVEL)
 
 
 def anova_of(groups: DataFrame) -> DataFrame:
-    """F, degrees of freedom, p and eta squared from one row (n, mean, var_pop) a group."""
+    """F, degrees of freedom and eta squared from one row (n, mean, var_pop) a group; the tail is the caller's, after all joins, as its expression is long."""
     grand = groups.agg((F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("grand"))
     gap = F.col("mean") - F.col("grand")
     total = groups.crossJoin(F.broadcast(grand)).agg(
@@ -149,7 +153,7 @@ def anova_of(groups: DataFrame) -> DataFrame:
     out = total.select("k", "total", "within", "between", df1.alias("df1"), df2.alias("df2"))
     f = F.try_divide(F.col("between") / F.col("df1"), F.col("within") / F.col("df2"))
     eta = F.coalesce(F.try_divide(F.col("between"), F.col("between") + F.col("within")), F.lit(0.0))
-    return out.withColumn("f", f).withColumn("p_value", tails.f_sf(F.col("f"), F.col("df1"), F.col("df2"))).withColumn("eta_squared", eta)
+    return out.withColumns({"f": f, "eta_squared": eta})
 
 
 def durbin_watson(df: DataFrame, residual: str, order_by: str) -> DataFrame:

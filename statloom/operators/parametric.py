@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from statloom.functions import dist, tails
 from statloom.functions.columns import complete, require_alternative, require_numeric, number
-from statloom.operators.checks import anova_of, homogeneity_of_variance, normality_check
+from statloom.operators.checks import LEVEL, anova_of, distances_anova, normality_check
 
 LARGE = 30
 
@@ -18,9 +18,11 @@ def _moments(x: str = "x") -> list[Column]:
     return [F.count(x).cast("double").alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("sd")]
 
 
-def _t_interval(center: Column, se: Column, df: Column, alpha: float) -> list[Column]:
-    crit = tails.t_isf(alpha / 2, df)
-    return [(center - crit * se).alias("ci_low"), (center + crit * se).alias("ci_high")]
+def _with_inference(out: DataFrame, center: str, alpha: float, alternative: str, more: dict[str, Column] | None = None) -> DataFrame:
+    """p-value and two-sided interval, added last: their expressions are long, and each step that follows reads them again."""
+    half = tails.t_isf(alpha / 2, F.col("df")) * F.col("se")
+    out = out.withColumns({"p_value": tails.t_p(F.col("t"), F.col("df"), alternative), "_half": half, **(more or {})})
+    return out.withColumns({"ci_low": F.col(center) - F.col("_half"), "ci_high": F.col(center) + F.col("_half")}).drop("_half")
 
 
 def _verdict(out: DataFrame, met: Column, alternative: str) -> DataFrame:
@@ -40,10 +42,9 @@ def one_sample_t_test(df: DataFrame, column: str, popmean: float, alpha: float =
     s = values.groupBy(*by).agg(*_moments())
     se = F.col("sd") / F.sqrt("n")
     out = s.select(*by, F.col("n").cast("long").alias("n"), "mean", F.try_divide(F.col("mean") - popmean, se).alias("t"), (F.col("n") - 1).alias("df"), F.try_divide(F.col("mean") - popmean, F.col("sd")).alias("cohens_d"), se.alias("se"))
-    out = out.withColumn("p_value", tails.t_p(F.col("t"), F.col("df"), alternative))
-    out = out.select("*", *_t_interval(F.col("mean"), F.col("se"), F.col("df"), alpha))
     normal = normality_check(values, "x", by).select(*by, F.col("passed").alias("normal"))
-    return _verdict(_join_keys(out, normal, by), F.col("normal") | (F.col("n") >= LARGE), "wilcoxon_signed_rank_test")
+    out = _verdict(_join_keys(out, normal, by), F.col("normal") | (F.col("n") >= LARGE), "wilcoxon_signed_rank_test")
+    return _with_inference(out, "mean", alpha, alternative)
 
 
 def two_sample_t_test(df: DataFrame, group_col: str, value_col: str, equal_var: bool = False, alpha: float = 0.05, alternative: str = "two-sided") -> DataFrame:
@@ -63,12 +64,10 @@ def two_sample_t_test(df: DataFrame, group_col: str, value_col: str, equal_var:
         a["g"].cast("string").alias("group_a"), b["g"].cast("string").alias("group_b"), a["n"].cast("long").alias("n_a"), b["n"].cast("long").alias("n_b"),
         a["mean"].alias("mean_a"), b["mean"].alias("mean_b"), gap.alias("difference"), F.try_divide(gap, se).alias("t"), dof.alias("df"), F.try_divide(gap, F.sqrt(pooled)).alias("cohens_d"), se.alias("se"),
     )
-    out = out.withColumn("p_value", tails.t_p(F.col("t"), F.col("df"), alternative))
-    out = out.select("*", *_t_interval(F.col("difference"), F.col("se"), F.col("df"), alpha))
     normal = normality_check(values, "x", ["g"]).agg(F.min("passed").alias("both_normal"))
-    levene = homogeneity_of_variance(values, "g", "x").select(F.col("p_value").alias("levene_p"))
-    out = out.crossJoin(normal).crossJoin(levene)
-    return _verdict(out, F.col("both_normal") | (F.least("n_a", "n_b") >= LARGE), "mann_whitney_u_test")
+    levene = distances_anova(values).select(F.col("f").alias("_f"), F.col("df1").alias("_df1"), F.col("df2").alias("_df2"))
+    out = _verdict(out.crossJoin(normal).crossJoin(levene), F.col("both_normal") | (F.least("n_a", "n_b") >= LARGE), "mann_whitney_u_test")
+    return _with_inference(out, "difference", alpha, alternative, {"levene_p": tails.f_sf(F.col("_f"), F.col("_df1"), F.col("_df2"))}).drop("_f", "_df1", "_df2")
 
 
 def paired_t_test(df: DataFrame, column_a: str, column_b: str, alpha: float = 0.05, alternative: str = "two-sided", by: Sequence[str] = ()) -> DataFrame:
@@ -82,10 +81,13 @@ def one_way_anova(df: DataFrame, group_col: str, value_col: str, alpha: float =
     """F test of equal means, with eta squared and the checks that decide on the alternative."""
     values = complete(df, labels={"g": group_col}, x=value_col)
     out = anova_of(values.groupBy("g").agg(F.count("x").cast("double").alias("n"), F.avg("x").alias("mean"), F.var_pop("x").alias("var")))
-    out = out.select("f", "df1", "df2", "p_value", "eta_squared", F.col("k").cast("long").alias("n_groups"), F.col("total").cast("long").alias("n"), (F.col("p_value") < alpha).alias("significant"))
+    out = out.select("f", "df1", "df2", "eta_squared", F.col("k").cast("long").alias("n_groups"), F.col("total").cast("long").alias("n"))
     normal = normality_check(values, "x", ["g"]).agg(F.min("passed").alias("all_normal"), F.min("n").alias("smallest_group"))
-    levene = homogeneity_of_variance(values, "g", "x").select(F.col("statistic").alias("levene_f"), F.col("p_value").alias("levene_p"), F.col("passed").alias("equal_variances"))
-    return _verdict(out.crossJoin(normal).crossJoin(levene), F.col("all_normal") & F.col("equal_variances"), "kruskal_wallis_test")
+    levene = distances_anova(values).select(F.col("f").alias("levene_f"), F.col("df1").alias("_df1"), F.col("df2").alias("_df2"))
+    out = out.crossJoin(normal).crossJoin(levene)
+    out = out.withColumns({"p_value": tails.f_sf(F.col("f"), F.col("df1"), F.col("df2")), "levene_p": tails.f_sf(F.col("levene_f"), F.col("_df1"), F.col("_df2"))}).drop("_df1", "_df2")
+    out = out.withColumns({"significant": F.col("p_value") < alpha, "equal_variances": F.col("levene_p") > LEVEL})
+    return _verdict(out, F.col("all_normal") & F.col("equal_variances"), "kruskal_wallis_test")
 
 
 def pairwise_tukey_posthoc(df: DataFrame, group_col: str, value_col: str, alpha: float = 0.05) -> DataFrame:
@@ -107,10 +109,10 @@ def pearson_correlation_test(df: DataFrame, column_a: str, column_b: str, alpha:
     """Correlation of complete pairs with its two-sided p-value."""
     pairs = complete(df, by, x=column_a, y=column_b)
     out = pairs.groupBy(*by).agg(F.corr("x", "y").alias("r"), F.count("*").alias("n")).withColumn("df", (F.col("n") - 2).cast("double"))
-    out = out.withColumn("p_value", correlation_p(F.col("r"), F.col("df")))
     for name in ("x", "y"):
         out = _join_keys(out, normality_check(pairs, name, by).select(*by, F.col("passed").alias(f"normal_{name}")), by)
-    return _verdict(out, F.col("normal_x") & F.col("normal_y"), "spearman_correlation_test")
+    out = _verdict(out, F.col("normal_x") & F.col("normal_y"), "spearman_correlation_test")
+    return out.withColumn("p_value", correlation_p(F.col("r"), F.col("df")))
 
 
 def correlation_p(r: Column, df: Column) -> Column:
