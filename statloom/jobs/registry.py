@@ -505,6 +505,28 @@ def _linear_by(spark, d):
     return _round(out, ["l_suppkey", "term", "coef", "std_err", "n"], 3)
 
 
+@query("one_way_anova_by", f"""
+WITH g AS (SELECT l_linenumber, l_returnflag AS g, count(*)::DOUBLE AS n, avg(l_extendedprice) AS m, var_pop(l_extendedprice) AS v FROM lineitem GROUP BY ALL),
+a AS (SELECT l_linenumber, sum(n * m) / sum(n) AS gm FROM g GROUP BY 1),
+s AS (SELECT l_linenumber, count(*)::DOUBLE AS k, sum(n) AS n, sum(n * v) AS ssw, sum(n * (m - gm)^2) AS ssb FROM g JOIN a USING (l_linenumber) GROUP BY 1),
+v AS (SELECT l_linenumber AS id, (ssb / (k - 1)) / (ssw / (n - k)) AS f, k - 1 AS df1, n - k AS df2, ssb / (ssb + ssw) AS eta, n FROM s)
+SELECT id AS l_linenumber, round(f, 4) AS f, df1, df2, round(eta, 6) + 0.0 AS eta_squared, n::BIGINT AS n, {_P6} FROM v JOIN {tails_sql.f_tail('v')} USING (id)""")
+def _anova_by(spark, d):
+    out = grouped.one_way_anova_by(_t(spark, d, "lineitem"), ["l_linenumber"], "l_returnflag", "l_extendedprice")
+    return out.select("l_linenumber", rounded(F.col("f")).alias("f"), "df1", "df2", rounded(F.col("eta_squared"), 6).alias("eta_squared"), "n", rounded(F.col("p_value"), 6).alias("p_value"))
+
+
+@query("kruskal_wallis_test_by", """
+WITH r AS (SELECT l_linenumber AS k, l_returnflag AS g, l_extendedprice AS x, rank() OVER (PARTITION BY l_linenumber ORDER BY l_extendedprice) + (count(*) OVER (PARTITION BY l_linenumber, l_extendedprice) - 1) / 2.0 AS r FROM lineitem),
+t AS (SELECT k, sum(c * c * c - c) AS ties FROM (SELECT k, count(*)::DOUBLE AS c FROM r GROUP BY k, x) GROUP BY k),
+s AS (SELECT k, sum(rs * rs / m) AS s, sum(m) AS n, count(*) AS groups FROM (SELECT k, g, sum(r) AS rs, count(*)::DOUBLE AS m FROM r GROUP BY k, g) GROUP BY k),
+h AS (SELECT k, (12 / (n * (n + 1)) * s - 3 * (n + 1)) / (1 - ties / (n^3 - n)) AS h, n, groups FROM s JOIN t USING (k))
+SELECT k AS l_linenumber, round(h, 4) + 0.0 AS h, (groups - 1)::DOUBLE AS df, n::BIGINT AS n, groups AS n_groups, round(exp(-h / 2), 6) + 0.0 AS p_value FROM h""")
+def _kruskal_by(spark, d):
+    out = grouped.kruskal_wallis_test_by(_t(spark, d, "lineitem"), ["l_linenumber"], "l_returnflag", "l_extendedprice")
+    return out.select("l_linenumber", rounded(F.col("h")).alias("h"), "df", "n", "n_groups", rounded(F.col("p_value"), 6).alias("p_value"))
+
+
 _JACK = """WITH s AS (SELECT count(*)::DOUBLE AS n, avg(value) AS m, var_pop(value) AS v FROM events),
 r AS (SELECT {theta} AS theta, n, {rep} AS rep FROM events, s)
 SELECT '{name}' AS statistic, any_value(n)::BIGINT AS n, round(any_value(theta), 4) AS estimate, round((any_value(n) - 1) * (avg(rep - theta)), 4) + 0.0 AS bias,

@@ -1,4 +1,4 @@
-"""Regressions by key: one fit for each value of the key columns, all in the same few jobs.
+"""Regressions and group tests by key: one for each value of the key columns, all in the same few jobs.
 
 Rows give the cross-products of their key in one aggregate with partial sums;
 solves run in Arrow batches of many keys, and what a second pass needs is
@@ -15,8 +15,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from statloom.functions import dist
-from statloom.functions.columns import label, number, require, require_numeric
+from statloom.functions import dist, tails
+from statloom.functions.columns import complete, label, number, require, require_numeric
+from statloom.functions.ordering import midranks
 from statloom.functions.scratch import written
 
 VIF_LIMIT = 5.0
@@ -253,3 +254,32 @@ def logistic_regression_by(df: DataFrame, by: Sequence[str], target: str, predic
     terms = _by_terms(figures, by, ["const", *predictors], ["coef", "std_err"], "n", "llf", "lr_chi2", "mcfadden", "converged")
     z = F.try_divide(F.col("coef"), F.col("std_err"))
     return terms.withColumn("odds_ratio", F.exp("coef")).withColumn("p_value", dist.column(lambda v: 2 * dist.norm_sf(abs(v)), z))
+
+
+def one_way_anova_by(df: DataFrame, by: Sequence[str], group_col: str, value_col: str) -> DataFrame:
+    """F test of equal group means within each key: ``f, df1, df2, p_value, eta_squared, n_groups, n``."""
+    values = complete(df, by, labels={"_g": group_col}, _x=value_col)
+    groups = values.groupBy(*by, "_g").agg(F.count("_x").cast("double").alias("_n"), F.avg("_x").alias("_mean"), F.var_pop("_x").alias("_var"))
+    groups = written(groups, "groups")
+    grand = groups.groupBy(*[F.col(c).alias(f"_k_{c}") for c in by]).agg((F.sum(F.col("_n") * F.col("_mean")) / F.sum("_n")).alias("_grand"))
+    gap = F.col("_mean") - F.col("_grand")
+    sums = groups.join(grand, [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in by]).groupBy(*by).agg(F.count("*").alias("n_groups"), F.sum("_n").alias("_total"), F.sum(F.col("_n") * F.col("_var")).alias("_within"), F.sum(F.col("_n") * gap * gap).alias("_between"))
+    df1, df2 = (F.col("n_groups") - 1).cast("double"), F.col("_total") - F.col("n_groups")
+    f = F.try_divide(F.try_divide(F.col("_between"), df1), F.try_divide(F.col("_within"), df2))
+    out = sums.select(*by, f.alias("f"), df1.alias("df1"), df2.alias("df2"), F.coalesce(F.try_divide(F.col("_between"), F.col("_between") + F.col("_within")), F.lit(0.0)).alias("eta_squared"), "n_groups", F.col("_total").cast("long").alias("n"))
+    return out.withColumn("p_value", tails.f_sf(F.col("f"), F.col("df1"), F.col("df2")))
+
+
+def kruskal_wallis_test_by(df: DataFrame, by: Sequence[str], group_col: str, value_col: str) -> DataFrame:
+    """H with tie correction over the groups within each key; ranks are running counts within the key."""
+    counts = written(complete(df, by, labels={"_g": group_col}, _x=value_col).groupBy(*by, "_x", "_g").agg(F.count("*").alias("_c")), "counts")
+    distinct = counts.groupBy(*by, "_x").agg(F.sum("_c").alias("_tied"))
+    ranks = midranks(distinct, "_x", "_tied", by).select(*[F.col(c).alias(f"_k_{c}") for c in by], F.col("_x").alias("_at"), F.col("_tied").cast("double").alias("_t"), "midrank")
+    same = [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in by]
+    per = counts.join(ranks, [*same, F.col("_x") == F.col("_at")]).groupBy(*by, "_g").agg(F.sum(F.col("midrank") * F.col("_c")).alias("_r"), F.sum("_c").cast("double").alias("_m"))
+    sums = per.groupBy(*by).agg(F.sum(F.col("_r") * F.col("_r") / F.col("_m")).alias("_s"), F.sum("_m").alias("_total"), F.count("*").alias("n_groups"))
+    ties = ranks.groupBy(*[f"_k_{c}" for c in by]).agg(F.sum(F.col("_t") * F.col("_t") * F.col("_t") - F.col("_t")).alias("_ties"))
+    n = F.col("_total")
+    h = F.try_divide(12 / (n * (n + 1)) * F.col("_s") - 3 * (n + 1), 1 - F.col("_ties") / (n * n * n - n))
+    out = sums.join(ties, same).select(*by, h.alias("h"), (F.col("n_groups") - 1).cast("double").alias("df"), n.cast("long").alias("n"), "n_groups")
+    return out.withColumn("p_value", F.when(F.col("df") > 0, tails.chi2_sf(F.col("h"), F.col("df"))))

@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from statloom.functions import dist
 from statloom.operators import grouped, regression, resample
 
 
@@ -118,3 +119,24 @@ def test_refusals(keyed):
         grouped.linear_regression_by(df, [], "y", ["a"])
     with pytest.raises(ValueError, match="positive"):
         grouped.linear_regression_by(df.withColumn("w", df["w"] - 1), ["k"], "y", ["a"], "w")
+
+
+def test_group_tests_of_each_key(spark):
+    rng = np.random.default_rng(12)
+    pdf = pd.DataFrame({"k": ["hot"] * 900 + ["b"] * 60 + [None] * 40, "g": rng.choice(list("pqr"), 1000), "x": np.round(rng.normal(size=1000), 1)})
+    pdf.loc[pdf["k"] == "b", "x"] += (pdf["g"] == "p") * 2
+    pdf.loc[::50, "x"] = np.nan
+    df = spark.createDataFrame(pdf).repartition(5)
+    anova = {r["k"]: r for r in grouped.one_way_anova_by(df, ["k"], "g", "x").collect()}
+    kruskal = {r["k"]: r for r in grouped.kruskal_wallis_test_by(df, ["k"], "g", "x").collect()}
+    for k, g in groups(pdf.dropna(subset=["x"])):
+        parts = [v["x"].to_numpy() for _, v in g.groupby("g")]
+        all_ = g["x"].to_numpy()
+        between = sum(len(v) * (v.mean() - all_.mean()) ** 2 for v in parts)
+        within = sum(((v - v.mean()) ** 2).sum() for v in parts)
+        f = between / (len(parts) - 1) / (within / (len(all_) - len(parts)))
+        assert anova[k]["f"] == pytest.approx(f) and anova[k]["n"] == len(all_) and anova[k]["p_value"] == pytest.approx(dist.f_sf(f, len(parts) - 1, len(all_) - len(parts)), rel=1e-8)
+        ranks = g["x"].rank()
+        n, t = len(all_), g["x"].value_counts().to_numpy(float)
+        h = (12 / (n * (n + 1)) * sum(ranks[v.index].sum() ** 2 / len(v) for _, v in g.groupby("g")) - 3 * (n + 1)) / (1 - (t**3 - t).sum() / (n**3 - n))
+        assert kruskal[k]["h"] == pytest.approx(h) and kruskal[k]["p_value"] == pytest.approx(dist.chi2_sf(h, len(parts) - 1), rel=1e-8)
