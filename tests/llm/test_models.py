@@ -404,3 +404,23 @@ def test_alignment_equals_brute_force(spark):
             if n >= 4 and errors <= 0.3 * 32 * size:
                 wanted[c] = (offset, n, errors)
         assert {m["class_id"]: (m["offset"], m["votes"], m["bit_errors"]) for m in got[q]["matches"]} == wanted
+
+
+def test_short_recordings_and_a_common_opening(spark):
+    """A passage that all recordings share is looked up at one place, and recordings of four to eight prints are found inside others."""
+    rnd = random.Random(8)
+    words = [f"n{i}" for i in range(400)]
+    line = lambda n: [rnd.choice(words) for _ in range(n)]
+    opening, places = line(60), {}
+    for many in (60, 120):
+        texts = [(i, " ".join(opening + line(20))) for i in range(many)]
+        tune = line(70)
+        texts += [(1000, " ".join(tune)), (1100, " ".join(tune[20:42])), (1200, " ".join(tune[5:70])), (1001, " ".join(tune[30:52]))]
+        heard = chroma.fingerprints(spark.createDataFrame(texts, "id long, text string"), "id", "text", chroma.rendered).cache()
+        classes = heard.withColumn("is_query", F.col("rec_id") % 100 == 0).withColumnRenamed("rec_id", "class_id")
+        places[many] = chroma._looked_up(classes, 4).where("class_id < 1000").count()
+        got = {r["rec_id"]: (r["n_prints"], {m["class_id"]: m["offset"] for m in r["matches"]}) for r in chroma.align(heard, F.col("rec_id") % 100 == 0).collect()}
+        assert set(got[0][1]) >= set(range(many))
+        assert 4 <= got[1100][0] <= 8 and got[1100][1] == {1000: 20, 1100: 0, 1200: 15}
+        assert got[1200][1][1001] == -25 and got[1000][1][1001] == -30
+    assert all(n <= 6 * many for many, n in places.items())  # the opening alone holds over 40 pairs a recording
