@@ -247,7 +247,7 @@ def _slice_names(s: Slice, at: np.ndarray, length: int) -> np.ndarray:
 
 
 def _sampled(rows: DataFrame, length: int) -> DataFrame:
-    """``(h, doc_id)``: the grams of each document's sampled suffixes, each once a document."""
+    """``(h, doc_id, times)``: the grams of each document's sampled suffixes, each once a document."""
 
     def run(batches):
         for batch in batches:
@@ -256,21 +256,23 @@ def _sampled(rows: DataFrame, length: int) -> DataFrame:
                 order = np.lexsort((s.h, s.doc))
                 h, d = s.h[order], s.doc[order]
                 new = np.concatenate([[True], (h[1:] != h[:-1]) | (d[1:] != d[:-1])]) if len(h) else np.empty(0, bool)
-                yield pa.RecordBatch.from_arrays([pa.array(h[new]), pa.array(ids[a + d[new]])], ["h", "doc_id"])
+                times = np.diff(np.append(np.flatnonzero(new), len(h)))
+                yield pa.RecordBatch.from_arrays([pa.array(h[new]), pa.array(ids[a + d[new]]), pa.array(times, pa.int64())], ["h", "doc_id", "times"])
 
-    return rows.mapInArrow(run, "h long, doc_id long")
+    return rows.mapInArrow(run, "h long, doc_id long, times long")
 
 
 def _shared_grams(sampled: DataFrame) -> DataFrame:
-    return cut(sampled.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "grams")
+    """``(h, times)``: the grams of two documents or more, and how often they occur."""
+    return cut(sampled.groupBy("h").agg(F.count("*").alias("n"), F.sum("times").alias("times")).where("n > 1").select("h", "times"), "grams")
 
 
 def _suspects(rows: DataFrame, sampled: DataFrame, shared: DataFrame, hot: int) -> DataFrame:
-    """Documents that share a gram with another, with the sorted lists ``hs`` of such grams and ``hot`` of those in more than ``hot`` documents.
+    """Documents that share a gram with another, with the sorted lists ``hs`` of such grams and ``hot`` of those that occur more than ``hot`` times.
 
     The lists are a table of their own, so that the shuffle of all grams is over before texts move.
     """
-    lists = cut(sampled.join(shared, "h").groupBy("doc_id").agg(F.sort_array(F.collect_set("h")).alias("hs"), F.sort_array(F.collect_set(F.when(F.col("n") > hot, F.col("h")))).alias("hot")), "lists")
+    lists = cut(sampled.select("h", "doc_id").join(shared, "h").groupBy("doc_id").agg(F.sort_array(F.collect_set("h")).alias("hs"), F.sort_array(F.collect_set(F.when(F.col("times") > hot, F.col("h")))).alias("hot")), "lists")
     release(rows.sparkSession)
     part = cut(rows.join(lists, "doc_id"), "suspects")
     discard(lists)
@@ -284,7 +286,10 @@ def _binary(rows: np.ndarray) -> pa.Array:
 
 
 def _contexts(part: DataFrame, length: int) -> DataFrame:
-    """``(h, ctx, doc_id)``: each occurrence of a gram that is not hot, with its context."""
+    """``(h, ctx, doc_id, several)``: contexts of the grams that are not hot with their least document; equal ones of a slice are one row.
+
+    ``several``: more than one document of the slice has the context.
+    """
 
     def run(batches):
         for batch in batches:
@@ -292,11 +297,20 @@ def _contexts(part: DataFrame, length: int) -> DataFrame:
             hs = [np.setdiff1d(np.array(x, np.int64), np.array(y, np.int64), True) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             for a, b, s in _each(batch, length):
                 keep = np.flatnonzero(_member(s, hs[a:b]))
-                for own in (keep[i : i + 20_000] for i in range(0, len(keep), 20_000)):
+                if not len(keep):
+                    continue
+                name, doc = _slice_names(s, s.at[keep], length), ids[a + s.doc[keep]]
+                by = np.lexsort((doc, name[:, 1], name[:, 0]))
+                name, doc = name[by], doc[by]
+                first = np.flatnonzero(np.concatenate([[True], (name[1:] != name[:-1]).any(1)]))
+                several = doc[first] != doc[np.append(first[1:], len(doc)) - 1]
+                once, least = keep[by[first]], doc[first]
+                for i in range(0, len(once), 20_000):
+                    own = once[i : i + 20_000]
                     ctx = contexts(s.x, s.at[own], s.begins, s.ends, length)
-                    yield pa.RecordBatch.from_arrays([pa.array(s.h[own]), _binary(ctx), pa.array(ids[a + s.doc[own]])], ["h", "ctx", "doc_id"])
+                    yield pa.RecordBatch.from_arrays([pa.array(s.h[own]), _binary(ctx), pa.array(least[i : i + 20_000]), pa.array(several[i : i + 20_000])], ["h", "ctx", "doc_id", "several"])
 
-    return part.mapInArrow(run, "h long, ctx binary, doc_id long")
+    return part.mapInArrow(run, "h long, ctx binary, doc_id long, several boolean")
 
 
 def _hot_contexts(part: DataFrame, length: int, held: int = 100_000) -> DataFrame:
@@ -387,10 +401,11 @@ def _marks(part: DataFrame, length: int, most: int = 100_000) -> DataFrame:
     def decide(t):
         ctx = np.frombuffer(b"".join(t["ctx"].to_pylist()), np.uint8).reshape(-1, size)
         doc, h, name = t["doc_id"].to_numpy(), t["h"].to_numpy(), _context_names(ctx, length)
+        apart = t["several"].to_numpy()
         by = np.lexsort((doc, name[:, 1], name[:, 0], h))
         first = np.flatnonzero(np.concatenate([[True], (name[by][1:] != name[by][:-1]).any(1)]))
         last = np.append(first[1:], len(by)) - 1
-        several = doc[by][first] != doc[by][last]
+        several = (doc[by][first] != doc[by][last]) | np.logical_or.reduceat(apart[by], first)
         ctx, doc, name, h = ctx[by[first]], doc[by[first]], name[by[first]], h[by[first]]
         edges = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
         times = np.diff(np.append(edges, len(h)))
@@ -468,10 +483,10 @@ def dedup_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
        Spark counts the documents of each suffix's gram, combined before the
        shuffle, a document once; only grams of two documents or more go on.
     2. Documents with such grams give the contexts of those suffixes, equal
-       ones of a task once, with the least id.
+       ones of a megabyte of text once, with the least id.
     3. The contexts of a gram meet in one task and are sorted there
        deep-shallow; the common prefixes in both orders tell which strings
-       stand in earlier documents. Of a gram in more than ``hot`` documents,
+       stand in earlier documents. Of a gram that occurs more than ``hot`` times,
        the strings get their least document by a combined aggregate instead.
     4. Marks go back to the documents, which drop the covered bytes.
 

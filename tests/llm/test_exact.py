@@ -240,6 +240,18 @@ def test_hot_grams_are_split(spark, make_docs, monkeypatch):
     assert seen[0] <= 10 and any(len(got[i]) < len(docs[i][1]) for i in range(60))
 
 
+def test_long_runs_and_short_periods(spark, make_docs, monkeypatch):
+    """Runs of one byte and short periods, in which nearly every place is sampled: equal contexts travel once, hot or not."""
+    docs = [(1, "a" * 20_000), (2, "x" + "a" * 20_000 + "yz"), (3, "abc" * 5_000), (4, "zz" + "abc" * 4_000), (4, "bca" * 100), (5, "ab" * 30 + "a" * 70)]
+    want, whole, seen = brute_strings(docs), suffix._marks, []
+    monkeypatch.setattr(suffix, "_marks", lambda part, length: seen.append(suffix._contexts(part, length).count()) or whole(part, length))
+    for hot in (10_000, 10**9):
+        rows = suffix.dedup_strings(make_docs(docs), hot=hot).collect()
+        assert sorted((r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in rows) == want
+    assert max(seen) < 2_000  # of some 65,000 places
+    assert seen[0] < seen[1]  # few documents, many occurrences: hot
+
+
 def test_deep_shallow_sorts():
     rng = np.random.default_rng(0)
     for n, width in ((0, 10), (1, 10), (300, 50), (9000, 34)):
