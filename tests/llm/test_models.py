@@ -312,6 +312,31 @@ def test_lines_are_linked_by_edit_similarity_alone(spark):
     assert sum(gated.get(a) is None or gated.get(a) != gated.get(b) for a, b in pairs) > len(pairs) // 2
 
 
+def test_lines_lose_no_link_wherever_edits_stand(spark):
+    """As many edits as 0.9 allows, spread evenly so that no two words in a row stay whole, or at random places, at every length."""
+    rnd, norms, pairs = random.Random(12), [], []
+    word = lambda: "".join(rnd.choice("abcdefghijklmnop𝐚é") for _ in range(rnd.randint(2, 9)))
+    for size in (10, 14, 19, 20, 27, 39, 40, 66, 89, 90, 99, 125, 139, 140, 141, 230, 450, 1000):
+        for way in range(4):
+            line = list(" ".join(word() for _ in range(size))[:size].strip())
+            line += ["q"] * (size - len(line))
+            edits, other = size // 10, list(line)
+            places = rnd.sample(range(size), edits) if way == 3 else [size * (2 * i + 1) // (2 * edits) for i in range(edits)]
+            for n, at in enumerate(sorted(places, reverse=True)):
+                if way == 1 or (way == 2 and n % 2):
+                    del other[at]
+                elif way == 2:
+                    other.insert(at, "z")
+                else:
+                    other[at] = "z"
+            if len(other) <= size:
+                norms += ["".join(line), "".join(other)]
+                pairs.append((len(norms) - 2, len(norms) - 1))
+    distinct = spark.createDataFrame(list(enumerate(norms)), "node long, norm string")
+    roots = {r["node"]: r["root"] for r in lines.grouped_lines(distinct, None, 0.9).collect()}
+    assert len(pairs) > 60 and [p for p in pairs if roots.get(p[0]) is None or roots[p[0]] != roots.get(p[1])] == []
+
+
 def test_short_lines_take_part(spark, make_docs, tmp_path):
     """The query and the pipeline's stage remove copies of lines of any length, and fuzzy ones from ten characters."""
     docs = [(1, "Home\n日本語の行です\nread more here"), (2, "home!\n日本語の行です\n\n###"), (3, "kept\nread more hera\n###\n")]
