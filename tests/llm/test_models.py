@@ -337,6 +337,33 @@ def test_lines_lose_no_link_wherever_edits_stand(spark):
     assert len(pairs) > 60 and [p for p in pairs if roots.get(p[0]) is None or roots[p[0]] != roots.get(p[1])] == []
 
 
+def test_joins_of_pieces_are_split_without_loss(spark, monkeypatch):
+    """Pieces of many characters go to several joins, each with its share of the rows, and the groups stay the same."""
+    rnd, norms = random.Random(13), []
+    for size in (12, 45, 120, 160, 300):
+        for _ in range(8):
+            line = [rnd.choice("abcdefgh 𐚐é") for _ in range(size)]
+            other = list(line)
+            for i in range(size // 10):
+                other[i * 10 + 5] = "z"
+            norms += ["x" + "".join(line[1:]), "x" + "".join(other[1:])]
+    distinct = spark.createDataFrame(list(enumerate(norms)), "node long, norm string")
+    whole, write, joins = lines.grouped_lines(distinct, None, 0.9).collect(), lines.cut, []
+
+    def counted(df, label):
+        out = write(df, label)
+        if label == "pairs":
+            joins.append(out.count())
+        return out
+
+    monkeypatch.setattr(lines, "cut", counted)
+    monkeypatch.setattr(lines, "_PART", len("".join(norms)) // 4, raising=False)
+    monkeypatch.setattr(lines, "_PARTS", 4, raising=False)
+    split = lines.grouped_lines(distinct, None, 0.9).collect()
+    assert sum(n > 0 for n in joins) >= 4
+    assert sorted(map(tuple, split)) == sorted(map(tuple, whole)) and len({r["root"] for r in split}) == len(norms) // 2
+
+
 def test_short_lines_take_part(spark, make_docs, tmp_path):
     """The query and the pipeline's stage remove copies of lines of any length, and fuzzy ones from ten characters."""
     docs = [(1, "Home\n日本語の行です\nread more here"), (2, "home!\n日本語の行です\n\n###"), (3, "kept\nread more hera\n###\n")]
