@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -16,6 +18,7 @@ GRAM = 16
 #: Bytes that multikey sorting compares, eight at a time, before blind tries take over.
 SHALLOW = 40
 _ID_NONE = 2**63 - 1
+_BYTES = _mixed(np.arange(256, dtype=np.uint64) + np.uint64(1))
 
 
 def _sliding(x: np.ndarray, w: int, op) -> np.ndarray:
@@ -27,7 +30,18 @@ def _sliding(x: np.ndarray, w: int, op) -> np.ndarray:
     return op(out[: len(out) - (w - span)], out[w - span :]) if span < w else out
 
 
-def anchors(x: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+def anchors(x: np.ndarray, ends: np.ndarray, length: int, step: int = 1 << 15) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`_anchors`, ``step`` positions at a time, so that a step's arrays stay in a core's cache; a suffix depends on ``length`` bytes on either side."""
+    found = []
+    for begin in range(0, len(x), step):
+        lo, hi = max(begin - length, 0), min(begin + step + length, len(x))
+        at, h = _anchors(x[lo:hi], ends[lo:hi] - lo, length)
+        own = (at + lo >= begin) & (at + lo < begin + step)
+        found.append((at[own] + lo, h[own]))
+    return tuple(np.concatenate(c) for c in zip(*found)) if found else (np.empty(0, np.int64), np.empty(0, np.uint64))
+
+
+def _anchors(x: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Sampled suffixes of concatenated documents: positions and gram hashes.
 
     In every string of ``length`` bytes inside a document the grams with the
@@ -37,7 +51,7 @@ def anchors(x: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, n
     n = len(x)
     if n < length:
         return np.empty(0, np.int64), np.empty(0, np.uint64)
-    h, span = _mixed(x.astype(np.uint64) + np.uint64(1)), 1
+    h, span = _BYTES[x], 1
     base = 0x9E3779B97F4A7C15
     while span < GRAM:
         h = h[:-span] * np.uint64(pow(base, span, 1 << 64)) + h[span:]
@@ -203,10 +217,17 @@ def _member(s: Slice, lists: list) -> np.ndarray:
     keep, cuts = np.zeros(len(s.at), bool), np.searchsorted(s.doc, np.arange(len(lists) + 1))
     for i, own in enumerate(lists):
         if own is not None and cuts[i] < cuts[i + 1]:
-            keep[cuts[i] : cuts[i + 1]] = np.isin(s.h[cuts[i] : cuts[i + 1]], own)
+            h = s.h[cuts[i] : cuts[i + 1]]
+            keep[cuts[i] : cuts[i + 1]] = own[np.minimum(np.searchsorted(own, h), len(own) - 1)] == h if len(own) else False
     return keep
 
 
+def _lists(column: pa.Array) -> list[np.ndarray]:
+    """The rows of a column of lists of longs, none of them null, without a Python object for each number."""
+    values, edges = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+    return [values[a:b] for a, b in zip(edges[:-1], edges[1:])]
+
+
 _COEFFICIENTS = np.random.default_rng(5).integers(0, 2**64, (2, 256), np.uint64) | np.uint64(1)
 #: For names of contexts: values of the bytes, and the odd base whose powers weigh them, in two independent ways.
 _VALUES = np.random.default_rng(6).integers(0, 2**64, (2, 256), np.uint64) | np.uint64(1)
@@ -214,7 +235,13 @@ _BASES = (0xD1342543DE82EF95, 0xAF251AF3B0F025B5)
 
 
 def _powers(base: int, n: int) -> np.ndarray:
-    return np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(max(n - 1, 0), base, np.uint64)]))
+    return _first_powers(base)[:n] if n <= 1 << 20 else np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, base, np.uint64)]))
+
+
+@lru_cache(maxsize=8)
+def _first_powers(base: int) -> np.ndarray:
+    """Of as many places as a slice mostly has at most, computed once a worker."""
+    return np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full((1 << 20) - 1, base, np.uint64)]))
 
 
 def _names(ctx: np.ndarray) -> np.ndarray:
@@ -286,15 +313,15 @@ def _binary(rows: np.ndarray) -> pa.Array:
 
 
 def _contexts(part: DataFrame, length: int) -> DataFrame:
-    """``(h, ctx, doc_id, several)``: contexts of the grams that are not hot with their least document; equal ones of a slice are one row.
+    """``(h, ctx, doc_id)``: contexts of the grams that are not hot with their least document; equal ones of a slice are one row.
 
-    ``several``: more than one document of the slice has the context.
+    A last byte of ``ctx`` tells whether more than one document of the slice has the context.
     """
 
     def run(batches):
         for batch in batches:
             ids = batch.column(0).to_numpy()
-            hs = [np.setdiff1d(np.array(x, np.int64), np.array(y, np.int64), True) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            hs = [np.setdiff1d(x, y, True) if len(y) else x for x, y in zip(_lists(batch.column(2)), _lists(batch.column(3)))]
             for a, b, s in _each(batch, length):
                 keep = np.flatnonzero(_member(s, hs[a:b]))
                 if not len(keep):
@@ -308,9 +335,10 @@ def _contexts(part: DataFrame, length: int) -> DataFrame:
                 for i in range(0, len(once), 20_000):
                     own = once[i : i + 20_000]
                     ctx = contexts(s.x, s.at[own], s.begins, s.ends, length)
-                    yield pa.RecordBatch.from_arrays([pa.array(s.h[own]), _binary(ctx), pa.array(least[i : i + 20_000]), pa.array(several[i : i + 20_000])], ["h", "ctx", "doc_id", "several"])
+                    ctx = np.column_stack([ctx, several[i : i + 20_000].astype(np.uint8)])
+                    yield pa.RecordBatch.from_arrays([pa.array(s.h[own]), _binary(ctx), pa.array(least[i : i + 20_000])], ["h", "ctx", "doc_id"])
 
-    return part.mapInArrow(run, "h long, ctx binary, doc_id long, several boolean")
+    return part.mapInArrow(run, "h long, ctx binary, doc_id long")
 
 
 def _hot_contexts(part: DataFrame, length: int, held: int = 100_000) -> DataFrame:
@@ -323,7 +351,7 @@ def _hot_contexts(part: DataFrame, length: int, held: int = 100_000) -> DataFram
     def run(batches):
         seen: dict[bytes, tuple[int, int]] = {}
         for batch in batches:
-            ids, hs = batch.column(0).to_numpy(), [np.array(x, np.int64) for x in batch.column(3).to_pylist()]
+            ids, hs = batch.column(0).to_numpy(), _lists(batch.column(3))
             for a, b, s in _each(batch, length):
                 keep = np.flatnonzero(_member(s, hs[a:b]))
                 ctx = contexts(s.x, s.at[keep], s.begins, s.ends, length)
@@ -399,9 +427,9 @@ def _marks(part: DataFrame, length: int, most: int = 100_000) -> DataFrame:
             yield decide(pa.Table.from_batches(held))
 
     def decide(t):
-        ctx = np.frombuffer(b"".join(t["ctx"].to_pylist()), np.uint8).reshape(-1, size)
+        raw = np.frombuffer(b"".join(t["ctx"].to_pylist()), np.uint8).reshape(-1, size + 1)
+        ctx, apart = np.ascontiguousarray(raw[:, :size]), raw[:, size] != 0
         doc, h, name = t["doc_id"].to_numpy(), t["h"].to_numpy(), _context_names(ctx, length)
-        apart = t["several"].to_numpy()
         by = np.lexsort((doc, name[:, 1], name[:, 0], h))
         first = np.flatnonzero(np.concatenate([[True], (name[by][1:] != name[by][:-1]).any(1)]))
         last = np.append(first[1:], len(by)) - 1
@@ -416,7 +444,12 @@ def _marks(part: DataFrame, length: int, most: int = 100_000) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(v[say])) for v in (name[:, 0], name[:, 1], doc, mask)], ["c1", "c2", "least", "mask"])
 
     cold = _contexts(part, length).repartition("h").sortWithinPartitions("h").mapInArrow(judge, "c1 long, c2 long, least long, mask long")
-    return cut(cold.unionByName(_hot_marks(part, length)), "marks")
+    # one after the other, so that the shuffles of both do not lie on disk together
+    cold = cut(cold, "cold")
+    release(part.sparkSession)
+    marks = cut(cold.unionByName(_hot_marks(part, length)), "marks")
+    discard(cold)
+    return marks
 
 
 def _replies(part: DataFrame, marks: DataFrame, length: int) -> DataFrame:
@@ -424,7 +457,7 @@ def _replies(part: DataFrame, marks: DataFrame, length: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            ids, hs = batch.column(0).to_numpy(), [np.array(x) for x in batch.column(2).to_pylist()]
+            ids, hs = batch.column(0).to_numpy(), _lists(batch.column(2))
             for a, b, s in _each(batch, length):
                 keep = np.flatnonzero(_member(s, hs[a:b]))
                 name = _slice_names(s, s.at[keep], length)
@@ -435,33 +468,46 @@ def _replies(part: DataFrame, marks: DataFrame, length: int) -> DataFrame:
     return told.where("mask != 0").groupBy("doc_id").agg(F.collect_set(F.struct("c1", "c2", "mask")).alias("marks"))
 
 
+def _looked_up(doc: np.ndarray, name: np.ndarray, of: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """The mask of each (document, name) among rows (c1, c2, mask) of documents ``of``; 0 if there is none."""
+    n = len(of)
+    keys = np.column_stack([np.concatenate([of, doc]), np.concatenate([known[:, :2], name])])
+    # a row of what is known precedes those that ask for it
+    by = np.lexsort((np.arange(len(keys)) >= n, keys[:, 2], keys[:, 1], keys[:, 0]))
+    new = np.concatenate([[True], (keys[by][1:] != keys[by][:-1]).any(1)]) if len(by) else np.empty(0, bool)
+    first = by[new][np.cumsum(new) - 1]
+    out = np.zeros(len(keys), np.int64)
+    out[by] = np.where(first < n, np.append(known[:, 2], 0)[np.minimum(first, n)], 0)
+    return out[n:]
+
+
 def _cleaned(part: DataFrame, replies: DataFrame, length: int) -> DataFrame:
     left = length - GRAM
 
     def run(batches):
         for batch in batches:
             outs = [[], [], [], []]
-            marked, hs = batch.column(3).to_pylist(), [np.array(x) for x in batch.column(2).to_pylist()]
-            own = [{(m["c1"], m["c2"]): m["mask"] for m in x} if x else None for x in marked]
+            hs = _lists(batch.column(2))
+            marked, told = batch.column(3), batch.column(3).values
+            edges_of, known = marked.offsets.to_numpy(), np.column_stack([told.field(i).to_numpy(zero_copy_only=False) for i in range(3)])
             for a, b, s in _each(batch, length):
                 edge = np.zeros(len(s.x) + 1, np.int64)
-                keep = np.flatnonzero(_member(s, [g if m else None for g, m in zip(hs[a:b], own[a:b])]))
-                name = _slice_names(s, s.at[keep], length)
-                found = ((k, own[a + d].get((x, y))) for k, d, (x, y) in zip(keep.tolist(), s.doc[keep].tolist(), name.tolist()))
-                for k, mask in found:
-                    if mask is None:
-                        continue
-                    at = int(s.at[k])
-                    if mask == -1:
-                        lo, hi = max(int(s.begins[at]), at - left), min(int(s.ends[at]), at + length)
-                        if hi - lo >= length:
-                            edge[lo] += 1
-                            edge[hi] -= 1
-                        continue
-                    for j in range(left + 1):
-                        if mask >> j & 1:
-                            edge[at - j] += 1
-                            edge[at - j + length] -= 1
+                own = known[edges_of[a] : edges_of[b]]
+                of = np.repeat(np.arange(b - a), np.diff(edges_of[a : b + 1]))
+                has = np.diff(edges_of[a : b + 1]) > 0
+                keep = np.flatnonzero(_member(s, [g if m else None for g, m in zip(hs[a:b], has)]))
+                mask = _looked_up(s.doc[keep], _slice_names(s, s.at[keep], length), of, own)
+                at = s.at[keep]
+                whole = at[mask == -1]
+                lo, hi = np.maximum(s.begins[whole], whole - left), np.minimum(s.ends[whole], whole + length)
+                real = hi - lo >= length
+                np.add.at(edge, lo[real], 1)
+                np.add.at(edge, hi[real], -1)
+                some = np.flatnonzero(mask > 0)
+                for j in range(left + 1):
+                    begin = at[some[mask[some] >> j & 1 == 1]] - j
+                    np.add.at(edge, begin, 1)
+                    np.add.at(edge, begin + length, -1)
                 gone = np.cumsum(edge)[:-1] > 0
                 for lo, hi in zip([0, *s.ends_of[:-1].tolist()], s.ends_of.tolist()):
                     mine = gone[lo:hi]
@@ -500,10 +546,12 @@ def dedup_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     if not GRAM < length <= GRAM + 62:
         raise ValueError(f"length must lie between {GRAM + 1} and {GRAM + 62}")
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_ID_NONE)).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    shared = _shared_grams(_sampled(rows, length))
+    sampled = cut(_sampled(rows, length), "sampled")
+    shared = _shared_grams(sampled)
     release(docs.sparkSession)
-    part = _suspects(rows, _sampled(rows, length), shared, hot)
+    part = _suspects(rows, sampled, shared, hot)
     discard(shared)
+    discard(sampled)
     release(docs.sparkSession)
     marks = _marks(part, length)
     release(docs.sparkSession)

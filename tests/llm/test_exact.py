@@ -260,3 +260,25 @@ def test_deep_shallow_sorts():
             rows[:, :30] = rows[rng.integers(0, max(n // 9, 1), n)][:, :30]
         got = [rows[i].tobytes() for i in suffix.deep_shallow(rows)]
         assert got == sorted(got)
+
+
+def test_repeated_strings_sample_once_and_look_up_whole_batches(make_docs, monkeypatch):
+    """Suffixes are sampled in steps as they are at once, and by one pass before contexts; masks are looked up as a dictionary would."""
+    rnd, calls = random.Random(21), []
+    texts = [bytes(rnd.choice(b"abc \x00") for _ in range(n)) for n in (0, 10, 49, 50, 700, 3000)] + [b"a" * 400, b"ab" * 300]
+    s = suffix.Slice(texts, 50)
+    whole = suffix._anchors(s.x, s.ends, 50)
+    for step in (1, 37, 64, 1000):
+        assert all((a == b).all() for a, b in zip(suffix.anchors(s.x, s.ends, 50, step), whole))
+    of = np.sort(np.array([rnd.randrange(6) for _ in range(40)]))
+    known = np.unique(np.array([(d, rnd.randrange(-3, 3), rnd.randrange(-3, 3)) for d in of]), axis=0)
+    known = np.column_stack([known, [rnd.choice([-1, 5, 1 << 40]) for _ in known]])
+    doc, name = np.array([rnd.randrange(7) for _ in range(200)]), np.array([(rnd.randrange(-3, 3), rnd.randrange(-3, 3)) for _ in range(200)])
+    want = {(d, x, y): m for d, x, y, m in known.tolist()}
+    got = suffix._looked_up(doc, name, known[:, 0], known[:, 1:])
+    assert got.tolist() == [want.get((d, x, y), 0) for d, (x, y) in zip(doc.tolist(), name.tolist())]
+    assert suffix._looked_up(doc[:0], name[:0], known[:0, 0], known[:0, 1:]).tolist() == []
+    sample = suffix._sampled
+    monkeypatch.setattr(suffix, "_sampled", lambda rows, length: calls.append(1) or sample(rows, length))
+    docs = [(1, "x" * 60), (2, "x" * 70), (3, None)]
+    assert {r["doc_id"]: r["n_removed"] for r in suffix.dedup_strings(make_docs(docs)).collect()} == {1: 0, 2: 70, 3: 0} and calls == [1]
