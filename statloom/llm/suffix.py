@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 from functools import lru_cache
 
 import numpy as np
@@ -13,12 +14,12 @@ from pyspark.sql import functions as F
 from statloom.llm.common import cut, discard, release, slices, table
 from statloom.llm.winnow import _mixed
 
-#: Bytes of a gram that names a sampled suffix. Must be a power of two below the string length.
+#: Bytes of a gram that names a sampled suffix: two words of eight.
 GRAM = 16
 #: Bytes that multikey sorting compares, eight at a time, before blind tries take over.
 SHALLOW = 40
 _ID_NONE = 2**63 - 1
-_BYTES = _mixed(np.arange(256, dtype=np.uint64) + np.uint64(1))
+_HIGH = int(sys.byteorder == "little")
 
 
 def _sliding(x: np.ndarray, w: int, op) -> np.ndarray:
@@ -30,7 +31,16 @@ def _sliding(x: np.ndarray, w: int, op) -> np.ndarray:
     return op(out[: len(out) - (w - span)], out[w - span :]) if span < w else out
 
 
-def anchors(x: np.ndarray, ends: np.ndarray, length: int, step: int = 1 << 15) -> tuple[np.ndarray, np.ndarray]:
+def _words(x: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, as one number."""
+    out = np.empty(len(x) - 7, np.uint64)
+    for k in range(min(8, len(out))):
+        n = (len(x) - k) // 8
+        out[k::8] = x[k : k + 8 * n].view("<u8")
+    return out
+
+
+def anchors(x: np.ndarray, ends: np.ndarray, length: int, step: int = 1 << 16) -> tuple[np.ndarray, np.ndarray]:
     """:func:`_anchors`, ``step`` positions at a time, so that a step's arrays stay in a core's cache; a suffix depends on ``length`` bytes on either side."""
     found = []
     for begin in range(0, len(x), step):
@@ -45,25 +55,26 @@ def _anchors(x: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray,
     """Sampled suffixes of concatenated documents: positions and gram hashes.
 
     In every string of ``length`` bytes inside a document the grams with the
-    least hash are taken, so equal strings hold equal grams at equal places.
+    least order are taken, so equal strings hold equal grams at equal places.
+    The order is half of a gram's product; only grams taken get their whole hash.
     ``ends``: for every byte the end of its document.
     """
     n = len(x)
     if n < length:
         return np.empty(0, np.int64), np.empty(0, np.uint64)
-    h, span = _BYTES[x], 1
-    base = 0x9E3779B97F4A7C15
-    while span < GRAM:
-        h = h[:-span] * np.uint64(pow(base, span, 1 << 64)) + h[span:]
-        span *= 2
-    h = _mixed(h) | np.uint64(1)
+    words = _words(x)
+    h = words[:-8] * np.uint64(0x9E3779B97F4A7C15)
+    h ^= h >> np.uint64(32)
+    h += words[8:]
+    h *= np.uint64(0xFF51AFD7ED558CCD)
+    order = h.view(np.uint32)[_HIGH::2] | np.uint32(1)
     w = length - GRAM + 1
-    least = _sliding(h, w, np.minimum)
+    least = _sliding(order, w, np.minimum)
     least[np.arange(len(least)) + length > ends[: len(least)]] = 0
-    pad = np.zeros(w - 1, np.uint64)
+    pad = np.zeros(w - 1, np.uint32)
     most = _sliding(np.concatenate([pad, least, pad]), w, np.maximum)
-    at = np.flatnonzero(most[: len(h)] == h)
-    return at, h[at]
+    at = np.flatnonzero(most[: len(order)] == order)
+    return at, _mixed(h[at]) | np.uint64(1)
 
 
 def contexts(x: np.ndarray, at: np.ndarray, begins: np.ndarray, ends: np.ndarray, length: int) -> np.ndarray:
@@ -146,6 +157,8 @@ def deep_shallow(strings: np.ndarray, real: np.ndarray | None = None, shallow: i
         live = live[np.repeat(sizes > 1, sizes)]
         if not len(live):
             return order
+    if shallow // 8 >= words.shape[1]:  # rows still together are equal
+        return order
     cuts = np.flatnonzero(np.concatenate([[True], segment[live][1:] != segment[live][:-1], [True]]))
     for lo, hi in zip(cuts[:-1], cuts[1:]):
         trie, at = BlindTrie(), live[lo:hi]
@@ -178,12 +191,15 @@ def earlier(ctx: np.ndarray, doc: np.ndarray, length: int) -> np.ndarray:
     by_r, by_l = deep_shallow(np.ascontiguousarray(right_of), real_r), deep_shallow(left_of, real_l)
     lcp_r, lcp_l = _common(right_of[by_r], real_r[by_r]), _common(left_of[by_l], real_l[by_l])
     mask, rank = np.zeros(n, np.int64), np.empty((2, n), np.int64)
+    # how far a row agrees with any other; one that does not reach over a string cannot share it
+    reach = np.empty((2, n), np.int64)
+    reach[0, by_r], reach[1, by_l] = (np.maximum(x, np.append(x[1:], 0)) for x in (lcp_r, lcp_l))
     for j in range(left + 1):
-        rank[0, by_r] = np.cumsum(lcp_r < length - j)
-        rank[1, by_l] = np.cumsum(lcp_l < j)
-        ok = np.flatnonzero((real_l >= j) & (real_r >= length - j))
+        ok = np.flatnonzero((reach[0] >= length - j) & (reach[1] >= j))
         if not len(ok):
             continue
+        rank[0, by_r] = np.cumsum(lcp_r < length - j)
+        rank[1, by_l] = np.cumsum(lcp_l < j)
         key = rank[0, ok] * (n + 1) + rank[1, ok]
         by = np.argsort(key, kind="stable")
         starts = np.flatnonzero(np.concatenate([[True], key[by][1:] != key[by][:-1]]))
@@ -199,7 +215,8 @@ class Slice:
         sizes = np.array([len(t) for t in texts], np.int64)
         self.ends_of = np.cumsum(sizes)
         self.x = np.frombuffer(b"".join(texts), np.uint8)
-        self.ends, self.begins = np.repeat(self.ends_of, sizes), np.repeat(self.ends_of - sizes, sizes)
+        small = np.int32 if len(self.x) < 1 << 31 else np.int64
+        self.ends, self.begins = np.repeat(self.ends_of.astype(small), sizes), np.repeat((self.ends_of - sizes).astype(small), sizes)
         self.at, self.h = anchors(self.x, self.ends, length)
         self.doc = np.searchsorted(self.ends_of, self.at, "right")
         self.h = self.h.view(np.int64)
@@ -250,6 +267,17 @@ def _names(ctx: np.ndarray) -> np.ndarray:
     return np.column_stack([_mixed(wide @ c[:width] + c[-1]) for c in _COEFFICIENTS]).view(np.int64).reshape(-1, 2)
 
 
+def _brief(ctx: np.ndarray) -> np.ndarray:
+    """64-bit hashes of contexts, eight bytes at a time, to tell those of one gram apart."""
+    n, width = ctx.shape
+    padded = np.zeros((n, -(-width // 8) * 8), np.uint8)
+    padded[:, :width] = ctx
+    words, out = padded.view(np.uint64), np.zeros(n, np.uint64)
+    for i in range(words.shape[1]):
+        out = _mixed((out ^ words[:, i]) + _COEFFICIENTS[0, i])
+    return out
+
+
 def _context_names(ctx: np.ndarray, length: int) -> np.ndarray:
     """128-bit names of contexts: their real bytes' values, weighed by powers of their distance to the gram."""
     left, width = length - GRAM, 2 * length - GRAM
@@ -267,7 +295,9 @@ def _slice_names(s: Slice, at: np.ndarray, length: int) -> np.ndarray:
     lo, hi = np.maximum(s.begins[at], at - (length - GRAM)), np.minimum(s.ends[at], at + length)
     out = []
     for values, base in zip(_VALUES, _BASES):
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values[s.x] * _powers(base, len(s.x)))])
+        weighed, sums = values.take(s.x, mode="clip"), np.zeros(len(s.x) + 1, np.uint64)
+        weighed *= _powers(base, len(s.x))
+        np.cumsum(weighed, out=sums[1:])
         back = _powers(pow(base, -1, 1 << 64), len(s.x))
         out.append(_mixed((sums[hi] - sums[lo]) * back[at]))
     return np.column_stack(out).view(np.int64).reshape(-1, 2)
@@ -295,13 +325,15 @@ def _shared_grams(sampled: DataFrame) -> DataFrame:
 
 
 def _suspects(rows: DataFrame, sampled: DataFrame, shared: DataFrame, hot: int) -> DataFrame:
-    """Documents that share a gram with another, with the sorted lists ``hs`` of such grams and ``hot`` of those that occur more than ``hot`` times.
+    """The documents with the sorted lists ``hs`` of grams that they share with others and ``hot`` of those that occur more than ``hot`` times.
 
     The lists are a table of their own, so that the shuffle of all grams is over before texts move.
     """
     lists = cut(sampled.select("h", "doc_id").join(shared, "h").groupBy("doc_id").agg(F.sort_array(F.collect_set("h")).alias("hs"), F.sort_array(F.collect_set(F.when(F.col("times") > hot, F.col("h")))).alias("hot")), "lists")
     release(rows.sparkSession)
-    part = cut(rows.join(lists, "doc_id"), "suspects")
+    none = F.array().cast("array<long>")
+    joined = rows.join(lists, "doc_id", "left")
+    part = cut(joined.select("doc_id", "text", F.coalesce("hs", none).alias("hs"), F.coalesce("hot", none).alias("hot")), "suspects")
     discard(lists)
     return part
 
@@ -338,7 +370,7 @@ def _contexts(part: DataFrame, length: int) -> DataFrame:
                     ctx = np.column_stack([ctx, several[i : i + 20_000].astype(np.uint8)])
                     yield pa.RecordBatch.from_arrays([pa.array(s.h[own]), _binary(ctx), pa.array(least[i : i + 20_000])], ["h", "ctx", "doc_id"])
 
-    return part.mapInArrow(run, "h long, ctx binary, doc_id long")
+    return part.where(F.size("hs") > 0).mapInArrow(run, "h long, ctx binary, doc_id long")
 
 
 def _hot_contexts(part: DataFrame, length: int, held: int = 100_000) -> DataFrame:
@@ -373,7 +405,12 @@ def _hot_contexts(part: DataFrame, length: int, held: int = 100_000) -> DataFram
 
 
 def _hot_marks(part: DataFrame, length: int) -> DataFrame:
-    """:func:`_marks` of the hot grams: no task sees all contexts of a gram, the least document is combined by string."""
+    """:func:`_marks` of the hot grams: no task sees all contexts of a gram, the least document is combined by string.
+
+    A batch judges its own contexts first. Only strings that it has not seen in
+    an earlier document travel, once for a batch and document, so that rows do
+    not grow with the contexts of a string but with the batches that hold it.
+    """
     left, size = length - GRAM, 2 * length - GRAM + 2
     found = _hot_contexts(part.where(F.size("hot") > 0), length)
     found = cut(found.groupBy("ctx").agg(F.min("doc_id").alias("doc_id"), ((F.max("n") > 1) | (F.min("doc_id") != F.max("doc_id"))).alias("several")), "hot")
@@ -386,20 +423,27 @@ def _hot_marks(part: DataFrame, length: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(name[:, 0])), pa.array(np.ascontiguousarray(name[:, 1])), batch.column(1), batch.column(2)], ["c1", "c2", "least", "several"])
 
     def strings(batches):
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
-                ctx = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).reshape(-1, size)
-                doc, name = batch.column(1).to_numpy(), _context_names(ctx, length)
-                for j in range(left + 1):
-                    ok = np.flatnonzero((ctx[:, -2] >= j) & (ctx[:, -1] >= length - j))
-                    own = _names(ctx[ok, left - j : left - j + length])
-                    columns = (own[:, 0], own[:, 1], name[ok, 0], name[ok, 1], doc[ok], np.full(len(ok), 1 << j, np.int64))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(v)) for v in columns], ["s1", "s2", "c1", "c2", "doc_id", "bit"])
-
-    each = found.mapInArrow(strings, "s1 long, s2 long, c1 long, c2 long, doc_id long, bit long")
-    firsts = each.groupBy("s1", "s2").agg(F.min("doc_id").alias("first"))
-    masks = each.join(firsts, ["s1", "s2"]).where("first < doc_id").groupBy("c1", "c2").agg(F.bit_or("bit").alias("mask"))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ctx = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).reshape(-1, size)
+            doc, name = batch.column(1).to_numpy(), _context_names(ctx, length)
+            told = earlier(ctx, doc, length)
+            for j in range(left + 1):
+                ok = np.flatnonzero((ctx[:, -2] >= j) & (ctx[:, -1] >= length - j) & (told >> j & 1 == 0))
+                own = _names(ctx[ok, left - j : left - j + length])
+                columns = (own[:, 0], own[:, 1], name[ok, 0], name[ok, 1], doc[ok], np.full(len(ok), 1 << j, np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(v)) for v in columns], ["s1", "s2", "c1", "c2", "doc_id", "bit"])
+            some = np.flatnonzero(told)
+            none = pa.nulls(len(some), pa.int64())
+            columns = [none, none, pa.array(np.ascontiguousarray(name[some, 0])), pa.array(np.ascontiguousarray(name[some, 1])), none, pa.array(told[some])]
+            yield pa.RecordBatch.from_arrays(columns, ["s1", "s2", "c1", "c2", "doc_id", "bit"])
+
+    # rows without a string hold what a batch tells of a context by itself
+    each = cut(found.mapInArrow(strings, "s1 long, s2 long, c1 long, c2 long, doc_id long, bit long"), "strings")
+    firsts = each.where("s1 IS NOT NULL").groupBy("s1", "s2").agg(F.min("doc_id").alias("first"))
+    later = each.join(firsts, ["s1", "s2"]).where("first < doc_id").select("c1", "c2", "bit")
+    masks = later.unionByName(each.where("s1 IS NULL").select("c1", "c2", "bit")).groupBy("c1", "c2").agg(F.bit_or("bit").alias("mask"))
     told = found.mapInArrow(named, "c1 long, c2 long, least long, several boolean").join(masks, ["c1", "c2"], "left")
     return told.where("several OR mask IS NOT NULL").select("c1", "c2", "least", F.coalesce("mask", F.lit(0).cast("long")).alias("mask"))
 
@@ -429,19 +473,20 @@ def _marks(part: DataFrame, length: int, most: int = 100_000) -> DataFrame:
     def decide(t):
         raw = np.frombuffer(b"".join(t["ctx"].to_pylist()), np.uint8).reshape(-1, size + 1)
         ctx, apart = np.ascontiguousarray(raw[:, :size]), raw[:, size] != 0
-        doc, h, name = t["doc_id"].to_numpy(), t["h"].to_numpy(), _context_names(ctx, length)
-        by = np.lexsort((doc, name[:, 1], name[:, 0], h))
-        first = np.flatnonzero(np.concatenate([[True], (name[by][1:] != name[by][:-1]).any(1)]))
+        doc, h, brief = t["doc_id"].to_numpy(), t["h"].to_numpy(), _brief(ctx)
+        by = np.lexsort((doc, brief, h))
+        first = np.flatnonzero(np.concatenate([[True], (h[by][1:] != h[by][:-1]) | (brief[by][1:] != brief[by][:-1])]))
         last = np.append(first[1:], len(by)) - 1
         several = (doc[by][first] != doc[by][last]) | np.logical_or.reduceat(apart[by], first)
-        ctx, doc, name, h = ctx[by[first]], doc[by[first]], name[by[first]], h[by[first]]
+        ctx, doc, h = ctx[by[first]], doc[by[first]], h[by[first]]
         edges = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
         times = np.diff(np.append(edges, len(h)))
         mixed = np.flatnonzero(np.repeat(times > 1, times))
         mask = np.zeros(len(doc), np.int64)
         mask[mixed] = earlier(ctx[mixed], doc[mixed], length)
         say = (mask != 0) | several
-        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(v[say])) for v in (name[:, 0], name[:, 1], doc, mask)], ["c1", "c2", "least", "mask"])
+        name = _context_names(ctx[say], length)
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(v)) for v in (name[:, 0], name[:, 1], doc[say], mask[say])], ["c1", "c2", "least", "mask"])
 
     cold = _contexts(part, length).repartition("h").sortWithinPartitions("h").mapInArrow(judge, "c1 long, c2 long, least long, mask long")
     # one after the other, so that the shuffles of both do not lie on disk together
@@ -463,7 +508,7 @@ def _replies(part: DataFrame, marks: DataFrame, length: int) -> DataFrame:
                 name = _slice_names(s, s.at[keep], length)
                 yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(v)) for v in (ids[a + s.doc[keep]], name[:, 0], name[:, 1])], ["doc_id", "c1", "c2"])
 
-    told = part.mapInArrow(run, "doc_id long, c1 long, c2 long").join(marks, ["c1", "c2"])
+    told = part.where(F.size("hs") > 0).mapInArrow(run, "doc_id long, c1 long, c2 long").join(marks, ["c1", "c2"])
     told = told.select("doc_id", "c1", "c2", F.when(F.col("doc_id") > F.col("least"), F.lit(-1).cast("long")).otherwise(F.col("mask")).alias("mask"))
     return told.where("mask != 0").groupBy("doc_id").agg(F.collect_set(F.struct("c1", "c2", "mask")).alias("marks"))
 
@@ -482,21 +527,25 @@ def _looked_up(doc: np.ndarray, name: np.ndarray, of: np.ndarray, known: np.ndar
 
 
 def _cleaned(part: DataFrame, replies: DataFrame, length: int) -> DataFrame:
+    """Each document with what its marks leave; one without marks is not sampled again."""
     left = length - GRAM
 
     def run(batches):
         for batch in batches:
-            outs = [[], [], [], []]
-            hs = _lists(batch.column(2))
+            kept = batch.column(1).cast(pa.binary()).to_pylist()
+            sizes, removed, spans = np.array([len(t) for t in kept], np.int64), np.zeros(len(kept), np.int64), np.zeros(len(kept), np.int64)
             marked, told = batch.column(3), batch.column(3).values
             edges_of, known = marked.offsets.to_numpy(), np.column_stack([told.field(i).to_numpy(zero_copy_only=False) for i in range(3)])
-            for a, b, s in _each(batch, length):
+            times, hs = np.diff(edges_of), _lists(batch.column(2))
+            has = np.flatnonzero(times)
+            for a, b in slices(sizes[has].tolist(), 1 << 20):
+                own = has[a:b]
+                s = Slice([kept[i] for i in own], length)
                 edge = np.zeros(len(s.x) + 1, np.int64)
-                own = known[edges_of[a] : edges_of[b]]
-                of = np.repeat(np.arange(b - a), np.diff(edges_of[a : b + 1]))
-                has = np.diff(edges_of[a : b + 1]) > 0
-                keep = np.flatnonzero(_member(s, [g if m else None for g, m in zip(hs[a:b], has)]))
-                mask = _looked_up(s.doc[keep], _slice_names(s, s.at[keep], length), of, own)
+                # documents between these have no marks, so that theirs follow each other
+                marks = known[edges_of[own[0]] : edges_of[own[-1] + 1]]
+                keep = np.flatnonzero(_member(s, [hs[i] for i in own]))
+                mask = _looked_up(s.doc[keep], _slice_names(s, s.at[keep], length), np.repeat(np.arange(len(own)), times[own]), marks)
                 at = s.at[keep]
                 whole = at[mask == -1]
                 lo, hi = np.maximum(s.begins[whole], whole - left), np.minimum(s.ends[whole], whole + length)
@@ -509,14 +558,14 @@ def _cleaned(part: DataFrame, replies: DataFrame, length: int) -> DataFrame:
                     np.add.at(edge, begin, 1)
                     np.add.at(edge, begin + length, -1)
                 gone = np.cumsum(edge)[:-1] > 0
-                for lo, hi in zip([0, *s.ends_of[:-1].tolist()], s.ends_of.tolist()):
+                for i, lo, hi in zip(own.tolist(), [0, *s.ends_of[:-1].tolist()], s.ends_of.tolist()):
                     mine = gone[lo:hi]
-                    outs[0].append(hi - lo)
-                    outs[1].append(int(mine.sum()))
-                    outs[2].append(int((np.diff(np.concatenate([[0], mine.astype(np.int8)])) == 1).sum()))
-                    outs[3].append(s.x[lo:hi][~mine].tobytes())
-            kinds = [pa.int64()] * 3 + [pa.binary()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(o, k) for o, k in zip(outs, kinds))], ["doc_id", "text", "n_bytes", "n_removed", "n_spans", "kept"])
+                    removed[i] = mine.sum()
+                    spans[i] = (np.diff(np.concatenate([[0], mine.astype(np.int8)])) == 1).sum()
+                    kept[i] = s.x[lo:hi][~mine].tobytes()
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(sizes), pa.array(removed), pa.array(spans), pa.array(kept, pa.binary())], ["doc_id", "text", "n_bytes", "n_removed", "n_spans", "kept"]
+            )
 
     schema = "doc_id long, text string, n_bytes long, n_removed long, n_spans long, kept binary"
     return part.join(replies, "doc_id", "left").select("doc_id", "text", "hs", "marks").mapInArrow(run, schema)
@@ -558,12 +607,7 @@ def dedup_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     replies = cut(_replies(part, marks, length), "replies")
     discard(marks)
     release(docs.sparkSession)
-    cleaned = _cleaned(part, replies, length)
-    none = F.lit(0).cast("long")
-    whole = rows.join(part.select("doc_id").distinct(), "doc_id", "left_anti").select(
-        "doc_id", "text", F.octet_length("text").cast("long").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"), F.encode("text", "UTF-8").alias("kept")
-    )
-    return cleaned.unionByName(whole).withColumn("doc_id", F.nullif("doc_id", F.lit(_ID_NONE)))
+    return _cleaned(part, replies, length).withColumn("doc_id", F.nullif("doc_id", F.lit(_ID_NONE)))
 
 
 def op10_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:

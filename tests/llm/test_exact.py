@@ -240,6 +240,27 @@ def test_hot_grams_are_split(spark, make_docs, monkeypatch):
     assert seen[0] <= 10 and any(len(got[i]) < len(docs[i][1]) for i in range(60))
 
 
+def test_strings_of_a_hot_gram_travel_once_a_batch(make_docs, monkeypatch):
+    """What a batch knows of a passage's copies is not joined; texts move to their marks by one join, and results stay right."""
+    rnd, write, seen = random.Random(9), suffix.cut, []
+    letters = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    passage = letters(90)
+    docs = [(i, letters(40) + passage + letters(40)) for i in range(80)] + [(80, "short"), (81, letters(60)), (82, None)]
+
+    def counted(df, label):
+        out = write(df, label)
+        if label == "strings":
+            told = out.where("s1 IS NOT NULL")
+            seen.append((told.count(), told.groupBy("s1", "s2").count().agg(F.max("count")).first()[0], told.rdd.getNumPartitions()))
+        return out
+
+    monkeypatch.setattr(suffix, "cut", counted)
+    out = suffix.dedup_strings(make_docs(docs), hot=5)
+    assert "LeftAnti" not in out._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in out.collect()) == brute_strings(docs)
+    assert seen and seen[0][0] and seen[0][1] <= max(seen[0][2], 8) < 80  # by batch, not by copy
+
+
 def test_long_runs_and_short_periods(spark, make_docs, monkeypatch):
     """Runs of one byte and short periods, in which nearly every place is sampled: equal contexts travel once, hot or not."""
     docs = [(1, "a" * 20_000), (2, "x" + "a" * 20_000 + "yz"), (3, "abc" * 5_000), (4, "zz" + "abc" * 4_000), (4, "bca" * 100), (5, "ab" * 30 + "a" * 70)]
