@@ -404,14 +404,58 @@ def _hot_contexts(part: DataFrame, length: int, held: int = 100_000) -> DataFram
     return part.mapInArrow(run, "ctx binary, doc_id long, n long")
 
 
-def _hot_marks(part: DataFrame, length: int) -> DataFrame:
-    """:func:`_marks` of the hot grams: no task sees all contexts of a gram, the least document is combined by string.
+def _judge(length: int, most: int):
+    """A task's step from rows ``h, ctx, doc_id`` in the order of ``h`` to ``c1, c2, least, mask``, whole groups of about ``most`` rows at a time."""
+    size = 2 * length - GRAM + 2
 
-    A batch judges its own contexts first. Only strings that it has not seen in
-    an earlier document travel, once for a batch and document, so that rows do
-    not grow with the contexts of a string but with the batches that hold it.
+    def judge(batches):
+        held, rows = [], 0
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= most:
+                t = pa.Table.from_batches(held).combine_chunks()
+                whole = pc.index(t["h"], t["h"][-1]).as_py()
+                if whole:
+                    yield decide(t.slice(0, whole))
+                held, rows = t.slice(whole).to_batches(), t.num_rows - whole
+        if rows:
+            yield decide(pa.Table.from_batches(held))
+
+    def decide(t):
+        raw = np.frombuffer(b"".join(t["ctx"].to_pylist()), np.uint8).reshape(-1, size + 1)
+        ctx, apart = np.ascontiguousarray(raw[:, :size]), raw[:, size] != 0
+        doc, h, brief = t["doc_id"].to_numpy(), t["h"].to_numpy(), _brief(ctx)
+        by = np.lexsort((doc, brief, h))
+        first = np.flatnonzero(np.concatenate([[True], (h[by][1:] != h[by][:-1]) | (brief[by][1:] != brief[by][:-1])]))
+        last = np.append(first[1:], len(by)) - 1
+        several = (doc[by][first] != doc[by][last]) | np.logical_or.reduceat(apart[by], first)
+        ctx, doc, h = ctx[by[first]], doc[by[first]], h[by[first]]
+        edges = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        times = np.diff(np.append(edges, len(h)))
+        mixed = np.flatnonzero(np.repeat(times > 1, times))
+        mask = np.zeros(len(doc), np.int64)
+        mask[mixed] = earlier(ctx[mixed], doc[mixed], length)
+        say = (mask != 0) | several
+        name = _context_names(ctx[say], length)
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(v)) for v in (name[:, 0], name[:, 1], doc[say], mask[say])], ["c1", "c2", "least", "mask"])
+
+    return judge
+
+
+def _hot_marks(part: DataFrame, length: int, most: int) -> DataFrame:
+    """:func:`_marks` of the hot grams: no task sees all contexts of a gram.
+
+    A string that holds a gram also holds what follows it for about half of the
+    remaining bytes, or what precedes it; so contexts meet by these two longer
+    keys, where no more than ``most`` have one, two rows for a context. Contexts of more
+    frequent keys are combined by string: a batch judges its own first, and only
+    strings that it has not seen in an earlier document travel, once for a batch
+    and document, so that rows do not grow with the contexts of a string but
+    with the batches that hold it.
     """
     left, size = length - GRAM, 2 * length - GRAM + 2
+    half = left // 2
     found = _hot_contexts(part.where(F.size("hot") > 0), length)
     found = cut(found.groupBy("ctx").agg(F.min("doc_id").alias("doc_id"), ((F.max("n") > 1) | (F.min("doc_id") != F.max("doc_id"))).alias("several")), "hot")
 
@@ -422,15 +466,27 @@ def _hot_marks(part: DataFrame, length: int) -> DataFrame:
                 name = _context_names(ctx, length)
                 yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(name[:, 0])), pa.array(np.ascontiguousarray(name[:, 1])), batch.column(1), batch.column(2)], ["c1", "c2", "least", "several"])
 
+    def keys(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ctx, doc = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).reshape(-1, size), batch.column(1).to_numpy()
+            sides = (ctx[:, -1] >= length - half, slice(left, left + length - half)), (ctx[:, -2] > half, slice(left - half - 1, left + GRAM))
+            for before, (real, cols) in enumerate(sides):
+                ok = np.flatnonzero(real)
+                rows = np.column_stack([ctx[ok], np.zeros(len(ok), np.uint8)])
+                columns = [pa.array(np.ascontiguousarray(_names(ctx[ok, cols])[:, before])), _binary(rows), pa.array(doc[ok]), pa.array(np.full(len(ok), bool(before)))]
+                yield pa.RecordBatch.from_arrays(columns, ["h", "ctx", "doc_id", "before"])
+
     def strings(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            ctx = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).reshape(-1, size)
-            doc, name = batch.column(1).to_numpy(), _context_names(ctx, length)
+            ctx = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).reshape(-1, size + 1)[:, :size]
+            doc, before, name = batch.column(1).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False), _context_names(ctx, length)
             told = earlier(ctx, doc, length)
             for j in range(left + 1):
-                ok = np.flatnonzero((ctx[:, -2] >= j) & (ctx[:, -1] >= length - j) & (told >> j & 1 == 0))
+                ok = np.flatnonzero((ctx[:, -2] >= j) & (ctx[:, -1] >= length - j) & (told >> j & 1 == 0) & (before == (j > half)))
                 own = _names(ctx[ok, left - j : left - j + length])
                 columns = (own[:, 0], own[:, 1], name[ok, 0], name[ok, 1], doc[ok], np.full(len(ok), 1 << j, np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(v)) for v in columns], ["s1", "s2", "c1", "c2", "doc_id", "bit"])
@@ -439,11 +495,16 @@ def _hot_marks(part: DataFrame, length: int) -> DataFrame:
             columns = [none, none, pa.array(np.ascontiguousarray(name[some, 0])), pa.array(np.ascontiguousarray(name[some, 1])), none, pa.array(told[some])]
             yield pa.RecordBatch.from_arrays(columns, ["s1", "s2", "c1", "c2", "doc_id", "bit"])
 
+    keyed = cut(found.mapInArrow(keys, "h long, ctx binary, doc_id long, before boolean"), "keys")
+    frequent = cut(keyed.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > most).select("h"), "frequent")
+    judged = keyed.join(F.broadcast(frequent), "h", "left_anti").select("h", "ctx", "doc_id").repartition("h").sortWithinPartitions("h")
+    judged = judged.mapInArrow(_judge(length, most), "c1 long, c2 long, least long, mask long").select("c1", "c2", F.col("mask").alias("bit"))
     # rows without a string hold what a batch tells of a context by itself
-    each = cut(found.mapInArrow(strings, "s1 long, s2 long, c1 long, c2 long, doc_id long, bit long"), "strings")
+    many = keyed.join(F.broadcast(frequent), "h", "left_semi").select("ctx", "doc_id", "before")
+    each = cut(many.mapInArrow(strings, "s1 long, s2 long, c1 long, c2 long, doc_id long, bit long"), "strings")
     firsts = each.where("s1 IS NOT NULL").groupBy("s1", "s2").agg(F.min("doc_id").alias("first"))
     later = each.join(firsts, ["s1", "s2"]).where("first < doc_id").select("c1", "c2", "bit")
-    masks = later.unionByName(each.where("s1 IS NULL").select("c1", "c2", "bit")).groupBy("c1", "c2").agg(F.bit_or("bit").alias("mask"))
+    masks = later.unionByName(each.where("s1 IS NULL").select("c1", "c2", "bit")).unionByName(judged).groupBy("c1", "c2").agg(F.bit_or("bit").alias("mask"))
     told = found.mapInArrow(named, "c1 long, c2 long, least long, several boolean").join(masks, ["c1", "c2"], "left")
     return told.where("several OR mask IS NOT NULL").select("c1", "c2", "least", F.coalesce("mask", F.lit(0).cast("long")).alias("mask"))
 
@@ -454,45 +515,11 @@ def _marks(part: DataFrame, length: int, most: int = 100_000) -> DataFrame:
     The contexts of a gram that is not hot meet in one task and are judged with those of other grams, about ``most`` at a time;
     contexts without any earlier string or second document are left out.
     """
-    size = 2 * length - GRAM + 2
-
-    def judge(batches):
-        held, rows = [], 0
-        for batch in batches:
-            held.append(batch)
-            rows += batch.num_rows
-            if rows >= most:
-                t = pa.Table.from_batches(held).combine_chunks()
-                whole = pc.index(t["h"], t["h"][-1]).as_py()
-                if whole:
-                    yield decide(t.slice(0, whole))
-                held, rows = t.slice(whole).to_batches(), t.num_rows - whole
-        if rows:
-            yield decide(pa.Table.from_batches(held))
-
-    def decide(t):
-        raw = np.frombuffer(b"".join(t["ctx"].to_pylist()), np.uint8).reshape(-1, size + 1)
-        ctx, apart = np.ascontiguousarray(raw[:, :size]), raw[:, size] != 0
-        doc, h, brief = t["doc_id"].to_numpy(), t["h"].to_numpy(), _brief(ctx)
-        by = np.lexsort((doc, brief, h))
-        first = np.flatnonzero(np.concatenate([[True], (h[by][1:] != h[by][:-1]) | (brief[by][1:] != brief[by][:-1])]))
-        last = np.append(first[1:], len(by)) - 1
-        several = (doc[by][first] != doc[by][last]) | np.logical_or.reduceat(apart[by], first)
-        ctx, doc, h = ctx[by[first]], doc[by[first]], h[by[first]]
-        edges = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-        times = np.diff(np.append(edges, len(h)))
-        mixed = np.flatnonzero(np.repeat(times > 1, times))
-        mask = np.zeros(len(doc), np.int64)
-        mask[mixed] = earlier(ctx[mixed], doc[mixed], length)
-        say = (mask != 0) | several
-        name = _context_names(ctx[say], length)
-        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(v)) for v in (name[:, 0], name[:, 1], doc[say], mask[say])], ["c1", "c2", "least", "mask"])
-
-    cold = _contexts(part, length).repartition("h").sortWithinPartitions("h").mapInArrow(judge, "c1 long, c2 long, least long, mask long")
+    cold = _contexts(part, length).repartition("h").sortWithinPartitions("h").mapInArrow(_judge(length, most), "c1 long, c2 long, least long, mask long")
     # one after the other, so that the shuffles of both do not lie on disk together
     cold = cut(cold, "cold")
     release(part.sparkSession)
-    marks = cut(cold.unionByName(_hot_marks(part, length)), "marks")
+    marks = cut(cold.unionByName(_hot_marks(part, length, most)), "marks")
     discard(cold)
     return marks
 
@@ -581,8 +608,9 @@ def dedup_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
        ones of a megabyte of text once, with the least id.
     3. The contexts of a gram meet in one task and are sorted there
        deep-shallow; the common prefixes in both orders tell which strings
-       stand in earlier documents. Of a gram that occurs more than ``hot`` times,
-       the strings get their least document by a combined aggregate instead.
+       stand in earlier documents. Contexts of a gram that occurs more than
+       ``hot`` times meet by longer keys instead, and where these are too
+       frequent, strings get their least document by a combined aggregate.
     4. Marks go back to the documents, which drop the covered bytes.
 
     Returns ``doc_id, text, n_bytes, n_removed, n_spans, kept`` (binary). Strings

@@ -241,8 +241,8 @@ def test_hot_grams_are_split(spark, make_docs, monkeypatch):
 
 
 def test_strings_of_a_hot_gram_travel_once_a_batch(make_docs, monkeypatch):
-    """What a batch knows of a passage's copies is not joined; texts move to their marks by one join, and results stay right."""
-    rnd, write, seen = random.Random(9), suffix.cut, []
+    """Hot contexts meet by two longer keys; where these are frequent, what a batch knows of a passage's copies is not joined. Texts move to their marks by one join."""
+    rnd, write, whole, seen = random.Random(9), suffix.cut, suffix._marks, []
     letters = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
     passage = letters(90)
     docs = [(i, letters(40) + passage + letters(40)) for i in range(80)] + [(80, "short"), (81, letters(60)), (82, None)]
@@ -251,14 +251,17 @@ def test_strings_of_a_hot_gram_travel_once_a_batch(make_docs, monkeypatch):
         out = write(df, label)
         if label == "strings":
             told = out.where("s1 IS NOT NULL")
-            seen.append((told.count(), told.groupBy("s1", "s2").count().agg(F.max("count")).first()[0], told.rdd.getNumPartitions()))
+            seen.append((told.count(), told.groupBy("s1", "s2").count().agg(F.max("count")).first(), out.rdd.getNumPartitions()))
         return out
 
     monkeypatch.setattr(suffix, "cut", counted)
-    out = suffix.dedup_strings(make_docs(docs), hot=5)
-    assert "LeftAnti" not in out._jdf.queryExecution().executedPlan().toString()
-    assert sorted((r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in out.collect()) == brute_strings(docs)
-    assert seen and seen[0][0] and seen[0][1] <= max(seen[0][2], 8) < 80  # by batch, not by copy
+    for most in (100_000, 7):
+        monkeypatch.setattr(suffix, "_marks", lambda part, length: whole(part, length, most))
+        out = suffix.dedup_strings(make_docs(docs), hot=5)
+        assert "LeftAnti" not in out._jdf.queryExecution().executedPlan().toString()
+        assert sorted((r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in out.collect()) == brute_strings(docs)
+    (none, _, _), (some, often, parts) = seen
+    assert none == 0 and some and often[0] <= max(parts, 8) < 80  # by batch, not by copy
 
 
 def test_long_runs_and_short_periods(spark, make_docs, monkeypatch):
