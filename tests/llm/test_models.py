@@ -364,6 +364,46 @@ def test_joins_of_pieces_are_split_without_loss(spark, monkeypatch):
     assert sorted(map(tuple, split)) == sorted(map(tuple, whole)) and len({r["root"] for r in split}) == len(norms) // 2
 
 
+def test_strings_are_made_once_and_lose_no_link(spark, monkeypatch):
+    """Over all rounds each string of a line is one row of one join, and any edits that 0.9 allows, anywhere, leave a link."""
+    rnd, norms, pairs = random.Random(14), [], []
+    for i in range(300):
+        size = rnd.choice([10, 11, 19, 20, 30, 57, 89, 90, 100, 123, 180, 260, 410])
+        line = [rnd.choice("abcdefgh 𐚐é"[: rnd.choice([4, 11])]) for _ in range(size)]
+        other, edits = list(line), size // 10
+        for _ in range(edits):
+            at, way = rnd.randrange(len(other)), rnd.choice("sid")
+            other[at : at + (way != "i")] = [] if way == "d" else rnd.choice("abcxyz")
+        if line != other and edits <= max(size, len(other)) // 10:
+            norms += ["".join(line), "".join(other)]
+            pairs.append((norms[-2], norms[-1]))
+    monkeypatch.setattr(lines, "_PART", len("".join(norms)) // 5)
+    made, strings = [], lines._strings
+
+    def counted(*args):
+        made.append(strings(*args).select("node", "place").collect())
+        return strings(*args)
+
+    monkeypatch.setattr(lines, "_strings", counted)
+    distinct = spark.createDataFrame([(n,) for n in sorted(set(norms))], "norm string").selectExpr("xxhash64(norm) AS node", "norm")
+    roots = {r["norm"]: r["root"] for r in lines.grouped_lines(distinct, None, 0.9, crowd=10**9).join(distinct, "node").collect()}
+    assert len(pairs) > 250 and [p for p in pairs if p[0] != p[1] and (roots.get(p[0]) is None or roots[p[0]] != roots.get(p[1]))] == []
+    rows = [tuple(r) for part in made for r in part]
+    assert len(made) > 3 and len(rows) == len(set(rows))
+    grid = lines._Grid(0.9, 500)
+    want = sum(len(n) - grid.widths[grid.of(len(n))] + 1 for n in set(norms) if len(n) >= 9)
+    assert len(rows) == want
+
+
+def test_lengths_that_may_be_alike_are_in_neighbouring_buckets():
+    for similarity in (0.8, 0.9, 0.95):
+        grid = lines._Grid(similarity, 3000)
+        for n in range(2, 3000):
+            edits = int((1 - similarity) * n + 1e-9)
+            for k in {grid.of(n), grid.of(n) - 1} if edits else ():
+                assert grid.of(n - edits) >= grid.of(n) - 1 and 0 < grid.widths[k] <= n // (edits + 1) and grid.spans[grid.of(n)] * lines._SPANS > n
+
+
 def test_short_lines_take_part(spark, make_docs, tmp_path):
     """The query and the pipeline's stage remove copies of lines of any length, and fuzzy ones from ten characters."""
     docs = [(1, "Home\n日本語の行です\nread more here"), (2, "home!\n日本語の行です\n\n###"), (3, "kept\nread more hera\n###\n")]
